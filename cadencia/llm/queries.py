@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cadencia.llm import maglev, quality
+from cadencia.llm import langid, maglev, packing, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op5_language": langid.op5_language,
     "op6_sharding": maglev.op6_sharding,
+    "op7_packing": packing.op7_packing,
 }
 ORACLES: dict[str, str] = {}
