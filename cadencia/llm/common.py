@@ -68,11 +68,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, text_col: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `most` text bytes, so that memory follows bytes and not rows."""
     if batch.num_rows == 0:
         return
-    sizes = pc.binary_length(text_array(batch.column(text_col))).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cadencia.llm import langid, maglev, packing, quality
+from cadencia.llm import flac, langid, maglev, packing, quality, secrets
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op3_media": flac.op3_media,
+    "op4_secrets": secrets.op4_secrets,
     "op5_language": langid.op5_language,
     "op6_sharding": maglev.op6_sharding,
     "op7_packing": packing.op7_packing,
