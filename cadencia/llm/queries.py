@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cadencia.llm import flac, langid, maglev, packing, quality, secrets
+from cadencia.llm import flac, langid, maglev, neighbours, packing, quality, secrets
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_media": flac.op3_media,
     "op4_secrets": secrets.op4_secrets,
     "op5_language": langid.op5_language,
