@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadencia.llm import flac, langid, linededup, maglev, minhash, neighbours, packing, quality, secrets
+from cadencia.llm import bpe, flac, langid, linededup, maglev, minhash, neighbours, packing, quality, secrets
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": maglev.op6_sharding,
     "op7_packing": packing.op7_packing,
     "op8_lines": linededup.op8_lines,
+    "op9_bpe": bpe.op9_bpe,
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLES: dict[str, str] = {}
