@@ -7,6 +7,10 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+SCORES = ("name", "token", "partial", "phonetic", "first", "first_partial")
 
 
 @lru_cache(maxsize=200_000)
@@ -91,13 +95,13 @@ def phonetic_key(text: str) -> str:
     return " ".join(words)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_error(a: pd.Series, b: pd.Series) -> pd.Series:
     """Character error 1 - matching-blocks ratio, to four places."""
     return pd.Series([round(1 - SequenceMatcher(None, x or "", y or "").ratio(), 4) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("name double, token double, partial double, phonetic double, first double, first_partial double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SCORES]))
 def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """All scores of a pair of normalised names, 0 to 100, computed once for each pair."""
     rows = []
@@ -107,4 +111,4 @@ def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         token, partial = token_set_ratio(x, y), partial_ratio(x, y)
         f, g = (x.split() or [""])[0], (y.split() or [""])[0]
         rows.append((max(token, partial), token, partial, 100 * jaro_winkler(p, q) if p and q else 0.0, ratio(f, g), partial_ratio(f, g)))
-    return pd.DataFrame(rows, columns=["name", "token", "partial", "phonetic", "first", "first_partial"])
+    return pd.DataFrame(rows, columns=list(SCORES))
