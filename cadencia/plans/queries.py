@@ -401,3 +401,55 @@ query("d12_line_status", "select event_id, case when value is null then 'illegib
 query("d14_finalise", "select order_id, bool_and(line<>3) ready, string_agg(case when line=1 then part_id when line=2 then supplier_id end, ',' order by case when line=1 then part_id when line=2 then supplier_id end) chosen from items group by 1")(
     lambda r: matching.finalise(r.items().select("order_id", F.when(F.col("line") == 1, "confirmed").when(F.col("line") == 2, "overridden").when(F.col("line") == 3, F.lit(None).cast("string")).otherwise("rejected").alias("decision"), F.col("part_id").alias("matched_id"), F.col("supplier_id").alias("selected_id")), "order_id").withColumn("chosen", F.nullif(F.array_join("chosen", ","), F.lit("")))
 )
+
+# ---- models and streams --------------------------------------------------------------------------------------------------------
+
+
+def model_decisions(r: Retail) -> DataFrame:
+    """Trained on the history, applied to every pair: predicted days, churn and decision."""
+    from cadencia.operators import models
+
+    rows = bought(r)
+    c, d = r.customers(), r.drugs()
+    cycle_rows = features.split_80_20(features.cycle_training(rows, c, d).fillna(0.0), "is_chronic", "customer_id", "drug_id")
+    churn_rows = features.split_80_20(features.churn_training(rows, c, d, AS_OF), "target", "customer_id", "drug_id")
+    cycle_model = models.fit(cycle_rows.filter("is_train"), features.CYCLE_FEATURES, models.regressors(8)["forest"])
+    churn_model = models.fit(churn_rows.filter("is_train"), features.CHURN_FEATURES, models.classifiers(8)["logistic"], scale=True)
+    bundle = models.tuned_bundle(churn_model, churn_rows.filter("not is_train"))
+    serve = features.serving(rows, c, d, AS_OF)
+    return models.evaluate(models.predict_cycles(cycle_model, serve, AS_OF), models.predict_churn(bundle, serve))
+
+
+query("m15_model_decisions")(model_decisions)
+
+
+def streamed(r: Retail, job) -> DataFrame:
+    """The events folder read as a stream of one file, run through a job until it is empty."""
+    import uuid
+
+    name = f"s{uuid.uuid4().hex}"
+    base = r.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
+    batch = r.raw("events")
+    stream = r.spark.readStream.schema(batch.schema).parquet(f"{r.sf_dir}/events.parquet*").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.col("props").alias("payload"))
+    out = f"{base}/{name}"
+    job(stream).writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return r.spark.read.parquet(f"{out}/data")
+
+
+def daily_activity(r: Retail) -> DataFrame:
+    from cadencia.streaming import jobs
+
+    done = streamed(r, lambda s: jobs.activity(s, "1 day"))
+    return done.select("start", "event_type", "n")
+
+
+query("st3_daily_activity", "select time_bucket(interval 1 day, ts) as start, event_type, count(*) n from events where time_bucket(interval 1 day, ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2")(daily_activity)
+
+
+def ingested(r: Retail) -> DataFrame:
+    from cadencia.streaming import jobs
+
+    return streamed(r, jobs.ingest).select("event_id", "session_id", "event_type")
+
+
+query("st1_ingest", "select event_id, user_id session_id, event_type from events")(ingested)
