@@ -201,9 +201,9 @@ def fit_languages(documents: DataFrame, train=None, order: int = ORDER, max_docs
         rows = rows.filter(train)
     # first in parts, so that a language with most documents is not ranked in one task
     part = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64))
-    order = (F.xxhash64("doc_id"), "doc_id")
-    few = rows.select("doc_id", "lang", part.alias("part")).withColumn("__nth", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("__nth") <= max_docs)
-    picked = few.select("doc_id", "lang").withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("__nth") <= max_docs)
+    by_hash = (F.xxhash64("doc_id"), "doc_id")
+    few = rows.select("doc_id", "lang", part.alias("part")).withColumn("__nth", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by_hash))).filter(F.col("__nth") <= max_docs)
+    picked = few.select("doc_id", "lang").withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash))).filter(F.col("__nth") <= max_docs)
     # at most max_docs ids for each language
     sample = common.materialize(rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]), "langid")
     held = F.col("__nth") % CALIBRATION == 0
