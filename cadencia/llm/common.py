@@ -123,13 +123,18 @@ def segment_hashes(mixed: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     """64-bit hash of each segment [start, start + length) of values that were mixed before; equal segments, equal hashes."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
+    full = lengths > 0
+    if not full.all():  # reduceat has no empty runs
+        out = np.zeros(len(starts), np.uint64)
+        out[full] = segment_hashes(mixed, starts[full], lengths[full])
+        return out
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     within = np.arange(total, dtype=np.int64) - np.repeat(ends - lengths, lengths)
     power = powers(int(lengths.max()))
     first = ends - lengths
     values = mixed[np.repeat(starts, lengths) + within] * power[within]
-    out = np.add.reduceat(values, first) if total else np.zeros(len(starts), np.uint64)
+    out = np.add.reduceat(values, first)
     out ^= lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)
     return out * np.uint64(0xD6E8FEB86659FD93)
