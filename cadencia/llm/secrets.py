@@ -120,7 +120,7 @@ def candidates(raw: bytes) -> list[tuple[int, int, int, int, int, int]]:
             continue
         encoding, length = infer_encoding(run), len(run)
         if letters is None:
-            letters = re.sub(rb"[^A-Za-z]", b"", raw)
+            letters = re.sub(rb"[^A-Za-z]", b"", CANDIDATE.sub(lambda r: b"" if _mixed(r.group()) else r.group(), raw))
         # ordinary letters of the same document, as many as the candidate has, from its relative place
         at = int(m.start() / max(len(raw), 1) * max(len(letters) - length, 1))
         decoy = letters[at : at + length]
@@ -154,10 +154,12 @@ def tally(df: DataFrame, text_col: str = "text") -> np.ndarray:
 def thresholds(counts: np.ndarray, rate: float = FALSE_DISCOVERY_RATE) -> np.ndarray:
     """Least score bin to report for each (encoding, length class): decoys above it are at most `rate` of candidates above it.
 
+    Documents too short for a decoy have none, so decoys count by the share of candidates that have one.
     A bin under BINS - 20 (a combined p-value below 0.01) is never enough: it would not agree with randomness.
     """
     above = counts[:, :, ::-1].cumsum(2)[:, :, ::-1]
-    low = above[..., 1] <= rate * np.maximum(above[..., 0], 1)
+    scale = above[:, :, :1, 0] / np.maximum(above[:, :, :1, 1], 1)
+    low = above[..., 1] * scale <= rate * np.maximum(above[..., 0], 1)
     ok = np.minimum.accumulate(low[:, :, ::-1], axis=2)[:, :, ::-1] & (np.arange(BINS) >= BINS - 20)
     return np.where(ok.any(2), ok.argmax(2), BINS)
 

@@ -421,7 +421,7 @@ def test_lines_against_brute_force(spark, corpus):
 
 
 def test_lines_odd_inputs(spark, odd, empty):
-    a = "the quick brown fox jumps over the lazy dog near the river bank today"
+    a = "the quick brown fox jumps over the lazy dog near the river bank today while seven small boats sail past the old stone bridge in the rain"
     texts = [f"{a}\nshort\n{a}", f"{a.upper()}  \nshort\nother words that are only in this second document", a.replace("lazy", "hazy"), None, ""]
     rows = {r["doc_id"]: r for r in linededup.dedup_lines(documents(spark, texts)).collect()}
     assert rows[0]["text"] == f"{a}\nshort" and (rows[0]["n_lines"], rows[0]["n_dropped"]) == (3, 1)
