@@ -91,7 +91,7 @@ def customer_value(customers: DataFrame, orders: DataFrame, items: DataFrame, as
     spent = items.groupBy("order_id").agg(F.sum("amount").alias("amount"))
     done = orders.filter(F.col("status") == "completed").join(spent, "order_id", "left")
     grouped = done.groupBy("customer_id").agg(F.count(F.lit(1)).alias("order_count"), F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_spent"), F.min("order_date").alias("first"))
-    average = F.round(F.col("total_spent") / F.col("order_count"), 4)
+    average = F.round(F.col("total_spent") / F.col("order_count"), 6)
     tenure = F.greatest(F.datediff(F.lit(as_of).cast("date"), "first") / 365.25, F.lit(0.1))
     return customers.select("customer_id").join(grouped, "customer_id").select("customer_id", "order_count", "total_spent", average.alias("average_order"), F.round("total_spent", 0).alias("lifetime_value"), F.round(tenure, 4).alias("tenure_years"))
 

@@ -83,7 +83,7 @@ query("a11_repeat_pairs", "select customer_id, drug_id, count(*) purchases from
 query("a12_purchase_cycles", "select customer_id, drug_id, round(avg_cycle_days,6) avg_cycle_days, last_purchase_date, purchases, reminder_day from cycles")(lambda r: the_cycles(r).withColumn("avg_cycle_days", F.round("avg_cycle_days", 6)))
 query("a13_distinct_orders", f"select count(distinct order_id) orders, coalesce(sum(amount)::double,0) revenue from done where order_date>={D}-30")(lambda r: kpi.period_sales(r.orders(), r.items(), AS_OF, 30).select("orders", "revenue"))
 query("a14_at_risk", f"select count(*) total, count(*) filter (last_purchase_date+floor(avg_cycle_days)::int<{D}) at_risk, round(count(*) filter (last_purchase_date+floor(avg_cycle_days)::int<{D})*100::double/greatest(count(*),1),1) rate_pct from cycles")(lambda r: cycles.at_risk(the_cycles(r), AS_OF))
-query("a15_customer_value", f"""select customer_id, count(*) order_count, coalesce(sum(amt),0)::double total_spent, round(coalesce(sum(amt),0)::double/count(*),4) average_order, round(coalesce(sum(amt),0)::double,0) lifetime_value,
+query("a15_customer_value", f"""select customer_id, count(*) order_count, coalesce(sum(amt),0)::double total_spent, round(coalesce(sum(amt),0)::double/count(*),6) average_order, round(coalesce(sum(amt),0)::double,0) lifetime_value,
  round(greatest(({D}-min(order_date))/365.25::double,0.1::double),4) tenure_years from customers join ord using(customer_id) left join (select order_id, sum(amount) amt from items group by 1) using(order_id) where status='completed' group by customer_id""")(
     lambda r: kpi.customer_value(r.customers(), r.orders(), r.items(), AS_OF)
 )
@@ -167,7 +167,7 @@ query("l5_queue_read", "select order_id, order_date from ord where status='pendi
 query("l6_hashed_sample")(lambda r: lookups.hashed_sample(r.customers(), "customer_id", 50))
 query("u1_union_all", "select a drug_id, b partner, severity from interactions union all select b, a, severity from interactions")(lambda r: baskets.symmetric(r.interactions()))
 query("u2_distinct", "select distinct category, is_chronic from drugs")(lambda r: r.drugs().select("category", "is_chronic").distinct())
-query("u3_difference", "select p_partkey from part except select part_id from items")(lambda r: r.raw("part").select("p_partkey").join(r.items().select(F.col("part_id").alias("p_partkey")), "p_partkey", "left_anti"))
+query("u3_difference", "select p_partkey from part except select part_id from items where quantity>45")(lambda r: r.raw("part").select("p_partkey").join(r.items().filter("quantity > 45").select(F.col("part_id").alias("p_partkey")), "p_partkey", "left_anti"))
 query("d6_safety_gate", """with f as (select x.order_id, count(*) filter (severity='high') high, count(*) filter (severity<>'high') other from (select distinct x.order_id, x.drug_id a, y.drug_id b from items x join items y on x.order_id=y.order_id and x.drug_id<y.drug_id) x join interactions using(a,b) group by 1)
  select order_id, coalesce(high,0)>0 rejected, case when coalesce(high,0)>0 then 0 else coalesce(other,0) end warnings from (select distinct order_id from items) left join f using(order_id)""")(lambda r: baskets.safety_gate(r.items(), r.interactions()))
 query("q7_pair_rules", "select (select count(*) from interactions where a>=b) bad_order, (select coalesce(sum(n-1),0)::bigint from (select count(*) n from interactions group by a,b)) repeated, (select count(*) from (select a k from interactions union all select b from interactions) where k not in (select drug_id from drugs)) unknown_ends")(lambda r: baskets.pair_violations(r.interactions(), r.drugs()))
