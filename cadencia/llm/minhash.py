@@ -4,12 +4,12 @@ A document is the set of its 5-word shingles. Two small collections of `width` b
 give width * width tables: the key of table (i, j) joins band i of the first collection with band j of the second, so
 that many tables cost only the square root of their minhashes. Exact copies of a set are one class and
 appear once in the tables. In each bucket members are ordered so that those that agree in most further bands stand side by side,
-in another order in each table, and meet the next few; pairs whose bands agree too seldom to be similar are left out.
+in another order in each table, and meet the next few; pairs whose bands agree too seldom to be similar are left out at first.
 Candidates are confirmed on full shingle sets, in rounds that skip pairs already known to be connected. Links and classes
-meet in distributed connected components.
+meet in distributed connected components. A last pass compares all members of a bucket that are in different components by then.
 
-A bucket never makes all its pairs, and no member of a bucket is dropped: large families connect through the many tables that
-they share. Buckets that a sample shows to be very large are dealt in parts, along their order.
+Large families connect through the many tables that they share, so that few are left for the last pass; in a bucket of many
+members that are not similar its pairs grow with the square of these. Buckets that a sample shows to be very large are dealt in parts, along their order.
 
 Defined results: texts without a word have an empty set and link with nothing; rows with the same id are one node; a
 null id is never linked (component null, kept); an empty table gives no rows; extra columns are ignored.
@@ -41,6 +41,8 @@ SAMPLE, HOT, PARTS = 256, 64, 64
 #: A 64-bit outline of a class holds FIELD bits of each band. Pairs of which fewer than LEAST_FIELDS fields are equal are not similar
 #: enough: at 75 % 12 of 20 fields are equal on average, and fewer than 7 in 4 of 1000 tables' worth of chances.
 FIELD, LEAST_FIELDS = 3, 7
+#: Members of a bucket that one block of the last, complete pass holds.
+BLOCK = 1024
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -153,6 +155,24 @@ def _candidates(classes: DataFrame, width: int, neighbours: int) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _outside(classes: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """(a, b): all classes that share a bucket but not a component of the links so far.
+
+    In each such bucket the members outside its main component meet all its members, in blocks of BLOCK members.
+    """
+    known = connected_components(links)
+    placed = classes.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.explode(_keys(width)).alias("key"))
+    several = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
+    mixed = common.materialize(placed.join(several, "key", "left_semi"), "mixed-buckets")
+    mains = mixed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size"))
+    members = mixed.join(mains, "key").withColumn("parts", F.ceil(F.col("size") / BLOCK))
+    first = members.filter("c != main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("x"), F.col("c").alias("cx"), "main")
+    other = members.select(F.col("key").alias("k"), F.pmod(F.xxhash64(F.lit(2), "id"), F.col("parts")).alias("p"), F.col("id").alias("y"), F.col("c").alias("cy"))
+    once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
+    met = first.join(other, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & once)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
     """(id, shingle set as sorted 64-bit hashes) of the wanted ids, from the texts.
 
@@ -258,6 +278,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # whoever stands in a near miss or a component has a neighbour, so the sets are known
     links = tried.unionByName(_compared(_hub_pairs(classes, tried), sets, per_cent)).filter("linked").select("a", "b")
     links = common.materialize(links, "links")
+    # what neighbours, outlines and typical members missed: whoever shares a bucket and is not connected is compared
+    outside = common.materialize(_outside(classes, links, width), "outside")
+    ends = outside.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    missed = _compared(outside, common.materialize(_sets(df, id_col, text_col, ends, words), "sets"), per_cent).filter("linked").select("a", "b")
+    links = common.materialize(links.unionByName(missed), "links")
     # rows that share an id are one node: their classes are linked too
     twins = full.join(heads, ["f1", "f2", "n_shingles"]).filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
     component = connected_components(links.unionByName(_repeated(twins)))

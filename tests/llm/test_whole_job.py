@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from cadencia.llm import linededup
+from cadencia.llm import linededup, minhash
 
 
 def lines_frame(spark, lines):
@@ -60,3 +60,24 @@ def test_similar_lines_of_a_crowded_band_meet(spark):
     assert len(want) == 150
     got = {r["doc"] for r in linededup.find_repeats(lines_frame(spark, lines)).collect()}
     assert not got - want and len(got) >= 0.98 * len(want)
+
+
+# ---- near duplicates
+
+
+def test_twins_in_a_crowded_family_are_linked(spark):
+    """Members of a family share buckets but are not similar, except for the two of each pair."""
+    rng = random.Random(5)
+    new = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    core, texts = new(64), []
+    for _ in range(500):
+        shared = new(13)
+        texts += [f"{core} {shared} {new(11)}", f"{core} {shared} {new(11)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = {r["id"]: r["bands"] for r in minhash._sketch(df, "doc_id", "text", 10, 2, 5).collect()}
+    # banding itself is a matter of chance: twins without a common table do not meet
+    half = lambda i, at: any(x == y for x, y in zip(bands[i][at : at + 10], bands[i + 1][at : at + 10], strict=True))
+    meet = [i for i in range(0, len(texts), 2) if half(i, 0) and half(i, 10)]
+    assert len(meet) >= 498
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert [i for i in meet if got[i + 1] != i] == [] and all(got[i] in (i, i - i % 2) for i in got)
