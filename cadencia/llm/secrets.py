@@ -107,8 +107,8 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def _mixed(run: bytes) -> bool:
-    """A candidate holds letters, and a digit or a change of case inside: neither plain numbers nor ordinary words are tested."""
-    return bool(re.search(rb"[A-Za-z]", run)) and bool(re.search(rb"[0-9]|[a-z][A-Z]", run))
+    """A candidate holds letters, and a digit or a change of case inside, or is all capitals of base32: neither plain numbers nor ordinary words are tested."""
+    return bool(re.search(rb"[A-Za-z]", run)) and bool(re.search(rb"[0-9]|[a-z][A-Z]|^[A-Z]{16,}=*$", run))
 
 
 def candidates(raw: bytes) -> list[tuple[int, int, int, int, int, int]]:
@@ -124,6 +124,7 @@ def candidates(raw: bytes) -> list[tuple[int, int, int, int, int, int]]:
         # ordinary letters of the same document, as many as the candidate has, from its relative place
         at = int(m.start() / max(len(raw), 1) * max(len(letters) - length, 1))
         decoy = letters[at : at + length]
+        decoy = decoy.upper() if encoding == 1 else decoy
         decoy_bin = _bin(randomness(decoy, 2 if encoding == 0 else encoding)) if len(decoy) == length and decoy != run else -1
         out.append((m.start(), m.end(), encoding, _class(length), _bin(randomness(run, encoding)), decoy_bin))
     return out
@@ -152,15 +153,16 @@ def tally(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def thresholds(counts: np.ndarray, rate: float = FALSE_DISCOVERY_RATE) -> np.ndarray:
-    """Least score bin to report for each (encoding, length class): decoys above it are at most `rate` of candidates above it.
+    """Least score bin to report for each (encoding, length class) of which the decoys above it are at most `rate` of the candidates above it.
 
+    Stricter bins need not meet the rate by themselves (target and decoy counts as usual: a q-value is the least rate at which a score
+    is reported), so that a chance decoy in the top bin does not stand against all others.
     Documents too short for a decoy have none, so decoys count by the share of candidates that have one.
     A bin under BINS - 20 (a combined p-value below 0.01) is never enough: it would not agree with randomness.
     """
     above = counts[:, :, ::-1].cumsum(2)[:, :, ::-1]
     scale = above[:, :, :1, 0] / np.maximum(above[:, :, :1, 1], 1)
-    low = above[..., 1] * scale <= rate * np.maximum(above[..., 0], 1)
-    ok = np.minimum.accumulate(low[:, :, ::-1], axis=2)[:, :, ::-1] & (np.arange(BINS) >= BINS - 20)
+    ok = (above[..., 1] * scale <= rate * np.maximum(above[..., 0], 1)) & (np.arange(BINS) >= BINS - 20)
     return np.where(ok.any(2), ok.argmax(2), BINS)
 
 

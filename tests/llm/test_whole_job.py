@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from cadencia.llm import linededup, minhash
+import numpy as np
+
+from cadencia.llm import linededup, minhash, secrets
 
 
 def lines_frame(spark, lines):
@@ -81,3 +83,24 @@ def test_twins_in_a_crowded_family_are_linked(spark):
     assert len(meet) >= 498
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
     assert [i for i in meet if got[i + 1] != i] == [] and all(got[i] in (i, i - i % 2) for i in got)
+
+
+# ---- secrets
+
+
+def test_one_decoy_in_the_top_bin_does_not_switch_a_class_off():
+    counts = np.zeros((len(secrets.ENCODINGS), len(secrets.LENGTH_CLASSES), secrets.BINS, 2), np.int64)
+    counts[2, 3, 85:99, 0], counts[2, 3, 99, 0] = 70, 30
+    counts[2, 3, 99, 1], counts[2, 3, 10, 1] = 1, 1000
+    limit = secrets.thresholds(counts)[2, 3]
+    assert secrets.BINS - 20 <= limit <= 85
+    counts[2, 3, 90, 1] = 500
+    assert secrets.thresholds(counts)[2, 3] == 91
+
+
+def test_base32_keys_without_a_digit_are_tested():
+    rng = random.Random(2)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(32)).encode()
+    words = b"ordinary words stand before and after it in this text, more than the key is long "
+    [(start, end, encoding, _, _, decoy)] = secrets.candidates(words + key + b" end")
+    assert (start, end, secrets.ENCODINGS[encoding]) == (len(words), len(words) + 32, "base32") and decoy >= 0
