@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
@@ -50,9 +51,20 @@ def piece_table(path: str) -> dict[int, bytes]:
 
 #: Longer runs of white space overflow the pattern's backtracking; such texts are split by hand first.
 LONG_BLANK = 50_000
+#: White space as the pattern has it: unlike Python's it leaves out four control characters.
+_BLANKS = re.compile(rf"[^\S\x1c-\x1f]{{{LONG_BLANK},}}")
 
 
 def encode(path: str, text: str) -> np.ndarray:
     """Ids of one text as uint32; strings of special tokens count as these, as in the library's own encode()."""
     encoding, special = load(path)
-    return encoding.encode_to_numpy(text, allowed_special="all" if any(t.decode() in text for t in special.values()) else set(), disallowed_special=())
+    marks = tuple(t.decode() for t in special.values())
+    allowed = "all" if any(t in text for t in marks) else set()
+    whole = lambda t: encoding.encode_to_numpy(t, allowed_special=allowed, disallowed_special=())
+    parts, at = [], 0
+    for m in _BLANKS.finditer(text):
+        # the pattern takes a run as one word, less its last blank where another word follows
+        end = m.end() if m.end() == len(text) or text.startswith(marks, m.end()) else m.end() - 1
+        parts += [whole(text[at : m.start()]), np.array(encoding._encode_single_piece(text[m.start() : end]), np.uint32)]
+        at = end
+    return np.concatenate([*parts, whole(text[at:])]) if parts else whole(text)

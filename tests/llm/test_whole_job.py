@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from cadencia.llm import linededup, minhash, secrets
+from cadencia.llm import bpe, linededup, minhash, packing, secrets, tokens
 
 
 def lines_frame(spark, lines):
@@ -104,3 +104,21 @@ def test_base32_keys_without_a_digit_are_tested():
     words = b"ordinary words stand before and after it in this text, more than the key is long "
     [(start, end, encoding, _, _, decoy)] = secrets.candidates(words + key + b" end")
     assert (start, end, secrets.ENCODINGS[encoding]) == (len(words), len(words) + 32, "base32") and decoy >= 0
+
+
+# ---- tokens
+
+
+def test_long_white_space(spark):
+    import tokenizers
+
+    path = tokens.default_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    blank = " " * 2_000_000
+    texts = [f"a{blank}b c", blank, "x" + "\n" * 60_000 + "\tword", f"one{' ' * 60_000}<|endoftext|> two", "a" + " \x1c" * 30_000 + " b"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [tokens.encode(path, t).tolist() for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode_documents(df).collect()}
+    assert [got[i] for i in range(3)] == want[:3]
+    assert packing.pack_documents(df).count() > 0
