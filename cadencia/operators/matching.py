@@ -57,9 +57,8 @@ def candidates(lines: DataFrame, catalog: DataFrame, most: int = CANDIDATES) ->
     """Scored pairs of distinct names: each pair of names is scored once, whatever the number of lines."""
     left = lines.select("name").filter(F.length("name") > 2).distinct().select("name", F.explode(blocking_keys(F.col("name"))).alias("key"))
     right = catalog.select("c_name").distinct().select("c_name", F.explode(blocking_keys(F.col("c_name"))).alias("key"))
-    shared = left.join(right, "key").groupBy("name", "c_name").agg(F.count(F.lit(1)).alias("shared"))
-    likeliest = Window.partitionBy("name").orderBy(F.desc("shared"), "c_name")
-    near = shared.withColumn("nth", F.row_number().over(likeliest)).filter(F.col("nth") <= 4 * most)
+    # whoever shares a key is scored; only scores decide who is kept
+    near = left.join(right, "key").select("name", "c_name").distinct()
     scored = near.withColumn("s", sm.name_scores("name", "c_name")).select("name", "c_name", "s")
     best = Window.partitionBy("name").orderBy(F.desc("s.name"), "c_name")
     return scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= most).drop("nth")
