@@ -39,10 +39,12 @@ def words(c: Column) -> Column:
 
 def lexical_score(query: Column, content: Column) -> Column:
     """Share of the query's stems found in the content's (equal or inside), plus 0.3 for each shared number, at most 1."""
-    q, c = words(query), words(content)
-    found = F.size(F.filter(q, lambda w: F.exists(c, lambda x: F.contains(x, w))))
+    q = words(query)
+    # both lists of stems are made once for each pair, not once for each stem
+    both = F.array(F.struct(q.alias("q"), words(content).alias("c")))
+    found = F.transform(both, lambda b: F.when(F.size(b["c"]) > 0, F.size(F.filter(b["q"], lambda w: F.exists(b["c"], lambda x: F.contains(x, w))))))[0]
     numbers = F.size(F.array_intersect(F.regexp_extract_all(query, F.lit(r"(\d+)"), F.lit(1)), F.regexp_extract_all(content, F.lit(r"(\d+)"), F.lit(1))))
-    return F.when((F.size(q) == 0) | (F.size(c) == 0), 0.0).otherwise(F.least(F.lit(1.0), found / F.size(q) + 0.3 * numbers))
+    return F.when((F.size(q) == 0) | found.isNull(), 0.0).otherwise(F.least(F.lit(1.0), found / F.size(q) + 0.3 * numbers))
 
 
 def hybrid(df: DataFrame, dense: float = 0.6, lexical: float = 0.4) -> DataFrame:
