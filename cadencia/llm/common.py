@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,20 @@ def drop_materialized(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """materialize() for tables that nothing reads after the block; they are deleted at its end."""
+    made = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialize(df, name))
+        return made[-1]
+
+    yield keep
+    for df in made:
+        drop_materialized(df)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
