@@ -6,10 +6,11 @@ that many tables cost only the square root of their minhashes. Exact copies of a
 appear once in the tables. In each bucket members are ordered so that those that agree in most further bands stand side by side,
 in another order in each table, and meet the next few; pairs whose bands agree too seldom to be similar are left out at first.
 Candidates are confirmed on full shingle sets, in rounds that skip pairs already known to be connected. Links and classes
-meet in distributed connected components. A last pass compares all members of a bucket that are in different components by then.
+meet in distributed connected components. The members of buckets that hold several components by then go through an exact join
+(prefix and position filters over their rarest shingles, see prefixes.py), so that what stays to chance is only that two
+similar documents share none of the tables.
 
-Large families connect through the many tables that they share, so that few are left for the last pass; in a bucket of many
-members that are not similar its pairs grow with the square of these. Buckets that a sample shows to be very large are dealt in parts, along their order.
+Sets are held as 64-bit hashes of their shingles. Buckets that a sample shows to be very large are dealt in parts, along their order, to find neighbours.
 
 Defined results: texts without a word have an empty set and link with nothing; rows with the same id are one node; a
 null id is never linked (component null, kept); an empty table gives no rows; extra columns are ignored.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadencia.llm import common
+from cadencia.llm import common, prefixes
 from cadencia.llm.components import connected_components
 
 WORDS = 5
@@ -41,8 +42,6 @@ SAMPLE, HOT, PARTS = 256, 64, 64
 #: A 64-bit outline of a class holds FIELD bits of each band. Pairs of which fewer than LEAST_FIELDS fields are equal are not similar
 #: enough: at 75 % 12 of 20 fields are equal on average, and fewer than 7 in 4 of 1000 tables' worth of chances.
 FIELD, LEAST_FIELDS = 3, 7
-#: Members of a bucket that one block of the last, complete pass holds.
-BLOCK = 1024
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -128,8 +127,8 @@ def _equal_fields(x, y, width: int):
     return F.bit_count(F.bitwise_not(d).bitwiseAND(F.lit(ones)))
 
 
-def _candidates(classes: DataFrame, width: int, neighbours: int) -> DataFrame:
-    """(a, b, shared): classes that are neighbours in a bucket and agree in enough bands, and in how many buckets.
+def _mates(classes: DataFrame, width: int, neighbours: int) -> DataFrame:
+    """(key, id, near): the members of buckets of several classes, and their neighbours there that agree in enough bands.
 
     A bucket is ordered by the outline, turned so that another band leads in each table: classes that agree in most further
     bands stand side by side in some of the tables that they share.
@@ -137,40 +136,50 @@ def _candidates(classes: DataFrame, width: int, neighbours: int) -> DataFrame:
     bits = FIELD * 2 * width
     if bits > 62:
         raise ValueError("the outline of so many bands does not fit 64 bits")
-    rows = classes.select("id", _outline(width).alias("outline"), F.posexplode(_keys(width)).alias("table", "key"))
+    # few files hold many classes: dealt anew, so that all cores make the tables
+    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    rows = dealt.select("id", _outline(width).alias("outline"), F.posexplode(_keys(width)).alias("table", "key"))
     # a bounded sample of documents finds the very large buckets; their number is bounded by its size over HOT
     hot = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT).select("key", F.lit(PARTS).alias("parts"))
     hot = common.materialize(hot, "hot")
     turn = (F.col("table") * 7 % (2 * width)) * FIELD
     turned = F.call_function("shiftright", F.col("outline"), turn.cast("int")).bitwiseOR(F.call_function("shiftleft", F.col("outline"), (bits - turn).cast("int")).bitwiseAND(F.lit((1 << bits) - 1)))
     rows = rows.select("id", "key", "outline", turned.alias("turned"))
-    part = F.lit(0)
+    part, dealt = F.lit(0), F.lit(False)
     if hot.count():
         # very large buckets are cut where the turned outline changes, so neighbours stay together
         rows = rows.join(hot, "key", "left")
-        part = F.pmod(F.shiftright("turned", bits - 12), F.coalesce("parts", F.lit(1)))
+        part, dealt = F.pmod(F.shiftright("turned", bits - 12), F.coalesce("parts", F.lit(1))), F.col("parts").isNotNull()
     w = Window.partitionBy("key", part).orderBy("turned", "id")
     near = F.array(*(F.when(_equal_fields(F.col("outline"), F.lag("outline", k).over(w), width) >= LEAST_FIELDS, F.lag("id", k).over(w)) for k in range(1, neighbours + 1)))
-    pairs = rows.select("id", F.array_compact(near).alias("near")).filter(F.size("near") > 0).select("id", F.explode("near").alias("other"))
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    mate = F.lag("id", 1).over(w).isNotNull() | F.lead("id", 1).over(w).isNotNull() | dealt
+    return rows.select("key", "id", F.array_compact(near).alias("near"), mate.alias("mate")).filter("mate").drop("mate")
 
 
-def _outside(classes: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """(a, b): all classes that share a bucket but not a component of the links so far.
+def _pairs(mates: DataFrame) -> DataFrame:
+    """(a, b, shared): neighbours, and in how many buckets."""
+    pairs = mates.select("id", F.explode("near").alias("other"))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
-    In each such bucket the members outside its main component meet all its members, in blocks of BLOCK members.
-    """
-    known = connected_components(links)
-    placed = classes.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.explode(_keys(width)).alias("key"))
+
+def _mixed(mates: DataFrame, known: DataFrame) -> DataFrame:
+    """Ids of the members of buckets that hold several components."""
+    placed = mates.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     several = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
-    mixed = common.materialize(placed.join(several, "key", "left_semi"), "mixed-buckets")
-    mains = mixed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size"))
-    members = mixed.join(mains, "key").withColumn("parts", F.ceil(F.col("size") / BLOCK))
-    first = members.filter("c != main").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("x"), F.col("c").alias("cx"), "main")
-    other = members.select(F.col("key").alias("k"), F.pmod(F.xxhash64(F.lit(2), "id"), F.col("parts")).alias("p"), F.col("id").alias("y"), F.col("c").alias("cy"))
-    once = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    met = first.join(other, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & once)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return placed.join(several, "key", "left_semi").select("id").distinct()
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    """(id, n, token) of packed sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in common.slices(whole, "hashes"):
+                sizes = np.array([len(x) // 8 for x in b.column(1).to_pylist()], np.int64)
+                token = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(token)], names=["id", "n", "token"])
+
+    return sets.select("id", "hashes").mapInArrow(run, "id long, n long, token long")
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
@@ -260,9 +269,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = sketches.filter(F.col("n_shingles") > 0)
     heads = full.filter(F.col("id").isNotNull()).groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("head"))
     classes = common.materialize(full.join(heads, ["f1", "f2", "n_shingles"]).filter(F.col("id") == F.col("head")).select("id", "bands").dropDuplicates(["id"]), "classes")
-    pairs = common.materialize(_candidates(classes, width, neighbours), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = common.materialize(_sets(df, id_col, text_col, ends, words), "sets")
+    mates = common.materialize(_mates(classes, width, neighbours), "mates")
+    pairs = common.materialize(_pairs(mates), "pairs")
+    sets = common.materialize(_sets(df, id_col, text_col, mates.select("id").distinct(), words), "sets")
     tried, left = None, pairs
     # first the likeliest partner of each class, then a few, then whatever is not connected by then, then typical members
     for most in (1, 4, None):
@@ -278,11 +287,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # whoever stands in a near miss or a component has a neighbour, so the sets are known
     links = tried.unionByName(_compared(_hub_pairs(classes, tried), sets, per_cent)).filter("linked").select("a", "b")
     links = common.materialize(links, "links")
-    # what neighbours, outlines and typical members missed: whoever shares a bucket and is not connected is compared
-    outside = common.materialize(_outside(classes, links, width), "outside")
-    ends = outside.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    missed = _compared(outside, common.materialize(_sets(df, id_col, text_col, ends, words), "sets"), per_cent).filter("linked").select("a", "b")
-    links = common.materialize(links.unionByName(missed), "links")
+    # what neighbours, outlines and typical members missed
+    known = connected_components(links)
+    apart = sets.join(common.materialize(_mixed(mates, known), "mixed"), "id", "left_semi")
+    with common.scratch() as keep:
+        verify = lambda some: _compared(some, sets, per_cent).filter("linked").select("a", "b")
+        known = prefixes.connect(keep(_tokens(apart), "tokens"), known, verify, per_cent, keep)
+    links = known.select(F.col("component").alias("a"), F.col("id").alias("b"))
     # rows that share an id are one node: their classes are linked too
     twins = full.join(heads, ["f1", "f2", "n_shingles"]).filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
     component = connected_components(links.unionByName(_repeated(twins)))
