@@ -10,7 +10,8 @@ Blocks are cut by the scan's partitions, which both passes over the texts read a
 list of words: a block that was cut differently finds no list and raises an error rather than a wrong result.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded each; special tokens' strings in a text count as
-these tokens; an empty table gives no rows.
+these tokens; an empty table gives no rows; columns other than doc_id and text are not read. Two words of a block with one 64-bit hash end the job with an
+error instead of wrong ids.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ BLOCK_CHARS = 24_000_000
 _SLICE_BYTES = 1_500_000
 _DOCS_A_ROW = 256
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_CHECK = np.uint64(0xA24BAED4963EE407)
 
 
 @functools.cache
@@ -54,6 +56,11 @@ def _mixes() -> np.ndarray:
     return np.random.default_rng(41).integers(1, 2**63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _second(mixed: np.ndarray) -> np.ndarray:
+    """Other numbers for the same characters, so that sums of these are independent of sums of the first."""
+    return (mixed ^ (mixed >> np.uint64(29))) * _CHECK
+
+
 def split_starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Places where a word begins, by tokens.SPLIT_PATTERN, in texts that begin at `first` (the last is the end)."""
     n = len(code)
@@ -90,10 +97,10 @@ def split_starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _segments(texts: list[str], special: list[str]) -> tuple[list[str], np.ndarray]:
-    """(pieces of texts, text of each): special tokens' strings stand alone."""
+def _segments(texts: list[str], special: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(pieces of texts, text of each, whether each is a special token's string): these stand alone."""
     if not any(s in t for t in texts for s in special):
-        return texts, np.arange(len(texts))
+        return texts, np.arange(len(texts)), np.zeros(len(texts), bool)
     out, owner = [], []
     for i, text in enumerate(texts):
         parts = [text]
@@ -101,7 +108,7 @@ def _segments(texts: list[str], special: list[str]) -> tuple[list[str], np.ndarr
             parts = [p for x in parts for p in _between(x, s, special)]
         out += parts
         owner += [i] * len(parts)
-    return out, np.array(owner)
+    return out, np.array(owner), np.isin(out, special)
 
 
 def _between(text: str, mark: str, special: list[str]) -> list[str]:
@@ -113,14 +120,14 @@ def _between(text: str, mark: str, special: list[str]) -> list[str]:
 
 def split_words(texts: list[str], special: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(all text, word starts, word lengths, text of each word, word hashes)."""
-    pieces, owner = _segments(texts, special)
+    pieces, owner, alone = _segments(texts, special)
     sizes = np.array([len(p) for p in pieces], np.int64)
     joined = "".join(pieces)
     code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     first = np.r_[0, np.cumsum(sizes)]
     starts = split_starts(code, first)
-    if len(pieces) != len(texts):  # inside of a special token's string there are no words
-        whole = np.flatnonzero(np.isin(pieces, special))
+    if alone.any():  # inside of a special token's string there are no words
+        whole = np.flatnonzero(alone)
         inside = np.zeros(len(code) + 1, np.int64)
         np.add.at(inside, first[whole] + 1, 1)
         np.add.at(inside, first[whole + 1], -1)
@@ -135,7 +142,7 @@ class _Block:
 
     def __init__(self, special: list[str], with_words: bool) -> None:
         self.special, self.with_words = special, with_words
-        self.chars, self.hashes, self.counts, self.codes, self.words, self.docs, self.ids = 0, [], [], [], {}, [], []
+        self.chars, self.hashes, self.counts, self.codes, self.words, self.checks, self.docs, self.ids = 0, [], [], [], {}, {}, [], []
 
     def add(self, texts: list[str], ids: pa.Array) -> None:
         joined, starts, lengths, owner, hashes = split_words(texts, self.special)
@@ -144,6 +151,10 @@ class _Block:
             for h, a in zip(own.tolist(), at.tolist(), strict=True):
                 if h not in self.words:
                     self.words[h] = joined[starts[a] : starts[a] + lengths[a]]
+            # a second hash tells two words of one hash apart, within the slice and from those before
+            check = common.segment_hashes(_second(_mixes()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]), starts, lengths)
+            if (check != check[at][inverse]).any() or (check[at] != np.array([self.checks.setdefault(h, c) for h, c in zip(own.tolist(), check[at].tolist(), strict=True)], np.uint64)).any():
+                raise ValueError("two words of a block share a 64-bit hash; nothing was encoded")
         else:
             self.codes.append(inverse.astype(np.uint32))
             self.docs.append(np.bincount(owner, minlength=len(texts)))
