@@ -8,7 +8,8 @@ their number, and the driver holds a table bounded by the capacity. Documents th
 rank among those of their length, which counts over (partition, length) give without sorting documents.
 
 Defined results: a null or empty text is one end token; a document longer than the capacity is cut into pieces
-of the whole capacity, the first may be shorter; repeated rows are packed each; an empty table gives no rows.
+of the whole capacity, the first may be shorter; repeated rows and null ids are packed each; among pieces of one length the order is that of the scan's
+partitions; an empty table gives no rows; other columns are not returned.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def tokenize_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (b for whole in batches for b in common.slices(whole, text_col)):
             owner, rows, ids_out = [], [], []
             for i, text in enumerate(common.text_array(batch.column(text_col)).to_pylist()):
                 ids = np.append(tokens.encode(path, text), np.uint32(end_id))
