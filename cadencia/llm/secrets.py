@@ -136,7 +136,7 @@ def tally(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, np.int64)
-        for b in batches:
+        for b in (b for whole in batches for b in common.slices(whole, text_col)):
             for raw in b.column(0).cast(pa.binary()).to_pylist():
                 for _, _, e, c, score, decoy in candidates(raw or b""):
                     total[e, c, score, 0] += 1
@@ -166,12 +166,23 @@ def thresholds(counts: np.ndarray, rate: float = FALSE_DISCOVERY_RATE) -> np.nda
     return np.where(ok.any(2), ok.argmax(2), BINS)
 
 
+def _apart(extra: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of `extra` that overlap none of `found`; both are sorted and walked once."""
+    out, at, reach = [], 0, 0
+    for span in extra:
+        while at < len(found) and found[at][0] < span[2]:
+            reach, at = max(reach, found[at][2]), at + 1
+        if reach <= span[0]:
+            out.append(span)
+    return out
+
+
 def find_spans(raw: bytes, limits: np.ndarray | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes: the base spans, and random runs that no base span overlaps."""
     found = base_spans(raw)
     if limits is not None:
         extra = [(a, 3, z) for a, z, e, c, score, _ in candidates(raw) if score >= limits[e, c]]
-        found = sorted(found + [x for x in extra if not any(x[0] < z and a < x[2] for a, _, z in found)])
+        found = sorted(found + _apart(extra, found))
     return found
 
 
