@@ -7,7 +7,8 @@ lowest cross-entropy per character; it is accepted if that is not above the lang
 quantile on sampled documents that were kept out of the counts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the alphabetically
-first language; without any labelled document all texts are `und`; repeated rows are treated each.
+first language; without any labelled document all texts are `und`, without any document there are no rows; repeated rows are treated each; texts of any
+length are scored whole; columns of the names made here are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ ORDER = 4
 MAX_DOCS_PER_LANGUAGE = 400
 CALIBRATION = 8
 UNKNOWN = "und"
+#: A language's limit is this quantile of its held-out texts; scores take the temperature that makes their own languages likeliest.
+REJECTED = 0.99
+TEMPERATURES = [2.0**k for k in range(12)]
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,6 +112,7 @@ class LanguageModels:
     backoff: list[np.ndarray]  # at n - 1: log weight that the context (of n codes) leaves to shorter ones
     unseen: float
     limits: np.ndarray | None = None
+    temperature: float = 1.0
 
     def _at(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.grams[n - 1]
@@ -205,7 +210,9 @@ def fit_languages(documents: DataFrame, train=None, order: int = ORDER, max_docs
     few = rows.select("doc_id", "lang", part.alias("part")).withColumn("__nth", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by_hash))).filter(F.col("__nth") <= max_docs)
     picked = few.select("doc_id", "lang").withColumn("__nth", F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash))).filter(F.col("__nth") <= max_docs)
     # at most max_docs ids for each language
-    sample = common.materialize(rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]), "langid")
+    # rows that repeat an id and its language count once
+    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(picked.dropDuplicates(["doc_id", "lang"])), ["doc_id", "lang"])
+    sample = common.materialize(chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.min("__nth").alias("__nth")), "langid")
     held = F.col("__nth") % CALIBRATION == 0
     counts = _count_grams(sample.filter(~held).select("lang", "text"), order).toArrow()
     if counts.num_rows == 0:
@@ -213,13 +220,35 @@ def fit_languages(documents: DataFrame, train=None, order: int = ORDER, max_docs
         return None
     models = _smooth(counts, order)
     scored = _scored(sample.filter(held).select("lang", "text"), models)
-    best = scored.filter(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.percentile("nats", 0.99).alias("high"), F.stddev_pop("nats").alias("sd")).collect()
-    limit = {r["lang"]: r["high"] + 4 * r["sd"] for r in best}
+    best = scored.filter(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.percentile("nats", REJECTED).alias("high")).collect()
+    limit = {r["lang"]: r["high"] for r in best}
     models.limits = np.array([limit.get(x, np.inf) for x in models.languages])
+    models.temperature = _calibrated(sample.filter(held).select("lang", "text"), models)
     common.drop_materialized(sample)
     return models
 
 
+def _beliefs(nats: np.ndarray, size: np.ndarray, temperature: float) -> np.ndarray:
+    """The models' shares of belief (texts x languages) from the cross-entropies and lengths."""
+    belief = np.exp(-(nats - nats.min(1, keepdims=True)) * size[:, None] / temperature)
+    return belief / belief.sum(1, keepdims=True)
+
+
+def _calibrated(held: DataFrame, models: LanguageModels) -> float:
+    """The temperature under which the held-out texts' own languages are likeliest."""
+    place = {x: i for i, x in enumerate(models.languages)}
+
+    def make(b: pa.RecordBatch) -> dict:
+        nats, size, _ = models.cross_entropy(b.column("text"))
+        own = np.array([place.get(x, 0) for x in b.column("lang").to_pylist()], np.int64)
+        each = [-np.log(np.maximum(_beliefs(nats, size, t)[np.arange(len(own)), own], 1e-9)) for t in TEMPERATURES]
+        return {"losses": pa.array(list(np.stack(each, 1)), pa.list_(pa.float64()))}
+
+    losses = common.add_columns(held, make, [T.StructField("losses", T.ArrayType(T.DoubleType()))])
+    sums = {r["pos"]: r["loss"] for r in losses.select(F.posexplode("losses").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("loss")).collect()}
+    return TEMPERATURES[min(sums, key=lambda i: (sums[i], i))] if sums else 1.0
+
+
 def _scored(df: DataFrame, models: LanguageModels | None, text_col: str = "text") -> DataFrame:
     names = None if models is None else np.array(models.languages, object)
 
@@ -229,11 +258,10 @@ def _scored(df: DataFrame, models: LanguageModels | None, text_col: str = "text"
         nats, size, letters = models.cross_entropy(b.column(text_col))
         best = nats.argmin(1)
         low = nats[np.arange(len(best)), best]
-        # the models' share of belief; evidence is taken as worth 50 characters at most
-        belief = np.exp(-(nats - low[:, None]) * np.minimum(size, 50)[:, None])
+        belief = _beliefs(nats, size, models.temperature)[np.arange(len(best)), best]
         none = letters == 0
         limits = np.full(len(names), np.inf) if models.limits is None else models.limits
-        return {"lang_pred": np.where(none, UNKNOWN, names[best]).tolist(), "score": np.where(none, 0.0, 1 / belief.sum(1)), "nats": low, "accepted": ~none & (low <= limits[best])}
+        return {"lang_pred": np.where(none, UNKNOWN, names[best]).tolist(), "score": np.where(none, 0.0, belief), "nats": low, "accepted": ~none & (low <= limits[best])}
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("nats", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
     return common.add_columns(df, make, fields, text_col)

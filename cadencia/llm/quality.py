@@ -167,10 +167,11 @@ def fit_quality(documents: DataFrame, labels: DataFrame, train=None, max_rows: i
     if train is not None:
         picked = picked.filter(train)
     # at most max_rows ids: small enough to broadcast at any size of the corpus
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(max_rows)
+    picked = picked.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(max_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     stats = common.add_columns(rows, lambda b: {"__x": pa.array(list(document_statistics(b.column("text"))), pa.list_(pa.float64()))}, [T.StructField("__x", T.ArrayType(T.DoubleType()))])
-    sample = stats.select("doc_id", "__y", "__x").toPandas().sort_values(["doc_id", "__y"])
+    # rows that repeat an id count once, so that no more than max_rows come to the driver
+    sample = stats.groupBy("doc_id", "__y").agg(F.min("__x").alias("__x")).toPandas().sort_values(["doc_id", "__y"])
     x = np.array(sample["__x"].tolist(), float).reshape(len(sample), len(FEATURES))
     return grow_trees(x, sample["__y"].to_numpy(float), **settings)
 
