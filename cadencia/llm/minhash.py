@@ -269,34 +269,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = sketches.filter(F.col("n_shingles") > 0)
     heads = full.filter(F.col("id").isNotNull()).groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("head"))
     classes = common.materialize(full.join(heads, ["f1", "f2", "n_shingles"]).filter(F.col("id") == F.col("head")).select("id", "bands").dropDuplicates(["id"]), "classes")
-    mates = common.materialize(_mates(classes, width, neighbours), "mates")
-    pairs = common.materialize(_pairs(mates), "pairs")
-    sets = common.materialize(_sets(df, id_col, text_col, mates.select("id").distinct(), words), "sets")
-    tried, left = None, pairs
-    # first the likeliest partner of each class, then a few, then whatever is not connected by then, then typical members
-    for most in (1, 4, None):
-        turn = left
-        if most is not None:
-            likeliest = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-            ranked = left.withColumn("nth", F.row_number().over(likeliest))
-            turn, left = ranked.filter(F.col("nth") <= most), ranked.filter(F.col("nth") > most).select("a", "b", "shared")
-        found = common.materialize(_compared(turn.select("a", "b"), sets, per_cent), "tried")
-        tried = found if tried is None else tried.unionByName(found)
-        if most is not None:
-            left = common.materialize(_apart(left, tried.filter("linked")), "left")
-    # whoever stands in a near miss or a component has a neighbour, so the sets are known
-    links = tried.unionByName(_compared(_hub_pairs(classes, tried), sets, per_cent)).filter("linked").select("a", "b")
-    links = common.materialize(links, "links")
-    # what neighbours, outlines and typical members missed
-    known = connected_components(links)
-    apart = sets.join(common.materialize(_mixed(mates, known), "mixed"), "id", "left_semi")
     with common.scratch() as keep:
+        mates = keep(_mates(classes, width, neighbours), "mates")
+        pairs = keep(_pairs(mates), "pairs")
+        sets = keep(_sets(df, id_col, text_col, mates.select("id").distinct(), words), "sets")
+        tried, left = None, pairs
+        # first the likeliest partner of each class, then a few, then whatever is not connected by then, then typical members
+        for most in (1, 4, None):
+            turn = left
+            if most is not None:
+                likeliest = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+                ranked = left.withColumn("nth", F.row_number().over(likeliest))
+                turn, left = ranked.filter(F.col("nth") <= most), ranked.filter(F.col("nth") > most).select("a", "b", "shared")
+            found = keep(_compared(turn.select("a", "b"), sets, per_cent), "tried")
+            tried = found if tried is None else tried.unionByName(found)
+            if most is not None:
+                left = keep(_apart(left, tried.filter("linked")), "left")
+        # whoever stands in a near miss or a component has a neighbour, so the sets are known
+        links = tried.unionByName(_compared(_hub_pairs(classes, tried), sets, per_cent)).filter("linked").select("a", "b")
+        links = keep(links, "links")
+        # what neighbours, outlines and typical members missed
+        known = connected_components(links)
+        apart = sets.join(keep(_mixed(mates, known), "mixed"), "id", "left_semi")
         verify = lambda some: _compared(some, sets, per_cent).filter("linked").select("a", "b")
         known = prefixes.connect(keep(_tokens(apart), "tokens"), known, verify, per_cent, keep)
-    links = known.select(F.col("component").alias("a"), F.col("id").alias("b"))
-    # rows that share an id are one node: their classes are linked too
-    twins = full.join(heads, ["f1", "f2", "n_shingles"]).filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    component = connected_components(links.unionByName(_repeated(twins)))
+        links = known.select(F.col("component").alias("a"), F.col("id").alias("b"))
+        # rows that share an id are one node: their classes are linked too
+        twins = full.join(heads, ["f1", "f2", "n_shingles"]).filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
+        component = connected_components(links.unionByName(_repeated(twins)))
     placed = sketches.join(heads, ["f1", "f2", "n_shingles"], "left").withColumn("node", F.coalesce("head", "id"))
     out = placed.join(component.select(F.col("id").alias("node"), "component"), "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "node"))
