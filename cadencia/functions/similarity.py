@@ -95,6 +95,13 @@ def phonetic_key(text: str) -> str:
     return " ".join(words)
 
 
+@F.pandas_udf(T.DoubleType())
+def phonetic_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaro-Winkler of the phonetic keys, 0 to 100."""
+    keys = [(phonetic_key(x or ""), phonetic_key(y or "")) for x, y in zip(a, b, strict=True)]
+    return pd.Series([100 * jaro_winkler(p, q) if p and q else 0.0 for p, q in keys])
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_error(a: pd.Series, b: pd.Series) -> pd.Series:
     """Character error 1 - matching-blocks ratio, to four places."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Affixes in the order in which they are tried.
 PREFIXES = ("وال", "فال", "كال", "بال", "لل", "ال")
 SUFFIXES = ("ات", "ين", "ون", "ها", "هم", "هن", "كم", "نا", "يه", "ية")
+#: Diacritics and tatweel.
+MARKS = "[ؐ-ًؚ-ْۖ-ۭـ]"
 #: Units of strength, forms of dosage.
 UNITS = "mg|g|gm|mcg|μg|iu|ml|%"
 FORMS = "tab|tabs|cap|caps|tablet|tablets|capsule|capsules|sachet|sachets|drop|drops|puff|puffs|pen|pens|vial|vials|amp|amps|susp|suspension|syrup|ml"
@@ -18,7 +20,7 @@ STRENGTH = rf"(?i)(\d+(?:\.\d+)?\s*(?:{UNITS})(?![a-z]))"
 
 def normalize_arabic(c: Column, collapse: bool = False) -> Column:
     """Without diacritics and tatweel, letter variants unified; collapse cuts runs of three or more of a letter to two."""
-    bare = F.regexp_replace(c, "[ؐ-ًؚ-ْۖ-ۭـ]", "")
+    bare = F.regexp_replace(c, MARKS, "")
     plain = F.translate(bare, "إأآةىؤئ", "اااهيوي")
     return F.trim(F.regexp_replace(plain, r"(.)\1{2,}", "$1$1") if collapse else plain)
 
@@ -107,6 +109,28 @@ def fenced_json(c: Column, schema: str) -> Column:
     return F.from_json(body, schema)
 
 
+def json_or_fields(c: Column, *names: str) -> Column:
+    """A struct of texts: each field from the (fenced) JSON object, or, where that can't be read, from a `"name": value` in the text."""
+    read = fenced_json(c, ", ".join(f"`{n}` string" for n in names))
+    loose = lambda n: F.nullif(F.trim(F.regexp_extract(c, rf'"{n}"\s*:\s*"?([^",}}\n]*)', 1)), F.lit(""))
+    return F.struct(*(F.coalesce(read[n], loose(n)).alias(n) for n in names))
+
+
+def line_fields(c: Column) -> Column:
+    """Strength, form and quantity that stand in a product line, and its text without a dosing tail."""
+    return F.struct(strip_sig_tail(c).alias("text"), strength_token(c).alias("strength"), dosage_form(c).alias("form"), quantity_tail(c).alias("quantity"))
+
+
+def count_words(c: Column, words) -> Column:
+    """How many of the words the text contains."""
+    return reduce(lambda a, b: a + b, (F.contains(c, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+
+def last_words(c: Column, n: int) -> Column:
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
+
+
 def truncated(c: Column, most: int = 1500) -> Column:
     return F.trim(F.substring(F.trim(c), 1, most))
 

@@ -72,16 +72,20 @@ def sign_summary(signed: DataFrame) -> DataFrame:
     return signed.agg(F.count_if(new).alias("rebuilt_rows"), F.count_if(~new).alias("skipped_rows"), F.min(F.when(new, F.col("event_seq"))).alias("first_seq"), F.max(F.when(new, F.col("event_seq"))).alias("last_seq"))
 
 
+def with_previous(events: DataFrame, skip_unsigned: bool = False) -> DataFrame:
+    """events with due_prev: the hash of the row before in the session, the genesis hash without one."""
+    w = Window.partitionBy("session_id").orderBy("event_seq", "event_id")
+    before = F.last("payload_hash", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if skip_unsigned else F.lag("payload_hash").over(w)
+    return events.withColumn("due_prev", F.coalesce(before, F.lit(GENESIS)))
+
+
 def verify(events: DataFrame, skip_unsigned: bool = False) -> DataFrame:
     """One row for each fault: unsigned, prev_hash_mismatch or payload_hash_mismatch; a row can have two.
 
     The row before is the one right before in the session, and after an unsigned row the genesis hash is due; skip_unsigned
     looks back to the last signed row instead.
     """
-    w = Window.partitionBy("session_id").orderBy("event_seq", "event_id")
-    before = F.last("payload_hash", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if skip_unsigned else F.lag("payload_hash").over(w)
-    due_prev = F.coalesce(before, F.lit(GENESIS))
-    rows = events.withColumn("due_prev", due_prev).withColumn("due_hash", event_hash(F.col("payload"), F.coalesce("prev_hash", F.lit(GENESIS)), F.col("actor")))
+    rows = with_previous(events, skip_unsigned).withColumn("due_hash", event_hash(F.col("payload"), F.coalesce("prev_hash", F.lit(GENESIS)), F.col("actor")))
     fault = lambda name, on, due, got: F.when(on, F.struct(F.lit(name).alias("reason"), due.alias("expected_hash"), got.alias("actual_hash")))
     signed = F.col("payload_hash").isNotNull()
     none = F.lit(None).cast("string")

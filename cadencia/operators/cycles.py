@@ -31,6 +31,13 @@ def purchase_cycles(bought: DataFrame, lead: float = 0.85) -> DataFrame:
     return grouped.withColumn("avg_cycle_days", mean).select("customer_id", "drug_id", "avg_cycle_days", "last_purchase_date", "purchases", F.date_add("last_purchase_date", days).alias("reminder_day"))
 
 
+def cycle_sanity(cycles: DataFrame, drugs: DataFrame) -> DataFrame:
+    """For each drug the intended cycle, the mean of its pairs' own, and the difference."""
+    computed = cycles.groupBy("drug_id").agg(F.avg("avg_cycle_days").alias("computed"), F.count(F.lit(1)).alias("pairs"))
+    joined = drugs.select("drug_id", F.col("default_cycle_days").alias("intended")).join(computed, "drug_id", "left")
+    return joined.withColumn("difference", F.col("computed") - F.col("intended"))
+
+
 def gap_dispersion(gaps: DataFrame) -> DataFrame:
     """Population standard deviation of the gaps, 0 without any."""
     return gaps.groupBy("customer_id", "drug_id").agg(F.count(F.lit(1)).alias("purchases"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_sd"))

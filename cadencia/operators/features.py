@@ -76,7 +76,8 @@ def split_80_20(rows: DataFrame, label: str, *keys: str, seed: int = 42) -> Data
 
 def flip_labels(rows: DataFrame, label: str, share: float, *keys: str, seed: int = 42) -> DataFrame:
     """Labels of a hash-chosen share of rows are flipped; a share of 0 changes nothing."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(10_000)) < int(share * 10_000)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    pick = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000 < int(share * 10_000)
     return rows.withColumn(label, F.when(pick, 1 - F.col(label)).otherwise(F.col(label)))
 
 

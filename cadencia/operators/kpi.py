@@ -47,6 +47,27 @@ def top_categories(orders: DataFrame, items: DataFrame, drugs: DataFrame, limit:
     return out.orderBy(F.desc("revenue"), "category").limit(limit)
 
 
+def model_speed(runs: DataFrame) -> DataFrame:
+    """Means over runs with a duration (model, first_token_s, total_s, tokens, gaps): time to first token, tokens a second, mean and largest gap between tokens."""
+    timed = runs.filter(F.col("total_s") > 0)
+    gaps = timed.select("model", F.explode("gaps").alias("gap")).groupBy("model").agg(F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
+    speed = timed.groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.avg("first_token_s").alias("first_token_s"), F.avg(F.col("tokens") / F.col("total_s")).alias("tokens_per_s"))
+    return speed.join(gaps, "model", "left")
+
+
+def error_summary(rows: DataFrame, error: str) -> DataFrame:
+    """Mean character error, how many rows are within .15 and .30, and how many are exact."""
+    e = F.col(error)
+    return rows.agg(F.count(error).alias("n"), F.round(F.avg(e), 4).alias("mean"), F.count_if(e <= 0.15).alias("within_15"), F.count_if(e <= 0.30).alias("within_30"), F.count_if(e == 0).alias("exact"))
+
+
+def weekly_variants(results: DataFrame, sent_at: str = "sent_at") -> DataFrame:
+    """Sent, converted and rate of every variant by week (from Monday). results: (variant, converted, sent_at)."""
+    week = F.to_date(F.date_trunc("week", sent_at)).alias("week")
+    grouped = results.groupBy(week, "variant").agg(F.count(F.lit(1)).alias("sent"), F.count_if("converted").alias("converted"))
+    return grouped.withColumn("rate_pct", percent(F.col("converted"), F.col("sent")))
+
+
 def variant_stats(results: DataFrame, variants: DataFrame) -> DataFrame:
     """Sent, converted and rate for every listed variant, zeros where one has no rows. results: (variant, converted)."""
     grouped = results.groupBy("variant").agg(F.count(F.lit(1)).alias("sent"), F.count_if("converted").alias("converted"))

@@ -87,7 +87,7 @@ def page_after(df: DataFrame, size: int, key: str, last=None) -> DataFrame:
 
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """The n rows of smallest hash: the same rows at every run and any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def customers_with_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:

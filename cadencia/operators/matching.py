@@ -46,6 +46,43 @@ def final_score(name: Column, match: Column, has_strength: Column, form_match: C
     return F.when(base < 0.75, F.least(F.lit(0.50), base)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
 
 
+def blended(fuzzy: Column, phonetic: Column) -> Column:
+    """The fuzzy score, or nine tenths of the phonetic one where that is larger and either speaks for the name."""
+    return F.when((phonetic > 80) | (fuzzy > 50), F.greatest(fuzzy, 0.9 * phonetic)).otherwise(fuzzy)
+
+
+def first_word_cap(score: Column, fuzzy: Column, first: Column) -> Column:
+    """Names whose first words differ reach the mean of both ratios at most."""
+    return F.when(first < 65, F.least(score, (fuzzy + first) / 2)).otherwise(score)
+
+
+def conflict_cap(score: Column, conflict: Column) -> Column:
+    return F.when(conflict, F.least(F.lit(0.70), score)).otherwise(score)
+
+
+def look_alike(first: Column, name: Column, target: Column) -> Column:
+    """First words that are near but not equal, unless the name's is the target's without its beginning."""
+    a, b = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(target, F.lit(" "), F.lit(1))
+    cut_off = (F.length(a) >= 4) & F.endswith(b, a) & (F.length(a) < F.length(b))
+    return (first < 95) & ~cut_off
+
+
+def traffic_light(score: Column, margin: Column, conflict: Column, alike: Column, ocr: Column, sure: float = 0.95, lead: float = 0.10, seen: float = 0.85) -> Column:
+    """matched, needs_review or not_found for the best candidate of a line."""
+    found = F.coalesce(score >= 0.65, F.lit(False))
+    safe = found & (score >= sure) & (margin.isNull() | (margin >= lead)) & ~conflict & ~alike & (F.coalesce(ocr, F.lit(0.0)) >= seen)
+    return F.when(safe, "matched").when(found, "needs_review").otherwise("not_found")
+
+
+def shortlist(scored: DataFrame, line: str, item: str, *more: str, least: float = 0.60, kept: int = KEPT) -> DataFrame:
+    """(line, candidates, margin): the best candidates of each line, and the lead of the first; ties to the smaller item."""
+    w = Window.partitionBy(line).orderBy(F.desc("score"), item)
+    ranked = scored.filter(F.col("score") >= least).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= kept)
+    best = ranked.groupBy(line).agg(F.sort_array(F.collect_list(F.struct("nth", item, "score", *more))).alias("candidates"))
+    margin = F.round(F.col("candidates")[0]["score"] - F.try_element_at("candidates", F.lit(2))["score"], 6)
+    return best.withColumn("margin", margin)
+
+
 def blocking_keys(name: Column) -> Column:
     """Keys that a similar name shares: 3-grams of the first two words, and soundex of each word."""
     words = F.filter(F.split(name, " "), lambda w: F.length(w) > 1)
@@ -69,28 +106,21 @@ def match_lines(lines: DataFrame, catalog: DataFrame, sure: float = 0.95, lead:
     rows, names = picked_text(lines), catalog_names(catalog)
     pairs = candidates(rows, names)
     joined = rows.join(pairs, "name").join(names, "c_name")
-    fuzzy, phonetic = F.col("s.name"), F.col("s.phonetic")
-    blended = F.when((phonetic > 80) | (fuzzy > 50), F.greatest(fuzzy, 0.9 * phonetic)).otherwise(fuzzy)
-    capped = F.when(F.col("s.first") < 65, F.least(blended, (fuzzy + F.col("s.first")) / 2)).otherwise(blended)
+    fuzzy, first = F.col("s.name"), F.col("s.first")
+    capped = first_word_cap(blended(fuzzy, F.col("s.phonetic")), fuzzy, first)
     match, conflict = strength_guard(F.col("strength"), F.col("c_strength"))
     form = F.lower(F.trim("form"))
     has_form = F.coalesce(form, F.lit("")) != ""
     score = final_score(capped, match, F.col("strength").isNotNull(), F.coalesce(F.contains("c_full", form), F.lit(False)), has_form)
-    first, target = F.split_part("name", F.lit(" "), F.lit(1)), F.split_part("c_name", F.lit(" "), F.lit(1))
-    cut_off = (F.length(first) >= 4) & F.endswith(target, first) & (F.length(first) < F.length(target))
-    scored = joined.select("line_id", "ocr_confidence", "drug_id", "catalog_name", F.round(F.when(conflict, F.least(F.lit(0.70), score)).otherwise(score), 6).alias("score"), conflict.alias("conflict"), ((F.col("s.first") < 95) & ~cut_off).alias("look_alike")).filter("score >= 0.60")
-    w = Window.partitionBy("line_id").orderBy(F.desc("score"), "drug_id")
-    ranked = scored.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= KEPT)
-    item = F.struct("nth", "drug_id", "catalog_name", "score", "conflict", "look_alike")
-    best = ranked.groupBy("line_id").agg(F.sort_array(F.collect_list(item)).alias("candidates"))
-    top = F.col("candidates")[0]
-    margin = F.round(top["score"] - F.try_element_at("candidates", F.lit(2))["score"], 6)
+    scored = joined.select("line_id", "drug_id", "catalog_name", F.round(conflict_cap(score, conflict), 6).alias("score"), conflict.alias("conflict"), look_alike(first, F.col("name"), F.col("c_name")).alias("look_alike"))
+    best = shortlist(scored, "line_id", "drug_id", "catalog_name", "conflict", "look_alike")
     full = lines.select("line_id", "ocr_confidence").join(best, "line_id", "left")
-    found = F.coalesce(top["score"] >= 0.65, F.lit(False))
-    safe = found & (top["score"] >= sure) & (margin.isNull() | (margin >= lead)) & ~top["conflict"] & ~top["look_alike"] & (F.coalesce("ocr_confidence", F.lit(0.0)) >= seen)
+    top = F.col("candidates")[0]
+    status = traffic_light(top["score"], F.col("margin"), top["conflict"], top["look_alike"], F.col("ocr_confidence"), sure, lead, seen)
+    found = status != "not_found"
     return full.select(
-        "line_id", F.when(safe, "matched").when(found, "needs_review").otherwise("not_found").alias("status"), F.when(safe, top["drug_id"]).alias("drug_id"),
-        F.when(found, top["score"]).otherwise(0.0).alias("score"), F.when(found, margin).alias("margin"), F.when(found, F.col("candidates")).alias("candidates"),
+        "line_id", status.alias("status"), F.when(status == "matched", top["drug_id"]).alias("drug_id"),
+        F.when(found, top["score"]).otherwise(0.0).alias("score"), F.when(found, F.col("margin")).alias("margin"), F.when(found, F.col("candidates")).alias("candidates"),
     )
 
 
@@ -104,7 +134,11 @@ def exact_matches(lines: DataFrame, catalog: DataFrame, seen: float = 0.85) -> D
     ranked = joined.withColumn("match", match).withColumn("conflict", conflict).withColumn("nth", F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("match"), "conflict", "drug_id"))).filter("nth = 1")
     sure = F.coalesce("ocr_confidence", F.lit(0.0)) >= seen
     status = F.when(F.col("conflict"), "needs_review").when(F.col("strength").isNull() & (F.col("strengths") > 1), "needs_review").when(sure, "matched").otherwise("needs_review")
-    return ranked.select("line_id", "drug_id", status.alias("status"), F.when(status == "matched", 1.0).otherwise(0.70).alias("score"))
+    # a name of several strengths without one asked for comes with all its entries to choose from
+    several = F.col("strength").isNull() & (F.col("strengths") > 1)
+    listed = names.groupBy("c_name").agg(F.sort_array(F.collect_list(F.struct("drug_id", "catalog_name"))).alias("entries"))
+    joined = ranked.join(listed, "c_name", "left")
+    return joined.select("line_id", "drug_id", status.alias("status"), F.when(status == "matched", 1.0).otherwise(0.70).alias("score"), F.when(several, F.col("entries")).alias("options"))
 
 
 def fuse_readers(df: DataFrame, a: str, b: str, ca: str, cb: str) -> DataFrame:

@@ -21,6 +21,9 @@ GROUPS = ("age_group", "category")
 
 def preprocessor(numbers: tuple[str, ...], groups: tuple[str, ...] = GROUPS, scale: bool = False) -> list:
     """Unknown groups get a column of their own; numbers pass through or are scaled."""
+    if not groups:
+        joined = VectorAssembler(inputCols=list(numbers), outputCol="raw" if scale else "features", handleInvalid="keep")
+        return [joined, *([StandardScaler(inputCol="raw", outputCol="features")] if scale else [])]
     index = StringIndexer(inputCols=list(groups), outputCols=[f"{g}_i" for g in groups], handleInvalid="keep")
     hot = OneHotEncoder(inputCols=[f"{g}_i" for g in groups], outputCols=[f"{g}_v" for g in groups], handleInvalid="keep")
     joined = VectorAssembler(inputCols=[*(f"{g}_v" for g in groups), *numbers], outputCol="raw" if scale else "features", handleInvalid="keep")
@@ -43,8 +46,8 @@ def class_weights(train: DataFrame, label: str = "target") -> DataFrame:
     return train.withColumn("weight", F.when(F.col(label) == 1, 0.5 / max(rate, 1e-6)).otherwise(0.5 / max(1 - rate, 1e-6)) if skewed else F.lit(1.0))
 
 
-def fit(train: DataFrame, numbers: tuple[str, ...], estimator, scale: bool = False) -> PipelineModel:
-    return Pipeline(stages=[*preprocessor(numbers, scale=scale), estimator]).fit(train)
+def fit(train: DataFrame, numbers: tuple[str, ...], estimator, scale: bool = False, groups: tuple[str, ...] = GROUPS) -> PipelineModel:
+    return Pipeline(stages=[*preprocessor(numbers, groups, scale), estimator]).fit(train)
 
 
 def probability(model: PipelineModel, rows: DataFrame, name: str = "probability_1") -> DataFrame:
@@ -67,13 +70,13 @@ def mean_absolute_error(rows: DataFrame, label: str = "target", prediction: str
     return rows.agg(F.avg(F.abs(F.col(label) - F.col(prediction)))).first()[0]
 
 
-def search(train: DataFrame, numbers: tuple[str, ...], estimator, grid: dict, folds: int = 5, parallelism: int = 4, classify: bool = False):
+def search(train: DataFrame, numbers: tuple[str, ...], estimator, grid: dict, folds: int = 5, parallelism: int = 4, classify: bool = False, groups: tuple[str, ...] = GROUPS):
     """The best of a grid by cross-validation, on the training part only."""
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(estimator.getParam(param), values)
     judge = BinaryClassificationEvaluator(labelCol="target") if classify else RegressionEvaluator(labelCol="target", metricName="mae")
-    return CrossValidator(estimator=Pipeline(stages=[*preprocessor(numbers), estimator]), estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, parallelism=parallelism, seed=42).fit(train)
+    return CrossValidator(estimator=Pipeline(stages=[*preprocessor(numbers, groups), estimator]), estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, parallelism=parallelism, seed=42).fit(train)
 
 
 def importance(model: PipelineModel, rows: DataFrame, top: int = 5) -> list[tuple[str, float]]:

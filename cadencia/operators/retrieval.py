@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +39,17 @@ def words(c: Column) -> Column:
     return F.transform(plain, tx.light_stem)
 
 
+def shared_numbers(query: Column, content: Column) -> Column:
+    return F.size(F.array_intersect(F.regexp_extract_all(query, F.lit(r"(\d+)"), F.lit(1)), F.regexp_extract_all(content, F.lit(r"(\d+)"), F.lit(1))))
+
+
 def lexical_score(query: Column, content: Column) -> Column:
     """Share of the query's stems found in the content's (equal or inside), plus 0.3 for each shared number, at most 1."""
     q = words(query)
     # both lists of stems are made once for each pair, not once for each stem
     both = F.array(F.struct(q.alias("q"), words(content).alias("c")))
     found = F.transform(both, lambda b: F.when(F.size(b["c"]) > 0, F.size(F.filter(b["q"], lambda w: F.exists(b["c"], lambda x: F.contains(x, w))))))[0]
-    numbers = F.size(F.array_intersect(F.regexp_extract_all(query, F.lit(r"(\d+)"), F.lit(1)), F.regexp_extract_all(content, F.lit(r"(\d+)"), F.lit(1))))
+    numbers = shared_numbers(query, content)
     return F.when((F.size(q) == 0) | found.isNull(), 0.0).otherwise(F.least(F.lit(1.0), found / F.size(q) + 0.3 * numbers))
 
 
@@ -82,8 +88,20 @@ def category_listing(drugs: DataFrame) -> DataFrame:
     return drugs.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("drugs"))
 
 
-def category_intent(df: DataFrame, text: str, mapping: dict[str, tuple[str, ...]]) -> DataFrame:
-    """The first category of which a keyword is a word of the text (with or without its article), or, in several words, inside it."""
+def category_intent_plain(df: DataFrame, text: str, mapping: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The second variant: the first category of which a keyword stands anywhere in the text."""
+    plain = tx.normalize_arabic(F.lower(F.col(text)))
+    picked = F.lit(None).cast("string")
+    for name, keys in reversed(list(mapping.items())):
+        picked = F.when(tx.contains_any(plain, [k.lower() for k in keys]), F.lit(name)).otherwise(picked)
+    return df.withColumn("category", picked)
+
+
+def category_intent(df: DataFrame, text: str, mapping: dict[str, tuple[str, ...]], categories: tuple[str, ...] = ()) -> DataFrame:
+    """The first category of which a keyword is a word of the text (with or without its article), or, in several words, inside it.
+
+    Without one, the first of `categories` of which a part of three letters or more is a word of the text.
+    """
     plain = tx.normalize_arabic(F.lower(F.col(text)))
     tokens = F.split(plain, r"\s+")
     both = F.concat(tokens, F.transform(tokens, lambda w: F.regexp_replace(w, "^(?:ال|و|ف|ب|ل)", "")))
@@ -94,4 +112,10 @@ def category_intent(df: DataFrame, text: str, mapping: dict[str, tuple[str, ...]
             n = tx.normalize_arabic(F.lit(k.lower()))
             hit = hit | (F.contains(plain, n) if " " in k else F.array_contains(both, n))
         picked = F.when(hit, F.lit(name)).otherwise(picked)
+    by_part = F.lit(None).cast("string")
+    for name in reversed(categories):
+        parts = [p for p in re.split(r"[^\w]+", name.lower()) if len(p) > 2]
+        if parts:
+            by_part = F.when(F.arrays_overlap(both, F.array(*map(F.lit, parts))), F.lit(name)).otherwise(by_part)
+    picked = F.coalesce(picked, by_part)
     return df.withColumn("category", picked)

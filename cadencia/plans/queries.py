@@ -14,6 +14,7 @@ from cadencia.functions import text as tx
 from cadencia.functions import vectors as vc
 from cadencia.operators import baskets, chain, conversation, cycles, dataset, features, governance, kpi, lookups, matching, retrieval
 from cadencia.plans.oracle import sql
+from cadencia.sources import scratch
 from cadencia.sources.fixtures import AS_OF, Retail
 
 Query = Callable[[Retail], DataFrame]
@@ -164,7 +165,7 @@ query("l2_page", "select order_id, (select count(*) from ord where status='pendi
 query("l2_keyset_page", "select order_id from ord where order_id>100 order by order_id limit 20")(lambda r: lookups.page_after(r.orders().select("order_id"), 20, "order_id", 100))
 query("l4_recommended", "select drug_id, source, value from (select drug_id, 0 source, score::double value from (select b drug_id, max(confidence) score from affinities group by 1) order by score desc, drug_id limit 4)")(lambda r: baskets.recommended(baskets.affinities(r.items()), r.drugs()))
 query("l5_queue_read", "select order_id, order_date from ord where status='pending' order by order_date, order_id limit 100")(lambda r: r.orders().filter("status = 'pending'").orderBy("order_date", "order_id").limit(100).select("order_id", "order_date"))
-query("l6_hashed_sample")(lambda r: lookups.hashed_sample(r.customers(), "customer_id", 50))
+query("l6_hashed_sample", "select * from customers order by md5('7:'||customer_id), customer_id limit 50")(lambda r: lookups.hashed_sample(r.customers(), "customer_id", 50))
 query("u1_union_all", "select a drug_id, b partner, severity from interactions union all select b, a, severity from interactions")(lambda r: baskets.symmetric(r.interactions()))
 query("u2_distinct", "select distinct category, is_chronic from drugs")(lambda r: r.drugs().select("category", "is_chronic").distinct())
 query("u3_difference", "select p_partkey from part except select part_id from items where quantity>45")(lambda r: r.raw("part").select("p_partkey").join(r.items().filter("quantity > 45").select(F.col("part_id").alias("p_partkey")), "p_partkey", "left_anti"))
@@ -390,12 +391,12 @@ def messy_lines(r: Retail) -> DataFrame:
     return r.raw("part").select(k.alias("line_id"), F.concat(broken, F.lit(" - 1 tab BID")).alias("raw_name"), none.alias("instructions"), none.alias("form"), none.alias("strength"), F.lit(0.9).alias("ocr_confidence"))
 
 
-query("e4_exact_matches", "select p_partkey line_id, m drug_id, 'matched' status, 1.0::double score from part join (select p_name, p_size, min(p_partkey) m from part group by 1,2) using(p_name, p_size) where p_partkey%3=0")(lambda r: matching.exact_matches(messy_lines(r).filter("line_id % 3 = 0"), catalog(r)))
+query("e4_exact_matches", "select p_partkey line_id, m drug_id, 'matched' status, 1.0::double score from part join (select p_name, p_size, min(p_partkey) m from part group by 1,2) using(p_name, p_size) where p_partkey%3=0")(lambda r: matching.exact_matches(messy_lines(r).filter("line_id % 3 = 0"), catalog(r)).drop("options"))
 query("e7_match_lines")(lambda r: matching.match_lines(messy_lines(r), catalog(r)).drop("candidates"))
 query("e10_final_score", "select event_id, round(case when b<.75 then least(.5,b) else greatest(0,least(1,case when event_id%3=0 then case when event_id%2=0 then least(case when b>=.95 then 1.0 else .88 end,b+.05) else b-.25 end else b end)) end,6) score from (select event_id, (event_id*37%101)/100.0::double b from ev)")(
     lambda r: r.events().select("event_id", F.round(matching.final_score(F.col("event_id") * 37 % 101, F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.lit(False), F.lit(False)), 6).alias("score"))
 )
-query("e13_fused_readers")(lambda r: matching.fuse_readers(messy_lines(r).select("line_id", F.col("raw_name").alias("a"), F.lower("raw_name").alias("b"), (F.col("line_id") % 100 / 100).alias("ca"), F.lit(0.5).alias("cb")), "a", "b", "ca", "cb").select("line_id", "fused_confidence", "disagree"))
+query("e13_fused_readers", "select p_partkey line_id, least(.97::double, greatest((p_partkey%100)/100.0::double,.5::double)+.05::double) fused_confidence, false disagree from part")(lambda r: matching.fuse_readers(messy_lines(r).select("line_id", F.col("raw_name").alias("a"), F.lower("raw_name").alias("b"), (F.col("line_id") % 100 / 100).alias("ca"), F.lit(0.5).alias("cb")), "a", "b", "ca", "cb").select("line_id", "fused_confidence", "disagree"))
 query("d12_line_status", "select event_id, case when value is null then 'illegible' when event_id%2=0 and event_id%3=0 then 'needs_review' when event_id%3<>0 and value<50 then 'needs_review' when event_id%3=0 then 'matched' else 'not_found' end status from ev")(lambda r: r.events().select("event_id", matching.line_status(F.when(F.col("event_id") % 3 == 0, "matched").otherwise("not_found"), F.col("value") / 100, F.col("event_id") % 2 == 0, F.col("value").isNotNull()).alias("status")))
 query("d14_finalise", "select order_id, bool_and(line<>3) ready, string_agg(case when line=1 then part_id when line=2 then supplier_id end, ',' order by case when line=1 then part_id when line=2 then supplier_id end) chosen from items group by 1")(
     lambda r: matching.finalise(r.items().select("order_id", F.when(F.col("line") == 1, "confirmed").when(F.col("line") == 2, "overridden").when(F.col("line") == 3, F.lit(None).cast("string")).otherwise("rejected").alias("decision"), F.col("part_id").alias("matched_id"), F.col("supplier_id").alias("selected_id")), "order_id").withColumn("chosen", F.nullif(F.array_join("chosen", ","), F.lit("")))
@@ -424,13 +425,9 @@ query("m15_model_decisions")(model_decisions)
 
 def streamed(r: Retail, job) -> DataFrame:
     """The events folder read as a stream of one file, run through a job until it is empty."""
-    import uuid
-
-    name = f"s{uuid.uuid4().hex}"
-    base = r.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
+    out = scratch.new_path(r.spark, "stream")
     batch = r.raw("events")
     stream = r.spark.readStream.schema(batch.schema).parquet(f"{r.sf_dir}/events.parquet*").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.col("props").alias("payload"))
-    out = f"{base}/{name}"
     job(stream).writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return r.spark.read.parquet(f"{out}/data")
 
@@ -452,3 +449,5 @@ def ingested(r: Retail) -> DataFrame:
 
 
 query("st1_ingest", "select event_id, user_id session_id, event_type from events")(ingested)
+
+from cadencia.plans import steps  # noqa: E402, F401  registers the queries of single steps

@@ -22,7 +22,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
 
 
 def count_broken(df: DataFrame) -> DataFrame:
-    return df.select(BROKEN, *[c for c in df.columns if c != BROKEN]).agg(F.count(F.lit(1)).alias("lines"), F.count(BROKEN).alias("broken"))
+    """One row: lines, those that are broken, and those with any value."""
+    filled = F.count(F.coalesce(*(F.col(c).cast("string") for c in df.columns if c != BROKEN)))
+    return df.agg(F.count(F.lit(1)).alias("lines"), F.count(BROKEN).alias("broken"), filled.alias("filled"))
 
 
 def read_jsonl_dropping(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
