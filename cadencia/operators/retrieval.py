@@ -53,6 +53,29 @@ def lexical_score(query: Column, content: Column) -> Column:
     return F.when((F.size(q) == 0) | found.isNull(), 0.0).otherwise(F.least(F.lit(1.0), found / F.size(q) + 0.3 * numbers))
 
 
+def lexical_index(queries: DataFrame, chunks: DataFrame, query_id: str, query: str, chunk_id: str, content: str) -> DataFrame:
+    """(query_id, chunk_id, score): lexical_score() of every query and chunk that have anything in common; all other pairs score 0.
+
+    Chunks are met through the stems of a stated query set: each distinct stem of the chunks is looked up by its substrings, so that no query
+    is tested on a text. What moves is one row for each chunk and each query stem that it holds.
+    """
+    said = queries.select(F.col(query_id).alias("query_id"), words(F.col(query)).alias("q"), F.array_distinct(F.regexp_extract_all(query, F.lit(r"(\d+)"), F.lit(1))).alias("numbers"))
+    asked = said.select("query_id", F.size("q").alias("n"), F.explode("q").alias("stem")).groupBy("query_id", "n", "stem").agg(F.count(F.lit(1)).alias("times"))
+    held = chunks.select(F.col(chunk_id).alias("chunk_id"), F.array_distinct(words(F.col(content))).alias("c"), F.array_distinct(F.regexp_extract_all(content, F.lit(r"(\d+)"), F.lit(1))).alias("numbers"))
+    stems = held.select("chunk_id", F.explode("c").alias("held"))
+    wanted = asked.select("stem").distinct()
+    longest = wanted.agg(F.coalesce(F.max(F.length("stem")), F.lit(0)).alias("longest"))
+    lengths = F.sequence(F.lit(1), F.least(F.length("held"), F.col("longest")))
+    parts = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("held") - n + 1), lambda i: F.substring("held", i, n))))
+    vocabulary = stems.select("held").distinct().crossJoin(longest).filter((F.length("held") > 0) & (F.col("longest") > 0))  # one row
+    inside = vocabulary.select("held", F.explode(F.array_distinct(parts)).alias("stem")).join(wanted, "stem", "left_semi")
+    found = stems.join(inside, "held").select("chunk_id", "stem").distinct().join(asked, "stem").groupBy("query_id", "chunk_id", "n").agg(F.sum("times").alias("found"))
+    numbers = said.filter(F.size("q") > 0).select("query_id", F.size("q").alias("n"), F.explode("numbers").alias("number")).join(held.filter(F.size("c") > 0).select("chunk_id", F.explode("numbers").alias("number")), "number")
+    both = found.join(numbers.groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("shared")), ["query_id", "chunk_id", "n"], "full")
+    score = F.least(F.lit(1.0), F.coalesce("found", F.lit(0)) / F.col("n") + 0.3 * F.coalesce("shared", F.lit(0)))
+    return both.select("query_id", "chunk_id", score.alias("score"))
+
+
 def hybrid(df: DataFrame, dense: float = 0.6, lexical: float = 0.4) -> DataFrame:
     """df (query_id, chunk_id, query, content, similarity) ranked by the weighted sum; a missing similarity counts 0.5."""
     score = F.round(dense * F.coalesce("similarity", F.lit(0.5)) + lexical * lexical_score(F.col("query"), F.col("content")), 6)

@@ -336,14 +336,47 @@ query("t14_nearest_intent", f"select vec_id, label, score, score>=.5 confident f
 query("f21_centroids", f"select label, i::int i, round(x,8) x from (select label, unnest(centroid) x, generate_subscripts(centroid,1)-1 i from {CENTROIDS})")(lambda r: vc.centroids(r.embeddings(), "label", "embedding").select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", F.round("x", 8).alias("x")))
 
 
-def query_chunks(r: Retail) -> DataFrame:
-    """Every benchmark passage, whole, as a query beside every document: the benchmark is the stated query set."""
-    queries = r.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return r.documents().select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")).crossJoin(F.broadcast(queries)).select("query_id", "query", "chunk_id", "content")
-
-
-query("t11_lexical_score")(lambda r: query_chunks(r).select("query_id", "chunk_id", F.round(retrieval.lexical_score(F.col("query"), F.col("content")), 6).alias("score")))
-query("t12_hybrid_rank")(lambda r: retrieval.hybrid(query_chunks(r).withColumn("similarity", F.lit(None).cast("double"))).select("query_id", "chunk_id", "score", "rank"))
+def passages(r: Retail) -> DataFrame:
+    """Every benchmark passage, whole: the stated query set."""
+    return r.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def reranked(r: Retail) -> DataFrame:
+    """The twenty nearest documents of each passage (by the vectors of these numbers), ranked by similarity and words."""
+    vectors = r.embeddings().select("vec_id", "embedding")
+    asked = vectors.join(passages(r).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    held = vectors.join(r.documents().select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = retrieval.dense_top_k(asked, held, 20, "vec_id", "vec_id", "embedding").withColumn("similarity", F.floor((1 + F.col("score")) / 2 * 10000) / 10000).drop("rank", "score")
+    texts = near.join(passages(r), "query_id").join(r.documents().select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
+    return retrieval.hybrid(texts).select("query_id", "chunk_id", "score", "rank")
+
+
+def stem_sql(word: str) -> str:
+    """light_stem() of an expression."""
+
+    def first(w: str, affixes: tuple[str, ...], front: bool) -> str:
+        cuts = " ".join(f"when {'starts_with' if front else 'ends_with'}({w},'{a}') and length({w})>={len(a) + 3} then {f'substr({w},{len(a) + 1})' if front else f'substr({w},1,length({w})-{len(a)})'}" for a in affixes)
+        return f"case {cuts} else {w} end"
+
+    front = first(word, tx.PREFIXES, True)
+    return f"case when length({word})<=3 then {word} else {first(f'({front})', tx.SUFFIXES, False)} end"
+
+
+PLAIN = f"trim(translate(regexp_replace(lower(text),'{tx.MARKS}','','g'),'إأآةىؤئ','اااهيوي'))"
+STEMS = f"(select id, w, {stem_sql('w')} stem from (select id, unnest(regexp_split_to_array({PLAIN},'\\s+')) w from {{0}}) where length(w)>1)"
+SIDES = f"""with qt as (select item_id id, text from benchmark), dt as (select doc_id id, text from documents), qs as {STEMS.format('qt')}, cs as (select distinct id, stem from {STEMS.format('dt')}),
+ asked as (select id query_id, stem, count(*) times from qs group by all), total as (select id query_id, count(*) n from qs group by 1),
+ inside as (select v.stem held, w.stem from (select distinct stem from cs) v join (select distinct stem from asked) w on contains(v.stem, w.stem)),
+ found as (select query_id, chunk_id, sum(times) found from (select distinct cs.id chunk_id, i.stem from cs join inside i on i.held=cs.stem) join asked using(stem) group by all),
+ qn as (select distinct id query_id, unnest(regexp_extract_all(text,'[0-9]+')) number from qt), dn as (select distinct id chunk_id, unnest(regexp_extract_all(text,'[0-9]+')) number from dt semi join cs using(id)),
+ numbers as (select query_id, chunk_id, count(*) shared from qn join dn using(number) group by all),
+ lexical as (select query_id, chunk_id, least(1.0::double, coalesce(found,0)/n + .3::double*coalesce(shared,0)) score from (found full join numbers using(query_id, chunk_id)) join total using(query_id))"""
+query("t11_lexical_score", SIDES + " select query_id, chunk_id, round(score,6) score from lexical")(
+    lambda r: retrieval.lexical_index(passages(r), r.documents(), "query_id", "query", "doc_id", "text").withColumn("score", F.round("score", 6))
+)
+query("t12_hybrid_rank", SIDES + """, near as (select * from (select q.vec_id query_id, c.vec_id chunk_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]),6) s from embeddings q cross join embeddings c
+ where q.vec_id in (select item_id from benchmark) and c.vec_id in (select doc_id from documents)) qualify row_number() over (partition by query_id order by s desc, chunk_id)<=20),
+ scored as (select query_id, chunk_id, round(.6::double*(floor((1+s)/2*10000)/10000)+.4::double*coalesce(l.score,0),6) score from near left join lexical l using(query_id, chunk_id)) select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from scored""")(reranked)
 query("t16_category_listing", "select category, count(*) n, string_agg(name, ',' order by name) listed from drugs group by 1")(lambda r: retrieval.category_listing(r.drugs()).select("category", "n", F.array_join(F.transform("drugs", lambda d: d["name"]), ",").alias("listed")))
 query("d10_escalation", "select conv_id, turn, case when contains(lower(text),'blehe') then 'critical_emergency' when contains(lower(text),'than') then 'high_priority' else 'normal' end priority from turns")(lambda r: r.conversations().select("conv_id", "turn", conversation.escalation(F.col("text"), ("blehe",), ("than",))["priority"].alias("priority")))
 query("d11_guard", "select conv_id, turn, case when regexp_matches(lower(trim(substr(trim(text),1,1500))),'(and the)|(of that)') then 'role_assumption' when regexp_matches(lower(trim(substr(trim(text),1,1500))),'(is to)') then 'prompt_injection' end blocked from turns")(lambda r: r.conversations().select("conv_id", "turn", conversation.guard(F.col("text"), ("and the", "of that"), ("is to",)).alias("blocked")))

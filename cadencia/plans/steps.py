@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cadencia.functions import similarity as sm
 from cadencia.functions import text as tx
 from cadencia.operators import baskets, chain, conversation, cycles, features, governance, kpi, matching, retrieval
-from cadencia.plans.queries import BROKEN, REGISTRY, SCORED, VARIANTS, ab_rows, bought, convs, damaged, query, scored, streamed, the_cycles
+from cadencia.plans.queries import BROKEN, REGISTRY, SCORED, VARIANTS, ab_rows, bought, convs, damaged, query, scored, stem_sql, streamed, the_cycles
 from cadencia.sources import io, scratch
 from cadencia.sources.fixtures import Retail
 
@@ -123,14 +123,6 @@ ARABIC = "إأآ ةىؤئ مـدرَسةٌ "
 query("f3_normalized", f"select conv_id, turn, trim(translate(regexp_replace('{ARABIC}'||text,'{tx.MARKS}','','g'),'إأآةىؤئ','اااهيوي')) plain from turns")(lambda r: r.conversations().select("conv_id", "turn", tx.normalize_arabic(F.concat(F.lit(ARABIC), "text")).alias("plain")))
 
 
-def stem_sql(word: str) -> str:
-    def first(w: str, affixes: tuple[str, ...], front: bool) -> str:
-        cuts = " ".join(f"when {'starts_with' if front else 'ends_with'}({w},'{a}') and length({w})>={len(a) + 3} then {f'substr({w},{len(a) + 1})' if front else f'substr({w},1,length({w})-{len(a)})'}" for a in affixes)
-        return f"case {cuts} else {w} end"
-
-    return f"(select case when length(w)<=3 then w else (select {first('p', tx.SUFFIXES, False)} from (select {first('w', tx.PREFIXES, True)} p)) end from (select {word} w))"
-
-
 AFFIXED = "['ال','وال','لل',''][(p_partkey%4+1)::int]||split_part(p_name,' ',1)||['ات','ها','ية',''][(p_partkey//4%4+1)::int]"
 
 
@@ -275,8 +267,8 @@ def intent_sql() -> str:
 
 query("t15_category_intent", f"select conv_id, turn, {intent_sql()} category from turns where text is not null")(lambda r: retrieval.category_intent(r.conversations().filter("text is not null"), "text", INTENTS, PARTS).select("conv_id", "turn", "category"))
 query("t15_category_plain", "select conv_id, turn, case " + " ".join("when " + " or ".join(f"contains(lower(text),'{k}')" for k in ks) + f" then '{n}'" for n, ks in INTENTS.items()) + " end category from turns where text is not null")(lambda r: retrieval.category_intent_plain(r.conversations().filter("text is not null"), "text", INTENTS).select("conv_id", "turn", "category"))
-query("t18_invoice", """select p_partkey, (p_size+2)::int quantity, (p_partkey%30)::double discount, case when p_size+2>1 or p_partkey%30>0 then round_even(p_retailprice*(p_size+2)*(1-(p_partkey%30)/100.0::double),2) end total from part""")(
-    lambda r: conversation.invoice(r.raw("part").withColumn("said", F.concat(F.lit("I want "), (F.col("p_size") + 2).cast("string"), F.lit(" boxes of it, code CARE "), (F.col("p_partkey") % 30).cast("string"))), "said", F.col("p_retailprice")).select("p_partkey", "quantity", "discount", "total")
+query("t18_invoice", """select p_partkey, (p_size+2)::int quantity, (p_partkey%30)::double discount, case when p_size+2>1 or p_partkey%30>0 then round_even((p_size+1.0::double)*(p_size+2)*(1-(p_partkey%30)/100.0::double),2) end total from part""")(
+    lambda r: conversation.invoice(r.raw("part").withColumn("said", F.concat(F.lit("I want "), (F.col("p_size") + 2).cast("string"), F.lit(" boxes of it, code CARE "), (F.col("p_partkey") % 30).cast("string"))), "said", F.col("p_size") + 1.0).select("p_partkey", "quantity", "discount", "total")
 )
 query("t20_line_fields", "select p_partkey, p_name||' '||p_size||' mg tabs' as text, p_size||'mg' strength, 'tabs' form, (p_partkey%300)::int quantity from part")(
     lambda r: r.raw("part").select("p_partkey", tx.line_fields(F.concat(F.lit("4) "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg tabs"))).alias("f"), tx.line_fields(F.concat("p_name", F.lit(" x "), (F.col("p_partkey") % 300).cast("string")))["quantity"].alias("q")).select("p_partkey", "f.text", "f.strength", "f.form", F.col("q").alias("quantity"))
