@@ -167,7 +167,7 @@ def thresholds(counts: np.ndarray, rate: float = FALSE_DISCOVERY_RATE) -> np.nda
 
 
 def _apart(extra: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The spans of `extra` that overlap none of `found`; both are sorted and walked once."""
+    """The spans of `extra` that overlap none of `found`; both are sorted and walked once, spans of `extra` do not overlap."""
     out, at, reach = [], 0, 0
     for span in extra:
         while at < len(found) and found[at][0] < span[2]:
