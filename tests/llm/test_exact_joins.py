@@ -109,13 +109,15 @@ def test_spans_apart_equal_all_pairs():
 
 def test_pipeline_keeps_the_callers_values(spark, sf_dir):
     line = "one line that stands in two documents of this table"
-    rows = [(1, f"{line}\nand the first text goes on", "en", 0.25, 7, "mine", 3), (2, f"{line}\nwhile the second ends otherwise", "en", 0.5, 8, None, None), (2, "password = hunter2secret9", "en", 0.5, 8, "x", 1), (3, None, None, None, None, None, None), (None, "", "fr", 0.1, 1, "y", 0)]
+    rows = [(1, f"{line}\nand the first text goes on", "en", 0.25, 7, "mine", 3), (2, f"{line}\nwhile the second ends otherwise", "en", 0.5, 8, None, None), (4, "password = hunter2secret9", "en", 0.5, 8, "x", 1), (1, f"{line}\nand the first text goes on", "en", 0.25, 7, "again", 3), (3, None, None, None, None, None, None), (None, "", "fr", 0.1, 1, "y", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, n_lines long, secret_spans string, n_chars int")
     own = lambda df: sorted(str((r.doc_id, r.lang, r.score, r.n_lines, r.secret_spans)) for r in df.collect())
     for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.keep_one_of_each, corpus_pipeline.mask_secrets):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and own(out) == own(docs)
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    edited = {(r.doc_id, r.text) for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).collect()}
+    assert (1, f"{line}\nand the first text goes on") in edited and (2, "while the second ends otherwise") in edited
     lengths = {(r.doc_id, r.n_chars, len(r.text) if r.text is not None else None) for r in corpus_pipeline.mask_secrets(spark, docs, sf_dir).collect()}
     assert all(n == m for _, n, m in lengths)
     good = corpus_pipeline.keep_good(spark, docs, sf_dir)
