@@ -57,7 +57,7 @@ def jsonl_split(r: Retail) -> DataFrame:
 
 query("s1_table_scan", "select customer_id, tenant_id, full_name, age_group, preferred_channel, phone, email from customers")(lambda r: r.customers())
 query("s2_csv_scan", "select customer_id, full_name, email from customers")(lambda r: csv_round_trip(r, r.customers().select("customer_id", "full_name", "email")))
-query("s3_jsonl_strict", "select count(*) as lines, count(*) filter (event_id%10=0) broken, count(*) filter (event_id%10<>0) filled from ev")(lambda r: io.count_broken(io.read_jsonl(r.spark, text_file(json_events(r), r, "lines"), event_schema(r))))
+query("s3_jsonl_strict", "select count(*) as lines, count(*) filter (event_id%10=0) broken from ev")(lambda r: io.count_broken(io.read_jsonl(r.spark, text_file(json_events(r), r, "lines"), event_schema(r))))
 query("s4_jsonl_dropping", "select event_id, event_type from ev where event_id%10<>0")(lambda r: io.read_jsonl_dropping(r.spark, text_file(json_events(r), r, "lines"), event_schema(r)))
 query("s5_parquet_sink", "select order_id, customer_id, order_date, status, channel from ord where status='completed'")(parquet_round_trip)
 query("s6_jsonl_split", "select doc_id, quality from labels where doc_id%10=0")(jsonl_split)

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from cadencia.operators import retrieval
 from cadencia.plans import queries
 from cadencia.sources.fixtures import Retail
 
 
-def test_every_passage_meets_every_document(spark, sf_dir):
+def test_index_scores_as_every_passage_against_every_document(spark, sf_dir):
     r = Retail(spark, sf_dir)
-    texts, n = {x["item_id"]: x["text"] for x in r.raw("benchmark").collect()}, r.documents().count()
-    pairs = queries.query_chunks(r)
-    assert pairs.count() == n * len(texts) == pairs.select("query_id", "chunk_id").distinct().count()
-    assert {(x["query_id"], x["query"]) for x in pairs.select("query_id", "query").distinct().collect()} == set(texts.items())
+    asked = queries.passages(r)
+    texts = {x["item_id"]: x["text"] for x in r.raw("benchmark").collect()}
+    assert {x["query_id"]: x["query"] for x in asked.collect()} == texts
+    docs = r.documents().select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "7"), (-4, "x 12"), (-5, "a" * 3000)], "chunk_id long, content string")
+    few = asked.filter("query_id % 8 = 0").unionByName(spark.createDataFrame([(-1, ""), (-2, "12 12 hello"), (-3, None), (-4, "aaaa")], "query_id long, query string"))
+    chunks = docs.unionByName(odd)
+    pairs = chunks.crossJoin(F.broadcast(few))
+    brute = {(x[0], x[1]): x[2] for x in pairs.select("query_id", "chunk_id", F.round(retrieval.lexical_score(F.col("query"), F.col("content")), 6)).collect() if x[2]}
+    index = retrieval.lexical_index(few, chunks, "query_id", "query", "chunk_id", "content")
+    assert {(x.query_id, x.chunk_id): round(x.score, 6) for x in index.collect() if x.score} == brute
