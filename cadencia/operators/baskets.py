@@ -19,7 +19,7 @@ def basket_pairs(items: DataFrame) -> DataFrame:
 
 def basket_interactions(items: DataFrame, interactions: DataFrame) -> DataFrame:
     """Interactions with both ends in one order."""
-    return basket_pairs(items).join(F.broadcast(interactions), ["a", "b"])
+    return basket_pairs(items).join(interactions, ["a", "b"])
 
 
 def safety_gate(items: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def affinities(items: DataFrame) -> DataFrame:
     """Co-purchase confidence: orders with both over the rarer one's orders."""
     single = items.groupBy("drug_id").agg(F.countDistinct("order_id").alias("n"))
     pairs = basket_pairs(items).groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders"))
-    both = pairs.join(F.broadcast(single.select(F.col("drug_id").alias("a"), F.col("n").alias("na"))), "a").join(F.broadcast(single.select(F.col("drug_id").alias("b"), F.col("n").alias("nb"))), "b")
+    both = pairs.join(single.select(F.col("drug_id").alias("a"), F.col("n").alias("na")), "a").join(single.select(F.col("drug_id").alias("b"), F.col("n").alias("nb")), "b")
     return both.select("a", "b", F.round(F.col("orders") / F.least("na", "nb"), 6).alias("confidence"))
 
 
@@ -51,7 +51,7 @@ def cross_sell(edges: DataFrame, drugs: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("drug_id").orderBy(F.desc("confidence"), "partner")
     best = symmetric(edges).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     named = drugs.select(F.col("drug_id").alias("partner"), "name", "base_price")
-    return best.join(F.broadcast(named), "partner").select("drug_id", "rank", "partner", "name", "base_price", "confidence")
+    return best.join(named, "partner").select("drug_id", "rank", "partner", "name", "base_price", "confidence")
 
 
 def recommended(edges: DataFrame, drugs: DataFrame, k: int = 4) -> DataFrame:

@@ -6,8 +6,13 @@ payload_hash = sha256(payload | prev_hash | actor) in hex; the chain of each ses
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the hash before the first event of a session.
 GENESIS = "0" * 64
@@ -18,53 +23,43 @@ def event_hash(payload: Column, prev: Column, actor: Column) -> Column:
 
 
 def sign(events: DataFrame, force: bool = False) -> DataFrame:
-    """events (session_id, event_seq, event_id, payload, actor[, prev_hash, payload_hash]) with both hashes.
+    """events (session_id, event_seq, event_id, payload, actor[, prev_hash, payload_hash]) with both hashes, and is_new.
 
-    Without force, rows that are signed keep their hashes and the chain goes on from them. A session is folded as an array in
-    order; sessions too long for an array go through sign_long().
+    Without force, rows that are signed keep their hashes and the chain goes on from them. Rows stream through in order and only
+    the last hash is held, so sessions may have any length.
     """
-    signed = "payload_hash" in events.columns and not force
-    old = ("prev_hash", "payload_hash") if signed else ()
-    row = F.struct("event_seq", "event_id", "payload", "actor", *old)
-    step = lambda acc, e: _step(acc, e, signed)
-    empty = F.expr("cast(array() as array<struct<event_seq:bigint,event_id:bigint,prev_hash:string,payload_hash:string,is_new:boolean>>)")
-    folded = events.groupBy("session_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return folded.select("session_id", F.inline(F.aggregate("rows", empty, step)))
-
-
-def _step(acc: Column, e: Column, signed: bool) -> Column:
-    last = F.coalesce(F.try_element_at(acc, F.lit(-1))["payload_hash"], F.lit(GENESIS))
-    fresh = event_hash(e["payload"], last, e["actor"])
-    keep = e["payload_hash"].isNotNull() if signed else F.lit(False)
-    prev = F.when(keep, e["prev_hash"]).otherwise(last) if signed else last
-    own = F.when(keep, e["payload_hash"]).otherwise(fresh) if signed else fresh
-    made = F.struct(e["event_seq"].alias("event_seq"), e["event_id"].alias("event_id"), prev.alias("prev_hash"), own.alias("payload_hash"), (~keep).alias("is_new"))
-    return F.concat(acc, F.array(made))
-
-
-def sign_long(events: DataFrame) -> DataFrame:
-    """The same hashes for sessions of any length: rows stream through in order, and only the last hash is held."""
-    import hashlib
-    from collections.abc import Iterator
-
-    import pyarrow as pa
+    old = ("prev_hash", "payload_hash") if "payload_hash" in events.columns and not force else ()
+    order = ("session_id", "event_seq", "event_id")
+    dealt = events.select(*order, "payload", "actor", *old).repartition("session_id")
+    made = [T.StructField(n, T.StringType()) for n in ("prev_hash", "payload_hash")]
+    schema = T.StructType([*dealt.select(*order).schema.fields, *made, T.StructField("is_new", T.BooleanType())])
+    return dealt.sortWithinPartitions(*order, "payload", "actor").mapInArrow(_signer(bool(old)), schema)
 
-    schema = "session_id long, event_seq long, event_id long, prev_hash string, payload_hash string"
 
+def _signer(signed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, last = None, GENESIS
         for b in batches:
-            prev, own = [], []
-            for s, p, a in zip(*(b.column(c).to_pylist() for c in ("session_id", "payload", "actor")), strict=True):
+            prev, own, new = [], [], []
+            none = [None] * b.num_rows
+            values = [b.column(c).to_pylist() for c in ("session_id", "payload", "actor")]
+            before = [b.column(c).to_pylist() for c in ("prev_hash", "payload_hash")] if signed else [none, none]
+            for s, p, a, old_prev, old_own in zip(*values, *before, strict=True):
                 if s != session:
                     session, last = s, GENESIS
-                prev.append(last)
-                last = hashlib.sha256(f"{'{}' if p is None else p}|{last}|{a or ''}".encode()).hexdigest()
+                new.append(old_own is None)
+                prev.append(last if old_own is None else old_prev)
+                last = old_own if old_own is not None else hashlib.sha256(f"{'{}' if p is None else p}|{last}|{a or ''}".encode()).hexdigest()
                 own.append(last)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(pa.int64()) for c in ("session_id", "event_seq", "event_id")), pa.array(prev), pa.array(own)], names=["session_id", "event_seq", "event_id", "prev_hash", "payload_hash"])
+            arrays = [*(b.column(c) for c in ("session_id", "event_seq", "event_id")), pa.array(prev, pa.string()), pa.array(own, pa.string()), pa.array(new, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["session_id", "event_seq", "event_id", "prev_hash", "payload_hash", "is_new"])
+
+    return run
 
-    rows = events.select("session_id", "event_seq", "event_id", "payload", "actor").repartition("session_id").sortWithinPartitions("session_id", "event_seq", "event_id")
-    return rows.mapInArrow(run, schema)
+
+def sign_long(events: DataFrame) -> DataFrame:
+    """The hashes of all rows anew, without is_new."""
+    return sign(events, force=True).drop("is_new")
 
 
 def sign_summary(signed: DataFrame) -> DataFrame:

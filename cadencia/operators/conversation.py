@@ -78,7 +78,7 @@ def mentions(texts: DataFrame, drugs: DataFrame, key: list[str], text: str) -> D
 def mentioned_interactions(found: DataFrame, newest: DataFrame, interactions: DataFrame, key: str) -> DataFrame:
     """The first interaction (by pair) of two mentioned drugs, at least one of them mentioned in the newest turn."""
     a, b = found.select(key, F.col("drug_id").alias("a")), found.select(key, F.col("drug_id").alias("b"))
-    pairs = a.join(b, key).filter("a < b").join(F.broadcast(interactions), ["a", "b"])
+    pairs = a.join(b, key).filter("a < b").join(interactions, ["a", "b"])
     fresh = newest.select(key, F.col("drug_id").alias("n"))
     hit = pairs.join(fresh, (pairs[key] == fresh[key]) & ((F.col("n") == F.col("a")) | (F.col("n") == F.col("b"))), "left_semi")
     return hit.groupBy(key).agg(F.min(F.struct("a", "b", "severity")).alias("m")).select(key, "m.a", "m.b", "m.severity")
@@ -104,7 +104,7 @@ def route(turns: DataFrame, drugs: DataFrame, entity_pattern: str) -> DataFrame:
     resolved = resolve(turns, entity_pattern).filter(F.col("role") == "user")
     rows = resolved.withColumn("blocked", guard(F.col("text"))).withColumn("escalation", escalation(F.col("text")))
     named = mentions(rows.select("conv_id", "turn", "resolved"), drugs, ["conv_id", "turn"], "resolved").groupBy("conv_id", "turn").agg(F.min("drug_id").alias("drug_id"))
-    priced = named.join(F.broadcast(drugs.select("drug_id", F.col("base_price").cast("double").alias("price"))), "drug_id")
+    priced = named.join(drugs.select("drug_id", F.col("base_price").cast("double").alias("price")), "drug_id")
     joined = invoice(rows.join(priced, ["conv_id", "turn"], "left"), "resolved", F.col("price"))
     stage = F.when(F.col("blocked").isNotNull(), "guard").when(F.col("escalation.priority") != "normal", "escalation").when(F.col("total").isNotNull(), "invoice").when(F.col("drug_id").isNotNull(), "catalog").otherwise("retrieval")
     return joined.select("conv_id", "turn", stage.alias("stage"), "blocked", F.col("escalation.priority").alias("priority"), "drug_id", "total", badge(F.col("total").isNotNull(), F.lit(False), F.lit(None).cast("double")).alias("confidence"))

@@ -57,7 +57,7 @@ def at_risk(cycles: DataFrame, as_of: str) -> DataFrame:
 def due_for_reminder(cycles: DataFrame, customers: DataFrame, drugs: DataFrame, recent_notices: DataFrame, as_of: str) -> DataFrame:
     """Due drugs nested by customer, without customers who had a notice on the day before or later. recent_notices: (customer_id)."""
     due = cycles.filter(F.col("reminder_day") <= F.lit(as_of).cast("date")).join(recent_notices, "customer_id", "left_anti")
-    named = due.join(F.broadcast(drugs.select("drug_id", "name")), "drug_id")
+    named = due.join(drugs.select("drug_id", "name"), "drug_id")
     nested = named.groupBy("customer_id").agg(F.sort_array(F.collect_list(F.struct("drug_id", "name", "reminder_day"))).alias("due"))
     return nested.join(customers.select("customer_id", "full_name", "preferred_channel"), "customer_id").withColumn("n_due", F.size("due"))
 

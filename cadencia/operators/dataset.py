@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadencia.functions import text as tx
+from cadencia.operators.lookups import first_share
 
 #: Topics in the order in which ties are won, with their keywords; a caller can give others.
 TOPICS = {
@@ -91,10 +92,9 @@ def topic(rows: DataFrame, text: Column, topics: dict[str, tuple[str, ...]] = TO
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, share: float = 0.9, seed: int = 42) -> DataFrame:
     """split: `train` for floor(share * n) rows of each stratum in hash order, else `validation`."""
-    w = Window.partitionBy(stratum)
-    order = w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    rank, n = F.row_number().over(order), F.count(F.lit(1)).over(w)
-    return rows.withColumn("split", F.when(rank <= F.floor(n * F.lit(share)), "train").otherwise("validation"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    split = first_share(rows, stratum, digest, (key,), share, "split")
+    return split.withColumn("split", F.when(F.col("split"), "train").otherwise("validation"))
 
 
 def set_statistics(rows: DataFrame, length: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadencia.operators import cycles
+from cadencia.operators.lookups import first_share
 
 #: The cycle's mean never is a churn feature: the label is made from it.
 CHURN_FEATURES = ("days_since_last", "ratio_to_default", "purchases", "gap_sd", "default_cycle_days", "base_price", "is_chronic")
@@ -16,7 +17,7 @@ def _described(rows: DataFrame, customers: DataFrame, drugs: DataFrame) -> DataF
     """Age group and drug columns, missing ones by their defaults (an empty text or 0 is missing too)."""
     c = customers.select("customer_id", F.coalesce(F.nullif("age_group", F.lit("")), F.lit("Unknown")).alias("age_group"))
     d = drugs.select("drug_id", F.coalesce(F.nullif("category", F.lit("")), F.lit("Unknown")).alias("category"), F.coalesce(F.nullif("default_cycle_days", F.lit(0)), F.lit(30)).cast("double").alias("default_cycle_days"), F.col("base_price").cast("double").alias("base_price"), F.col("is_chronic").cast("int").alias("is_chronic"))
-    return rows.join(F.broadcast(d), "drug_id").join(c, "customer_id")
+    return rows.join(d, "drug_id").join(c, "customer_id")
 
 
 def cycle_training(bought: DataFrame, customers: DataFrame, drugs: DataFrame, leak_free: bool = True) -> DataFrame:
@@ -69,9 +70,8 @@ def serving(bought: DataFrame, customers: DataFrame, drugs: DataFrame, as_of: st
 
 def split_80_20(rows: DataFrame, label: str, *keys: str, seed: int = 42) -> DataFrame:
     """Per class, the first 80 per cent in hash order train."""
-    w = Window.partitionBy(label)
-    order = w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), *keys)
-    return rows.withColumn("is_train", F.row_number().over(order) <= F.floor(F.count(F.lit(1)).over(w) * 0.8))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    return first_share(rows, label, digest, keys, 0.8, "is_train")
 
 
 def flip_labels(rows: DataFrame, label: str, share: float, *keys: str, seed: int = 42) -> DataFrame:

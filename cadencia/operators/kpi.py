@@ -129,14 +129,23 @@ def orders_per_customer(customers: DataFrame, orders: DataFrame, limit: int = 5)
     return customers.select("customer_id").join(counts, "customer_id", "left").select("customer_id", F.coalesce("n", F.lit(0)).alias("orders")).orderBy(F.desc("orders"), "customer_id").limit(limit)
 
 
+#: Sorted blocks of values in nearest_rank(); so many bounds at most reach the driver.
+RANK_BLOCKS = 64
+
+
 def nearest_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """sorted[int(n * q)] for each q, capped at the last; the rank is found on counts of distinct values, not on all rows in one task."""
+    """sorted[int(n * q)] for each q, capped at the last; the rank is found on counts of distinct values, not on all rows in one task.
+
+    The values are cut into up to RANK_BLOCKS sorted blocks at bounds that are looked up first, so that a block is the same however often
+    the plan is run.
+    """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     from pyspark.sql import Window
 
-    # blocks of equal hash ranges would not keep order: a range partition gives sorted blocks and offsets over block sums
-    blocks = counts.repartitionByRange("v").withColumn("block", F.spark_partition_id())
+    bounds = counts.agg(F.percentile_approx("v", [i / RANK_BLOCKS for i in range(1, RANK_BLOCKS)])).first()[0] or []
+    block = sum((F.when(F.col("v") > F.lit(b), 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
+    blocks = counts.withColumn("block", block)
     starts = blocks.groupBy("block").agg(F.sum("n").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.sum("n").over(Window.partitionBy("block").orderBy("v"))
     ranked = blocks.withColumn("upto", within).join(F.broadcast(starts.select("block", "before")), "block").crossJoin(total)

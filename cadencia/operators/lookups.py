@@ -97,7 +97,7 @@ def customers_with_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 def order_view(orders: DataFrame, items: DataFrame, drugs: DataFrame) -> DataFrame:
     """Every order with its total and its items nested in line order; orders without items have an empty list."""
-    named = items.join(F.broadcast(drugs.select("drug_id", "name")), "drug_id", "left")
+    named = items.join(drugs.select("drug_id", "name"), "drug_id", "left")
     line = F.struct("line", "part_id", "supplier_id", "ship_date", "name", "quantity", "amount")
     nested = named.groupBy("order_id").agg(F.sum("amount").alias("total"), F.sort_array(F.collect_list(line)).alias("items"))
     return orders.join(nested, "order_id", "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("decimal(20,2)")).withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
@@ -141,3 +141,24 @@ def top_with_backfill(scored: DataFrame, catalog: DataFrame, k: int, key: str, s
     best = scored.orderBy(F.desc(score), key).limit(k).select(key, F.lit(0).alias("source"), F.col(score).cast("double").alias("value"))
     rest = catalog.join(best.select(key), key, "left_anti").orderBy(F.desc(fill), key).limit(k).select(key, F.lit(1).alias("source"), F.col(fill).cast("double").alias("value"))
     return best.unionByName(rest).orderBy("source", F.desc("value"), key).limit(k)
+
+
+#: Rows of a stratum are dealt in 16 to this power cells by the first digits of their digest.
+CELL_DIGITS = 3
+
+
+def first_share(rows: DataFrame, stratum: str, digest: Column, keys: tuple[str, ...], share: float, flag: str) -> DataFrame:
+    """rows with `flag`: true for the first floor(share * n) rows of each stratum in the order of digest (hexadecimal) and keys.
+
+    Ranks are counted inside cells of the digest and offset by the sizes of the cells before, so that no stratum is one task's.
+    """
+    dealt = rows.withColumn("__digest", digest).withColumn("__cell", F.substring("__digest", 1, CELL_DIGITS))
+    sizes = dealt.groupBy(F.col(stratum).alias("__stratum"), F.col("__cell").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__stratum")
+    before = F.sum("__n").over(w.orderBy("__at")) - F.col("__n")
+    quota = F.floor(F.sum("__n").over(w) * F.lit(share))
+    cells = sizes.select("__stratum", "__at", before.alias("__before"), quota.alias("__quota"))
+    nth = F.row_number().over(Window.partitionBy(stratum, "__cell").orderBy("__digest", *keys))
+    ranked = dealt.withColumn("__nth", nth)
+    joined = ranked.join(cells, F.col(stratum).eqNullSafe(F.col("__stratum")) & (F.col("__cell") == F.col("__at")))
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns if c != flag), (F.col("__before") + F.col("__nth") <= F.col("__quota")).alias(flag))

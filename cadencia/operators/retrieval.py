@@ -17,8 +17,8 @@ QUERY_BLOCK = 2_000
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k chunks of largest cosine for each query of a stated query set.
 
-    Up to QUERY_BLOCK queries are broadcast. More are dealt in blocks, each against all chunks; a partial top-k before the shuffle
-    keeps what moves to k rows for each query and task.
+    Up to QUERY_BLOCK queries are broadcast. More are dealt in blocks, and the chunks in slices; every block meets every slice in a
+    group of its own, so that no task holds all chunks.
     """
     q = queries.select(F.col(query_id).alias("query_id"), vc.normalized(F.col(vector)).alias("q"))
     c = chunks.select(F.col(chunk_id).alias("chunk_id"), vc.normalized(F.col(vector)).alias("c"))
@@ -28,7 +28,10 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, ch
     else:
         blocks = -(-n // QUERY_BLOCK)
         dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
+        slices = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        sliced = c.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).withColumn("block", each(blocks))
+        pairs = sliced.join(dealt.withColumn("slice", each(slices)), ["block", "slice"])
     scored = pairs.select("query_id", "chunk_id", F.round(vc.dot(F.col("q"), F.col("c")), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

@@ -130,17 +130,17 @@ query("p4_day_range", "select order_id, order_date from ord where order_date bet
 query("p5_rolling_window", f"select count(*) n from ord where order_date>={D}-30")(lambda r: r.orders().filter(F.col("order_date") >= kpi.days_before(AS_OF, 30)).agg(F.count(F.lit(1)).alias("n")))
 query("p6_in_lists", "select drug_id, count(*) n from items where drug_id in (11,12,13) and supplier_id not in (1,2) group by 1")(lambda r: r.items().filter(F.col("drug_id").isin(11, 12, 13) & ~F.col("supplier_id").isin(1, 2)).groupBy("drug_id").agg(F.count(F.lit(1)).alias("n")))
 query("p7_tenant_scope", "select o.* from ord o semi join (select customer_id from customers where tenant_id=3) using(customer_id)")(lambda r: lookups.scoped(r.orders(), r.customers(), 3).select("order_id", "customer_id", "order_date", "status", "channel"))
-query("p8_null_fallback", "select supplier_id, drug_id, coalesce(tenant_price, base_price) price from inventory join drugs using(drug_id)")(lambda r: r.inventory().join(F.broadcast(r.drugs()), "drug_id").select("supplier_id", "drug_id", F.coalesce("tenant_price", "base_price").alias("price")))
+query("p8_null_fallback", "select supplier_id, drug_id, coalesce(tenant_price, base_price) price from inventory join drugs using(drug_id)")(lambda r: r.inventory().join(r.drugs(), "drug_id").select("supplier_id", "drug_id", F.coalesce("tenant_price", "base_price").alias("price")))
 query("p9_contact_route", """select customer_id, preferred_channel, case when preferred_channel in ('whatsapp','sms') and phone is not null then phone else email end contact, case when preferred_channel in ('whatsapp','sms') and phone is null then 'email' else preferred_channel end used_channel,
  preferred_channel in ('whatsapp','sms') and phone is null is_fallback from customers""")(lambda r: lookups.contact_route(r.customers()))
-query("p10_line_subtotal", "select order_id, line, part_id, supplier_id, ship_date, base_price*quantity subtotal from items join drugs using(drug_id)")(lambda r: r.items().join(F.broadcast(r.drugs()), "drug_id").select("order_id", "line", "part_id", "supplier_id", "ship_date", (F.col("base_price") * F.col("quantity")).alias("subtotal")))
+query("p10_line_subtotal", "select order_id, line, part_id, supplier_id, ship_date, base_price*quantity subtotal from items join drugs using(drug_id)")(lambda r: r.items().join(r.drugs(), "drug_id").select("order_id", "line", "part_id", "supplier_id", "ship_date", (F.col("base_price") * F.col("quantity")).alias("subtotal")))
 query("p11_missing_text", "select count(*) filter (phone is null or trim(phone) in ('','null')) missing, count(*) n from customers")(lambda r: r.customers().agg(F.count_if(lookups.blank(F.col("phone"))).alias("missing"), F.count(F.lit(1)).alias("n")))
 query("p12_like_census", "select count(*) filter (full_name like 'Customer#0000001%') prefixed, count(*) filter (email like '%@example.com') suffixed from customers")(lambda r: r.customers().agg(F.count_if(F.col("full_name").like("Customer#0000001%")).alias("prefixed"), F.count_if(F.col("email").like("%@example.com")).alias("suffixed")))
 query("p13_loose_casts", "select event_id, lower(trim((value>50)::varchar))='true' flag, coalesce(try_cast(props as double),0) number from events")(lambda r: r.events().select("event_id", lookups.loose_boolean(F.col("value") > 50).alias("flag"), F.coalesce(F.expr("try_cast(payload as double)"), F.lit(0.0)).alias("number")))
 query("p14_recode", "select case category when 'cat0' then 'vitamins' when 'cat1' then 'skin' else category end category, count(*) n from drugs group by 1")(lambda r: lookups.recode(r.drugs(), "category", {"cat0": "vitamins", "cat1": "skin"}).groupBy("category").agg(F.count(F.lit(1)).alias("n")))
 query("j1_inner", "select status, count(*) n, sum(amount)::decimal(20,2) amount from ord join items using(order_id) group by 1")(lambda r: r.orders().join(r.items(), "order_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(20,2)").alias("amount")))
-query("j2_star", "select category, channel, sum(quantity)::bigint quantity from items join ord using(order_id) join drugs using(drug_id) group by 1,2")(lambda r: r.items().join(r.orders(), "order_id").join(F.broadcast(r.drugs()), "drug_id").groupBy("category", "channel").agg(F.sum("quantity").alias("quantity")))
-query("j3_dimension_lookup", "select supplier_id, drug_id, name, category, stock_level, stock_level<reorder_point low from inventory join drugs using(drug_id)")(lambda r: r.inventory().join(F.broadcast(r.drugs()), "drug_id").select("supplier_id", "drug_id", "name", "category", "stock_level", (F.col("stock_level") < F.col("reorder_point")).alias("low")))
+query("j2_star", "select category, channel, sum(quantity)::bigint quantity from items join ord using(order_id) join drugs using(drug_id) group by 1,2")(lambda r: r.items().join(r.orders(), "order_id").join(r.drugs(), "drug_id").groupBy("category", "channel").agg(F.sum("quantity").alias("quantity")))
+query("j3_dimension_lookup", "select supplier_id, drug_id, name, category, stock_level, stock_level<reorder_point low from inventory join drugs using(drug_id)")(lambda r: r.inventory().join(r.drugs(), "drug_id").select("supplier_id", "drug_id", "name", "category", "stock_level", (F.col("stock_level") < F.col("reorder_point")).alias("low")))
 query("j4_customer_counts", "select customer_id, full_name, count(order_id) order_count from customers left join ord using(customer_id) group by 1,2")(lambda r: lookups.customers_with_counts(r.customers(), r.orders()).select("customer_id", "full_name", "order_count"))
 query("j5_left_outer", "select order_id, full_name, email from ord left join customers using(customer_id)")(lambda r: r.orders().join(r.customers(), "customer_id", "left").select("order_id", "full_name", "email"))
 query("j6_left_chain", "select customer_id, count(distinct o.order_id) orders, coalesce(sum(amount),0)::decimal(20,2) amount from customers left join (select * from ord where status='completed') o using(customer_id) left join items i on i.order_id=o.order_id group by 1")(
@@ -322,7 +322,7 @@ query("f7_sig_tail", "select p_partkey, p_name as cleaned, (p_size%300) quantity
 query("f11_fingerprints", "select doc_id, md5(lower(trim(text))) exact from documents")(lambda r: r.documents().select("doc_id", tx.fingerprint(F.col("text")).alias("exact")))
 query("f12_event_hash", "select event_id, sha256(coalesce(payload,'{}')||'|'||repeat('0',64)||'|') h from ev")(lambda r: log(r).select("event_id", chain.event_hash(F.col("payload"), F.lit(chain.GENESIS), F.col("actor")).alias("h")))
 query("f16_dates", f"select order_id, {D}-order_date as days, order_date+30 later, strftime(order_date,'%Y-%m') as month from ord")(lambda r: r.orders().select("order_id", F.datediff(F.lit(AS_OF).cast("date"), "order_date").alias("days"), F.date_add("order_date", 30).alias("later"), F.date_format("order_date", "yyyy-MM").alias("month")))
-query("f19_price_and_boxes", "select part.p_partkey, round_even(base_price::double*3*(1-15/100::double),2) total, ceil(p_size*7/10::double)::bigint boxes from part join brands using(p_partkey) join drugs using(drug_id)")(lambda r: r.raw("part").select("p_partkey", "p_size", F.expr("cast(substring(p_brand, 7) as int)").alias("drug_id")).join(F.broadcast(r.drugs()), "drug_id").select("p_partkey", tx.price_after_discount(F.col("base_price").cast("double"), F.lit(3), F.lit(15.0)).alias("total"), tx.boxes_needed(F.col("p_size"), F.lit(7), F.lit(10)).alias("boxes")))
+query("f19_price_and_boxes", "select part.p_partkey, round_even(base_price::double*3*(1-15/100::double),2) total, ceil(p_size*7/10::double)::bigint boxes from part join brands using(p_partkey) join drugs using(drug_id)")(lambda r: r.raw("part").select("p_partkey", "p_size", F.expr("cast(substring(p_brand, 7) as int)").alias("drug_id")).join(r.drugs(), "drug_id").select("p_partkey", tx.price_after_discount(F.col("base_price").cast("double"), F.lit(3), F.lit(15.0)).alias("total"), tx.boxes_needed(F.col("p_size"), F.lit(7), F.lit(10)).alias("boxes")))
 query("f26_truncate", "select doc_id, trim(substr(trim(text),1,1500)) kept, length(trim(text))>1500 cut from documents")(lambda r: r.documents().select("doc_id", tx.truncated(F.col("text")).alias("kept"), (F.length(F.trim("text")) > 1500).alias("cut")))
 
 # ---- retrieval and turns -------------------------------------------------------------------------------------------------------
