@@ -1,11 +1,11 @@
 """Media columns: lossless FLAC streams of 8-bit mono samples, coded and decoded for many frames at once.
 
-A stream has STREAMINFO (with the MD5 of its samples), a SEEKTABLE with a point for every frame, and frames of
+A stream has STREAMINFO (with the MD5 of its samples), a SEEKTABLE with a point for every frame (for fewer beyond MOST_POINTS frames), and frames of
 BLOCK samples. The coder picks, for each frame, constant, verbatim, fixed (order 0 to 2) or linear-predictive
 (order 4) coding with a Rice parameter. The decoder reads these and, besides, all fixed orders to 4, any
 predictor order to 32, partitioned and escaped Rice residuals; it verifies the CRC-8 of headers, the CRC-16 of frames
-and the MD5 of the samples. All frames of a batch step together through their samples in numpy, so that
-time goes with the longest frame and not with the number of frames.
+and the MD5 of the samples. The frames of a batch step together through their samples in numpy, up to GROUP of
+them, so that memory beyond the stream itself does not follow its length.
 
 Samples are bytes less 128. Defined results: null and empty payloads are stored as they are padded by the caller,
 an empty stream has no frames; a damaged stream raises ValueError; streams that are not 8-bit mono do too.
@@ -28,6 +28,10 @@ from cadencia.llm import common
 
 BLOCK = 1024
 PAD = 64
+#: Frames that are coded or read at a time.
+GROUP = 2048
+#: Fixed value: a seek table of that many points is the longest whose size has three bytes.
+MOST_POINTS = 932_067
 _LPC_ORDER, _LPC_BITS = 4, 10
 #: The predictors of the fixed subframes by order.
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -121,19 +125,12 @@ def _residuals(x: np.ndarray, coefficients: np.ndarray, shift: np.ndarray) -> np
     return out
 
 
-def encode_streams(payloads: list[bytes]) -> list[bytes]:
-    """One FLAC stream for each payload; a byte is a sample."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    frames = -(-sizes // BLOCK)
-    owner = np.repeat(np.arange(len(payloads)), frames)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
-    length = np.minimum(sizes[owner] - number * BLOCK, BLOCK)
-    raw = np.frombuffer(b"".join(payloads) + bytes(BLOCK), np.uint8)
-    first = (np.cumsum(sizes) - sizes)[owner] + number * BLOCK
-    n = len(owner)
+def _code_frames(raw: np.ndarray, first: np.ndarray, number: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coded frames, one after the other, and their sizes; raw goes on for BLOCK bytes after the last sample."""
     inside = np.arange(BLOCK)[None, :] < length[:, None]
     x = np.where(inside, raw[first[:, None] + np.arange(BLOCK)].astype(np.int32) - 128, 0)
-    coefficients, shift = _linear_predictors(x, inside) if n else (np.zeros((0, _LPC_ORDER), np.int32), np.zeros(0, np.int32))
+    n = len(number)
+    coefficients, shift = _linear_predictors(x, inside)
     none = np.zeros(n, np.int32)
     plans = [(8 + o, o, np.tile(np.array(_FIXED[o], np.int32), (n, 1)), none) for o in range(3)] + [(31 + _LPC_ORDER, _LPC_ORDER, coefficients, shift)]
     residual, estimate = [], np.full((len(plans), n), np.inf)
@@ -145,7 +142,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
         mean = 2 * np.abs(e).sum(1) / np.maximum(length - o, 1) + 1
         # a Rice code takes about 1.5 bits more than the logarithm of the mean
         estimate[i] = np.where(length > o, (np.log2(mean) + 1.5) * (length - o) + 8 * o + (50 if code > 31 else 0), np.inf)
-    plan = estimate.argmin(0) if n else np.zeros(0, np.int64)
+    plan = estimate.argmin(0)
     kind, order = np.array([q[0] for q in plans])[plan], np.array([q[1] for q in plans])[plan]
     kept = residual[0]
     for i in range(1, len(plans)):
@@ -157,7 +154,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     guess = np.clip(np.log2(np.maximum(kept.sum(1) / count, 1)).astype(np.int64), 1, 13)
     rice, best = np.zeros(n, np.int64), 8 + 8 * length
     fits = np.zeros(n, bool)
-    top = kept.max(1) if n else guess
+    top = kept.max(1)
     for k in (guess - 1, guess):
         bits = head + (kept >> k[:, None].astype(np.int32)).sum(1) + (k + 1) * count
         better = (bits < best) & ((top >> k) < 24)
@@ -170,13 +167,8 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     short = length != BLOCK
     head_size = 4 + number_size + 2 * short + 1
     frame_size = head_size + -(-best // 8) + 2
-    meta = 4 + 4 + 34 + 4 + 18 * frames
-    frame_bytes = np.bincount(owner, frame_size, len(payloads)).astype(np.int64) if n else np.zeros(len(payloads), np.int64)
-    stream_at = np.cumsum(meta + frame_bytes) - (meta + frame_bytes)
-    within = np.cumsum(frame_size) - frame_size
-    within -= (np.cumsum(frame_bytes) - frame_bytes)[owner]
-    at = stream_at[owner] + meta[owner] + within
-    out = _Bits(int((meta + frame_bytes).sum()))
+    at = np.cumsum(frame_size) - frame_size
+    out = _Bits(int(frame_size.sum()))
     p = 8 * (at + head_size)
     out.put(p + 1, np.where(kind > 31, 32 + order - 1, kind), 6)
     p += 8
@@ -211,11 +203,11 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     sums = np.r_[0, 0, sums]
     n_bytes = len(data)
     data |= (sums[2 : n_bytes + 2] >> 16 | sums[1 : n_bytes + 1] >> 8 & 0xFF | sums[:n_bytes] & 0xFF).astype(np.uint8)
-    # headers, checksums and metadata are whole bytes
+    # headers and checksums are whole bytes
     data[at], data[at + 1] = 0xFF, 0xF8
     data[at + 2] = np.where(short, 7, 10) << 4
     data[at + 3] = 1 << 1
-    for i in range(int(number_size.max()) if n else 0):
+    for i in range(int(number_size.max())):
         on = number_size > i
         data[(at + 4 + i)[on]] = [h[i] for h in heads if len(h) > i]
     data[(at + 4 + number_size)[short]] = (length[short] - 1) >> 8
@@ -223,22 +215,41 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     data[at + head_size - 1] = _crc8(data, at, head_size - 1)
     crc = _crc16(data, at, frame_size - 2).astype(np.int64)
     data[at + frame_size - 2], data[at + frame_size - 1] = crc >> 8, crc & 0xFF
-    points = np.zeros((n, 18), np.uint8)
-    points[:, :8] = (number * BLOCK).astype(">u8")[:, None].view(np.uint8).reshape(n, 8)
-    points[:, 8:16] = within.astype(">u8")[:, None].view(np.uint8).reshape(n, 8)
-    points[:, 16:] = length.astype(">u2")[:, None].view(np.uint8).reshape(n, 2)
-    done, f = [], 0
-    signed = (raw ^ 0x80).tobytes()
-    data_at = np.cumsum(sizes) - sizes
+    return data, frame_size
+
+
+def encode_streams(payloads: list[bytes]) -> list[bytes]:
+    """One FLAC stream for each payload; a byte is a sample. Frames are coded in groups, so memory does not follow the length of a payload."""
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    frames = -(-sizes // BLOCK)
+    owner = np.repeat(np.arange(len(payloads)), frames)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(frames) - frames, frames)
+    length = np.minimum(sizes[owner] - number * BLOCK, BLOCK)
+    raw = np.frombuffer(b"".join(payloads) + bytes(BLOCK), np.uint8)
+    first = (np.cumsum(sizes) - sizes)[owner] + number * BLOCK
+    groups = [slice(a, a + GROUP) for a in range(0, len(owner), GROUP)]
+    coded = [_code_frames(raw, first[g], number[g], length[g]) for g in groups]
+    data = np.concatenate([np.zeros(0, np.uint8), *(c for c, _ in coded)])
+    frame_size = np.concatenate([np.zeros(0, np.int64), *(c for _, c in coded)])
+    del coded
+    ends = np.r_[0, np.cumsum(frame_size)]
+    stream = np.r_[0, np.cumsum(frames)]
+    within = ends[:-1] - ends[stream[owner]]
+    points = np.zeros((len(owner), 18), np.uint8)
+    points[:, :8] = (number * BLOCK).astype(">u8")[:, None].view(np.uint8).reshape(-1, 8)
+    points[:, 8:16] = within.astype(">u8")[:, None].view(np.uint8).reshape(-1, 8)
+    points[:, 16:] = length.astype(">u2")[:, None].view(np.uint8).reshape(-1, 2)
+    done, data_at = [], np.r_[0, np.cumsum(sizes)]
     for d in range(len(payloads)):
-        lo, hi = (int(frame_size[f : f + frames[d]].min()), int(frame_size[f : f + frames[d]].max())) if frames[d] else (0, 0)
+        mine = slice(stream[d], stream[d + 1])
+        lo, hi = (int(frame_size[mine].min()), int(frame_size[mine].max())) if frames[d] else (0, 0)
         info = BLOCK.to_bytes(2, "big") * 2 + lo.to_bytes(3, "big") + hi.to_bytes(3, "big")
         info += ((8000 << 44) | (0 << 41) | (7 << 36) | int(sizes[d])).to_bytes(8, "big")
-        info += hashlib.md5(signed[data_at[d] : data_at[d] + sizes[d]]).digest()
-        table = points[f : f + frames[d]].tobytes()
-        begin = int(stream_at[d] + meta[d])
-        done.append(b"fLaC" + b"\0\0\0\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + data[begin : begin + int(frame_bytes[d])].tobytes())
-        f += int(frames[d])
+        info += hashlib.md5((raw[data_at[d] : data_at[d + 1]] ^ 0x80).tobytes()).digest()
+        # the size of a seek table has three bytes: a longer stream names every second, third .. frame
+        table = points[mine][:: max(-(-int(frames[d]) // MOST_POINTS), 1)].tobytes()
+        frames_of = data[ends[stream[d]] : ends[stream[d + 1]]].tobytes()
+        done.append(b"fLaC" + b"\0\0\0\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + frames_of)
     return done
 
 
@@ -389,25 +400,11 @@ def _one_by_one(reader: _Reader, p: np.ndarray, k: np.ndarray, raw_bits: np.ndar
     return out
 
 
-def decode_streams(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """The PCM blocks (sample offset, bytes) of each stream; ValueError where a checksum or the structure is wrong."""
-    infos = [_metadata(s) for s in streams]
-    base = np.cumsum([0, *(len(s) for s in streams)])
-    raw = np.frombuffer(b"".join(streams), np.uint8)
-    rows = []
-    for d, (total, _, points, at) in enumerate(infos):
-        if points[:, 2].sum() != total:
-            points = _scan_frames(streams[d], at, total)
-        if points[:, 2].sum() != total:
-            raise ValueError("frames are missing")
-        start = base[d] + at + points[:, 1]
-        rows.append(np.column_stack([np.full(len(points), d), start, np.r_[start[1:], base[d + 1]][: len(points)], points[:, 0], points[:, 2]]))
-    frames = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
+def _read_frames(raw: np.ndarray, start: np.ndarray, end: np.ndarray, samples: np.ndarray) -> list[bytes]:
+    """The samples of each frame; ValueError where a checksum or the structure is wrong."""
     # longest first: frames that end leave the common step from the end
-    order_of = np.argsort(-frames[:, 4], kind="stable")
-    owner, start, end, offset, samples = frames[order_of].T if len(frames) else np.zeros((5, 0), np.int64)
-    if len(start) == 0:
-        return [[] for _ in streams]
+    order_of = np.argsort(-samples, kind="stable")
+    start, end, samples = start[order_of], end[order_of], samples[order_of]
     crc = _crc16(raw, start, end - start - 2)
     if ((raw[end - 2].astype(np.int64) << 8 | raw[end - 1]) != crc).any():
         raise ValueError("a frame's CRC-16 is wrong")
@@ -465,12 +462,35 @@ def decode_streams(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
                 x[i] += (back * x[i - n : i]).sum(0, dtype=np.int32) >> by
             pcm[: len(x), coded[on]] = x
     pcm = (pcm + 128).astype(np.uint8).T
+    back_at = np.argsort(order_of)
+    return [pcm[f, : samples[f]].tobytes() for f in back_at]
+
+
+def decode_streams(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """The PCM blocks (sample offset, bytes) of each stream; ValueError where a checksum or the structure is wrong."""
+    infos = [_metadata(s) for s in streams]
+    base = np.cumsum([0, *(len(s) for s in streams)])
+    raw = np.frombuffer(b"".join(streams), np.uint8)
+    rows = []
+    for d, (total, _, points, at) in enumerate(infos):
+        if points[:, 2].sum() != total:
+            points = _scan_frames(streams[d], at, total)
+        if points[:, 2].sum() != total:
+            raise ValueError("frames are missing")
+        start = base[d] + at + points[:, 1]
+        rows.append(np.column_stack([np.full(len(points), d), start, np.r_[start[1:], base[d + 1]][: len(points)], points[:, 0], points[:, 2]]))
+    frames = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
     out: list[list] = [[] for _ in streams]
-    for f in np.lexsort((offset, owner)):
-        out[owner[f]].append((int(offset[f]), pcm[f, : samples[f]].tobytes()))
+    for g in range(0, len(frames), GROUP):
+        owner, start, end, offset, samples = frames[g : g + GROUP].T
+        low = int(start.min())
+        for d, at, pcm in zip(owner, offset, _read_frames(raw[low : int(end.max())], start - low, end - low, samples), strict=True):
+            out[d].append((int(at), pcm))
     for d, (_, digest, _, _) in enumerate(infos):
-        signed = (np.frombuffer(b"".join(b for _, b in out[d]), np.uint8) ^ 0x80).tobytes()
-        if any(digest) and hashlib.md5(signed).digest() != digest:
+        whole = hashlib.md5()
+        for _, block in out[d]:
+            whole.update((np.frombuffer(block, np.uint8) ^ 0x80).tobytes())
+        if any(digest) and whole.digest() != digest:
             raise ValueError("the samples' MD5 is wrong")
     return out
 
@@ -518,8 +538,7 @@ def media_blocks(df: DataFrame, key: str = "doc_id", media_col: str = "media") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column(1).is_valid())
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
+            for part in common.slices(b, media_col):
                 rows = [(i, n, at, len(pcm), pcm) for i, blocks in enumerate(decode_streams(part.column(1).to_pylist())) for n, (at, pcm) in enumerate(blocks)]
                 c = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(c[0], pa.int64())), *(pa.array(v, pa.int64()) for v in c[1:4]), pa.array(c[4], pa.binary())], names=schema.names)
@@ -529,8 +548,13 @@ def media_blocks(df: DataFrame, key: str = "doc_id", media_col: str = "media") -
 
 def _feature(payload: bytes) -> str:
     """Sum, energy, zero crossings and peak of the samples: exact whole numbers."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    return f"{x.sum()}:{(x * x).sum()}:{((x[1:] < 0) != (x[:-1] < 0)).sum()}:{np.abs(x).max()}"
+    total = energy = crossings = peak = 0
+    for at in range(0, len(payload), BLOCK * GROUP):
+        x = np.frombuffer(payload[max(at - 1, 0) : at + BLOCK * GROUP], np.uint8).astype(np.int64) - 128
+        crossings += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        x = x[1:] if at else x
+        total, energy, peak = total + int(x.sum()), energy + int((x * x).sum()), max(peak, int(np.abs(x).max()))
+    return f"{total}:{energy}:{crossings}:{peak}"
 
 
 def media_digests(df: DataFrame, media_col: str = "media") -> DataFrame:
