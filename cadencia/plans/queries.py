@@ -425,6 +425,7 @@ def messy_lines(r: Retail) -> DataFrame:
 
 
 query("e4_exact_matches", "select p_partkey line_id, m drug_id, 'matched' status, 1.0::double score from part join (select p_name, p_size, min(p_partkey) m from part group by 1,2) using(p_name, p_size) where p_partkey%3=0")(lambda r: matching.exact_matches(messy_lines(r).filter("line_id % 3 = 0"), catalog(r)).drop("options"))
+query("j18_fuzzy_entities")(lambda r: matching.match_lines(messy_lines(r), catalog(r)).select("line_id", F.inline("candidates")).select("line_id", F.col("nth").alias("rank"), "drug_id", "score"))
 query("e7_match_lines")(lambda r: matching.match_lines(messy_lines(r), catalog(r)).drop("candidates"))
 query("e10_final_score", "select event_id, round(case when b<.75 then least(.5,b) else greatest(0,least(1,case when event_id%3=0 then case when event_id%2=0 then least(case when b>=.95 then 1.0 else .88 end,b+.05) else b-.25 end else b end)) end,6) score from (select event_id, (event_id*37%101)/100.0::double b from ev)")(
     lambda r: r.events().select("event_id", F.round(matching.final_score(F.col("event_id") * 37 % 101, F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.lit(False), F.lit(False)), 6).alias("score"))

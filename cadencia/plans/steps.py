@@ -377,18 +377,36 @@ query("m16_batch_churn", f"select event_id customer_id, 1 drug_id, (x>=10)::int
 # ---- streams -----------------------------------------------------------------------------------------------------------------------
 
 
-def signed_stream(r: Retail) -> DataFrame:
-    from cadencia.streaming import jobs
-
+def stateful(r: Retail, job) -> DataFrame:
+    """streamed() with the RocksDB state store that jobs with own state need."""
     key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = r.spark.conf.get(key, None)
     r.spark.conf.set(key, kind)
     try:
-        return streamed(r, jobs.sign_stream)
+        return streamed(r, job)
     finally:
         r.spark.conf.unset(key) if before is None else r.spark.conf.set(key, before)
 
 
+def signed_stream(r: Retail) -> DataFrame:
+    from cadencia.streaming import jobs
+
+    return stateful(r, jobs.sign_stream)
+
+
+def breached(r: Retail) -> DataFrame:
+    """Clicks as reminders; every third is reviewed, up to 47 hours later."""
+    from cadencia.streaming import jobs
+
+    def changes(s: DataFrame) -> DataFrame:
+        made = F.struct(F.lit("created").alias("kind"), "ts")
+        seen = F.when(F.col("event_id") % 3 == 0, F.struct(F.lit("reviewed").alias("kind"), (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 48).cast("int"))).alias("ts")))
+        rows = s.filter("event_type = 'click'").select(F.col("event_id").alias("reminder_id"), F.explode(F.array_compact(F.array(made, seen))).alias("x"))
+        return rows.select("reminder_id", "x.kind", "x.ts")
+
+    return stateful(r, lambda s: jobs.sla_breaches(changes(s)))
+
+
 def rolling_week(r: Retail) -> DataFrame:
     from cadencia.streaming import jobs
 
@@ -411,5 +429,6 @@ def suppressed(r: Retail) -> DataFrame:
 
 REGISTRY["st2_signed_stream"] = (signed_stream, REGISTRY["q1_sign_chain"][1].replace("select session_id, event_seq, event_id, prev_hash", "select session_id, event_id, prev_hash"))
 query("st4_rolling_week", "select (time_bucket(interval 1 day, ts) - k * interval 1 day)::timestamp as start, event_type, count(*) n from events cross join range(7) g(k) group by 1, 2")(rolling_week)
+query("st5_breaches", "with c as (select event_id reminder_id, ts::timestamp created_at, case when event_id%3=0 then ts::timestamp + (event_id%48) * interval 1 hour end reviewed from ev where event_type='click') select reminder_id, created_at from c where reviewed >= created_at + interval 24 hour or (reviewed is null and created_at + interval 24 hour <= (select max(coalesce(reviewed, created_at)) from c) - interval 1 minute)")(breached)
 query("st6_attribution", "select distinct n.notification_id, n.customer_id from notifications n join ev e on e.session_id=n.customer_id and e.event_type='purchase' and e.ts>n.sent_at and e.ts<=n.sent_at + interval 3 day")(attributed)
 query("st7_suppressed", "select distinct session_id customer_id from ev")(suppressed)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cadencia.operators.chain import GENESIS
 
@@ -64,7 +64,7 @@ class ChainSigner(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", StructType([StructField("hash", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("event_id")
         last = self.last.get()[0] if self.last.exists() else GENESIS
         out = []
@@ -84,39 +84,43 @@ def sign_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").transformWithStateInPandas(ChainSigner(), SIGNED, "Append", "None")
 
 
-BREACH = StructType([StructField("reminder_id", LongType()), StructField("created_at", TimestampType())])
+BREACH = StructType([StructField("reminder_id", LongType()), StructField("at", LongType())])
 
 
 class SlaTimer(StatefulProcessor):
-    """Waits for a review of each reminder; an event-time timer reports those without one after the hours."""
+    """Waits for a review of each reminder; an event-time timer, or a review that comes too late, reports it. Times are in microseconds, timers in milliseconds."""
 
     def __init__(self, hours: int) -> None:
-        self.hours = hours
+        self.wait = hours * 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", StructType([StructField("created_at", TimestampType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for kind, ts in sorted(zip(batch["kind"], batch["ts"], strict=True), key=lambda x: x[1]):
-                if kind == "created":
-                    self.open.update((ts.to_pydatetime(),))
-                    self.handle.registerTimer(int(ts.timestamp() * 1000) + self.hours * 3_600_000)
-                elif self.open.exists():
-                    self.open.clear()
-        yield pd.DataFrame({c: [] for c in BREACH.names}).astype({"reminder_id": "int64", "created_at": "datetime64[us]"})
-
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            created = self.open.get()[0]
+        self.open = handle.getValueState("open", StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch, late = pd.concat(list(rows)).sort_values(["at", "kind"]), []
+        for kind, at in zip(batch["kind"], batch["at"], strict=True):
+            if kind == "created":
+                self.open.update((int(at),))
+                self.handle.registerTimer(-(-(int(at) + self.wait) // 1000))
+            elif self.open.exists():
+                since = self.open.get()[0]
+                late += [since] if at - since >= self.wait else []
+                self.open.clear()
+        yield pd.DataFrame({"reminder_id": [int(key[0])] * len(late), "at": late}, dtype="int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a reminder may have been made anew since this timer was set
+        if self.open.exists() and (since := self.open.get()[0]) + self.wait <= 1000 * expiredTimerInfo.getExpiryTimeInMs():
             self.open.clear()
-            yield pd.DataFrame([(int(key[0]), created)], columns=BREACH.names)
+            yield pd.DataFrame([(int(key[0]), since)], columns=BREACH.names)
 
     def close(self) -> None:
         pass
 
 
 def sla_breaches(changes: DataFrame, hours: int = 24, delay: str = "1 minute") -> DataFrame:
-    """Reminders (reminder_id, ts, kind: created or reviewed) that nobody reviewed within the hours."""
-    return changes.withWatermark("ts", delay).groupBy("reminder_id").transformWithStateInPandas(SlaTimer(hours), BREACH, "Append", "EventTime")
+    """(reminder_id, created_at) of reminders (reminder_id, ts, kind: created or reviewed) that nobody reviewed within the hours; needs the RocksDB state store."""
+    timed = changes.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    breaches = timed.groupBy("reminder_id").transformWithStateInPandas(SlaTimer(hours), BREACH, "Append", "EventTime")
+    return breaches.select("reminder_id", F.timestamp_micros("at").alias("created_at"))
