@@ -159,6 +159,24 @@ class Bits:
         return bytes(int(self.s[i : i + 8], 2) for i in range(0, len(self.s), 8))
 
 
+def test_flac_groups_of_frames_and_thin_seek_tables(monkeypatch):
+    """Streams and samples are the same however many frames are coded at a time; a table that names fewer frames still serves."""
+    rng = random.Random(3)
+    payloads = [flac.padded(bytes(rng.choice(b"words of a text \n") for _ in range(n))) for n in (0, 64, 1024, 1025, 9000)] + [flac.padded(rng.randbytes(5000))]
+    streams = flac.encode_streams(payloads)
+    features = [flac._feature(p) for p in payloads]
+    for group in (1, 3):
+        monkeypatch.setattr(flac, "GROUP", group)
+        assert flac.encode_streams(payloads) == streams
+        assert [b"".join(b for _, b in s) for s in flac.decode_streams(streams)] == payloads
+        assert [flac._feature(p) for p in payloads] == features
+    monkeypatch.setattr(flac, "MOST_POINTS", 2)
+    thin = flac.encode_streams(payloads)
+    assert len(flac._metadata(thin[4])[2]) == 2
+    assert [b"".join(b for _, b in s) for s in flac.decode_streams(thin)] == payloads
+    assert flac.read_samples(thin[4], 3000, 100) == payloads[4][3000:3100]
+
+
 def test_flac_reads_partitions_escapes_and_high_orders():
     """A stream made bit by bit: order 3, four partitions, one of them escaped, one with long quotients."""
     rng = random.Random(2)
