@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -139,3 +141,47 @@ def segment_hashes(mixed: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     out ^= lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)
     return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i], first[i] + 1, ... of each of the runs, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+def distinct_segments(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first segment of each kind, kind of each segment): segments of equal values, and of equal `extra`, are one kind.
+
+    Kinds are found by a 64-bit hash and every segment is then compared in full with the first of its kind, so that two kinds of one hash stay apart.
+    """
+    mixed = (values.astype(np.uint64) + np.uint64(1)) * POSITION_MIX
+    mixed ^= mixed >> np.uint64(29)
+    hashes = segment_hashes(mixed * np.uint64(0xBF58476D1CE4E5B9), starts, lengths)
+    if extra is not None:
+        hashes = hashes ^ (extra.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    like = first[kind]
+    same = np.array_equal(lengths, lengths[like]) and (extra is None or np.array_equal(extra, extra[like]))
+    if same and np.array_equal(values[ragged(starts, lengths)], values[ragged(starts[like], lengths)]):
+        return first, kind
+    known: dict = {}
+    kind = np.array([known.setdefault((values[a : a + n].tobytes(), None if extra is None else extra[i]), len(known)) for i, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True))], np.int64)
+    return np.unique(kind, return_index=True)[1], kind
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as four planes of bytes, compressed: high planes are nearly empty."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+
+
+def block_numbers() -> Iterator[int]:
+    """Numbers for the blocks that a task makes; no other task of the stage has them, and a retried task has the same."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return itertools.count((task.partitionId() if task else 0) << 32)

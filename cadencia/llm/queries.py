@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadencia.llm import bpe, flac, langid, linededup, maglev, minhash, neighbours, packing, quality, secrets
+from cadencia.llm import alignment, bpe, flac, langid, linededup, maglev, minhash, multiindex, neighbours, packing, phrases, quality, secrets
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_lines": linededup.op8_lines,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": minhash.op10_minhash,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_embeddings": multiindex.op12_embeddings,
+    "op13_phrases": phrases.op13_phrases,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_phrases": phrases.OP13_SQL}

@@ -55,10 +55,10 @@ LONG_BLANK = 50_000
 _BLANKS = re.compile(rf"[^\S\x1c-\x1f]{{{LONG_BLANK},}}")
 
 
-def encode(path: str, text: str) -> np.ndarray:
-    """Ids of one text as uint32; strings of special tokens count as these, as in the library's own encode()."""
+def encode(path: str, text: str, plain: bool = False) -> np.ndarray:
+    """Ids of one text as uint32; strings of special tokens count as these, as in the library's own encode(), unless `plain`."""
     encoding, special = load(path)
-    marks = tuple(t.decode() for t in special.values())
+    marks = () if plain else tuple(t.decode() for t in special.values())
     allowed = "all" if any(t in text for t in marks) else set()
     whole = lambda t: encoding.encode_to_numpy(t, allowed_special=allowed, disallowed_special=())
     parts, at = [], 0
@@ -68,3 +68,22 @@ def encode(path: str, text: str) -> np.ndarray:
         parts += [whole(text[at : m.start()]), np.array(encoding._encode_single_piece(text[m.start() : end]), np.uint32)]
         at = end
     return np.concatenate([*parts, whole(text[at:])]) if parts else whole(text)
+
+
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_BPE)
+
+
+@functools.cache
+def load_pieces(path: str):
+    """(model, bytes of each id) of a piece vocabulary with bytes to fall back on; one for each process."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    table = [bytes([int(p[3:5], 16)]) if model.IsByte(i) else p.replace("\u2581", " ").encode() for i in range(model.GetPieceSize()) for p in [model.IdToPiece(i)]]
+    return model, table
