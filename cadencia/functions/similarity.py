@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadencia.functions.phonetics import metaphone
+
 
 SCORES = ("name", "token", "partial", "phonetic", "first", "first_partial")
 
@@ -32,12 +34,17 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def _partial(short: str, long: str) -> float:
+    m, n = len(short), len(long)
+    return max(ratio(short, long[max(i, 0) : i + m]) for i in range(1 - m, n))
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a window of its length in the longer one."""
+    """The best ratio of the shorter text with a window of its length in the longer one; windows may hang over either end."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
-    return max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    return max(_partial(short, long), _partial(long, short)) if len(short) == len(long) else _partial(short, long)
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -75,30 +82,10 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     return jaro + prefix * weight * (1 - jaro) if jaro > 0.7 else jaro
 
 
-#: Letters that sound alike get one key letter; vowels count at the start of a word only.
-_SOUNDS = {"b": "B", "p": "P", "f": "F", "v": "F", "c": "K", "k": "K", "q": "K", "g": "K", "j": "J", "s": "S", "z": "S", "x": "KS", "d": "T", "t": "T", "l": "L", "m": "M", "n": "N", "r": "R", "w": "W", "y": "Y", "h": ""}
-
-
-def phonetic_key(text: str) -> str:
-    """A metaphone-like key: digraphs first, then single sounds, repeated sounds once."""
-    words = []
-    for word in text.lower().split():
-        for old, new in (("ph", "f"), ("ck", "k"), ("sh", "x0"), ("ch", "x0"), ("th", "0"), ("kn", "n"), ("wr", "r"), ("ce", "se"), ("ci", "si"), ("cy", "sy")):
-            word = word.replace(old, new)
-        word = word.replace("x0", "X")
-        key = ""
-        for i, c in enumerate(word):
-            sound = c.upper() if c in "aeiou" and i == 0 else c if c in "0X" else _SOUNDS.get(c, "")
-            if sound and not key.endswith(sound):
-                key += sound
-        words.append(key)
-    return " ".join(words)
-
-
 @F.pandas_udf(T.DoubleType())
 def phonetic_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler of the phonetic keys, 0 to 100."""
-    keys = [(phonetic_key(x or ""), phonetic_key(y or "")) for x, y in zip(a, b, strict=True)]
+    keys = [(metaphone(x or ""), metaphone(y or "")) for x, y in zip(a, b, strict=True)]
     return pd.Series([100 * jaro_winkler(p, q) if p and q else 0.0 for p, q in keys])
 
 
@@ -114,7 +101,7 @@ def name_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     rows = []
     for x, y in zip(a, b, strict=True):
         x, y = x or "", y or ""
-        p, q = phonetic_key(x), phonetic_key(y)
+        p, q = metaphone(x), metaphone(y)
         token, partial = token_set_ratio(x, y), partial_ratio(x, y)
         f, g = (x.split() or [""])[0], (y.split() or [""])[0]
         rows.append((max(token, partial), token, partial, 100 * jaro_winkler(p, q) if p and q else 0.0, ratio(f, g), partial_ratio(f, g)))

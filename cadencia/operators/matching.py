@@ -1,18 +1,24 @@
 """Messy product lines to catalog entries, as one set-based job.
 
-Exact names first, then candidates by shared blocking keys (q-grams of the first word, its phonetic key), scored once for each pair in an
-Arrow batch, with guards for strengths and look-alikes.
+Exact names first, then for each distinct name the best of all catalog names, found in blocks through an index that bounds scores from above, with
+guards for strengths and look-alikes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadencia.functions import similarity as sm
 from cadencia.functions import text as tx
+from cadencia.functions.nameindex import NameIndex
 
 CANDIDATES, KEPT = 15, 3
+#: Catalog names that a task holds, and line names that it looks up among them.
+BLOCK_NAMES, PART_NAMES = 16_384, 65_536
 
 
 def picked_text(lines: DataFrame) -> DataFrame:
@@ -83,31 +89,54 @@ def shortlist(scored: DataFrame, line: str, item: str, *more: str, least: float
     return best.withColumn("margin", margin)
 
 
-def blocking_keys(name: Column) -> Column:
-    """Keys that a similar name shares: 3-grams of the first two words, and soundex of each word."""
-    words = F.filter(F.split(name, " "), lambda w: F.length(w) > 1)
-    grams = F.flatten(F.transform(F.slice(words, 1, 2), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))))
-    return F.array_distinct(F.concat(F.transform(grams, lambda g: F.concat(F.lit("g:"), g)), F.transform(words, lambda w: F.concat(F.lit("s:"), F.soundex(w)))))
+def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(block, part, catalog, name): the stated names against all catalog names, in blocks of bounded size on either side."""
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, blocks = left.count(), max(1, -(-right.count() // BLOCK_NAMES))
+    parts = max(-(-n // PART_NAMES), min(partitions, -(-n // 64)), 1)
+    each = lambda k, c: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(c)
+    at = lambda c, k, name: F.pmod(F.xxhash64(c), F.lit(k)).cast("int").alias(name)
+    held = right.select(at("c_name", blocks, "block"), each(parts, "part"), F.lit(0).alias("role"), F.col("c_name").alias("name"))
+    asked = left.select(each(blocks, "block"), at("name", parts, "part"), F.lit(1).alias("role"), "name")
+    return held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "role", "name")
 
 
 def candidates(lines: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """Scored pairs of distinct names: each pair of names is scored once, whatever the number of lines."""
-    left = lines.select("name").filter(F.length("name") > 2).distinct().select("name", F.explode(blocking_keys(F.col("name"))).alias("key"))
-    right = catalog.select("c_name").distinct().select("c_name", F.explode(blocking_keys(F.col("c_name"))).alias("key"))
-    # whoever shares a key is scored; only scores decide who is kept
-    near = left.join(right, "key").select("name", "c_name").distinct()
-    scored = near.withColumn("s", sm.name_scores("name", "c_name")).select("name", "c_name", "s")
-    best = Window.partitionBy("name").orderBy(F.desc("s.name"), "c_name")
-    return scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= most).drop("nth")
+    """(name, c_name, s): the `most` best catalog names of each distinct line name, by score and then by name, with all their scores.
+
+    These are the best of all names: an index bounds what a name can reach, and only names that cannot reach the best are not scored.
+    """
+    left = lines.select("name").filter(F.length("name") > 2).distinct()
+    right = catalog.select("c_name").filter(F.col("c_name").isNotNull()).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, index = None, [], None
+        for b in batches:
+            found = []
+            for block, part, role, name in zip(*(b.column(c).to_pylist() for c in ("block", "part", "role", "name")), strict=True):
+                if (block, part) != now:
+                    now, names, index = (block, part), [], None
+                if not role:
+                    names.append(name)
+                    continue
+                index = index or NameIndex(names)
+                found += [(name, c, s) for s, c in index.top(name, most)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["name", "c_name", "score"])
+
+    found = _blocked(left, right).mapInArrow(run, "name string, c_name string, score double")
+    best = Window.partitionBy("name").orderBy(F.desc("score"), "c_name")
+    kept = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= most)
+    return kept.select("name", "c_name", sm.name_scores("name", "c_name").alias("s"))
 
 
 def match_lines(lines: DataFrame, catalog: DataFrame, sure: float = 0.95, lead: float = 0.10, seen: float = 0.85) -> DataFrame:
     """One row for each line (line_id, raw_name, instructions, form, strength, ocr_confidence): status, drug_id, score, margin, candidates."""
     rows, names = picked_text(lines), catalog_names(catalog)
     pairs = candidates(rows, names)
-    joined = rows.join(pairs, "name").join(names, "c_name")
     fuzzy, first = F.col("s.name"), F.col("s.first")
     capped = first_word_cap(blended(fuzzy, F.col("s.phonetic")), fuzzy, first)
+    # a name below three quarters scores a half at most, whatever its entries' strengths: the shortlist would drop them all
+    joined = rows.join(pairs.filter(capped / 100 >= 0.75), "name").join(names, "c_name")
     match, conflict = strength_guard(F.col("strength"), F.col("c_strength"))
     form = F.lower(F.trim("form"))
     has_form = F.coalesce(form, F.lit("")) != ""

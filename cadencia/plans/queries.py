@@ -424,9 +424,35 @@ def messy_lines(r: Retail) -> DataFrame:
     return r.raw("part").select(k.alias("line_id"), F.concat(broken, F.lit(" - 1 tab BID")).alias("raw_name"), none.alias("instructions"), none.alias("form"), none.alias("strength"), F.lit(0.9).alias("ocr_confidence"))
 
 
-query("e4_exact_matches", "select p_partkey line_id, m drug_id, 'matched' status, 1.0::double score from part join (select p_name, p_size, min(p_partkey) m from part group by 1,2) using(p_name, p_size) where p_partkey%3=0")(lambda r: matching.exact_matches(messy_lines(r).filter("line_id % 3 = 0"), catalog(r)).drop("options"))
+query("e4_exact_matches", """with c as (select p_name, p_size, min(p_partkey) m from part group by 1,2),
+ l as (select p_partkey line_id, p_size, case when p_partkey%3=0 then p_name else trim(substr(p_name,1,k-1)||substr(p_name,k+1)) end as called from (select *, (p_partkey%length(p_name)+1)::int k from part))
+ select line_id, m drug_id, case when c.p_size=l.p_size then 'matched' else 'needs_review' end status, case when c.p_size=l.p_size then 1.0::double else .70::double end score from l join c on p_name=called
+ qualify row_number() over (partition by line_id order by c.p_size=l.p_size desc, m)=1""")(lambda r: matching.exact_matches(messy_lines(r), catalog(r)).drop("options"))
 query("j18_fuzzy_entities")(lambda r: matching.match_lines(messy_lines(r), catalog(r)).select("line_id", F.inline("candidates")).select("line_id", F.col("nth").alias("rank"), "drug_id", "score"))
 query("e7_match_lines")(lambda r: matching.match_lines(messy_lines(r), catalog(r)).drop("candidates"))
+# names far from each other, so that only a line's own name can reach the shortlist and SQL can tell its score
+FAR = "translate(md5(s_suppkey::varchar),'0123456789','ghijklmnop')"
+
+
+def far_catalog(r: Retail) -> DataFrame:
+    k = F.col("s_suppkey")
+    word = F.translate(F.md5(k.cast("string")), "0123456789", "ghijklmnop")
+    return r.raw("supplier").select(k.alias("drug_id"), word.alias("word"), F.concat(word, F.lit(" "), (k % 40 + 5).cast("string"), F.lit("mg")).alias("name"))
+
+
+def far_lines(r: Retail) -> DataFrame:
+    """Each name as it is, without its last or its first letter, or with another strength."""
+    k, word = F.col("drug_id"), F.col("word")
+    strength = lambda more: F.concat(F.lit(" "), (k % 40 + more).cast("string"), F.lit("mg"))
+    cut = F.when(k % 4 == 1, F.substring("word", 1, 31)).when(k % 4 == 2, F.substring("word", 2, 31)).otherwise(word)
+    raw = F.concat(cut, F.when(k % 4 == 3, strength(50)).otherwise(strength(5)))
+    none = F.lit(None).cast("string")
+    return far_catalog(r).select(k.alias("line_id"), raw.alias("raw_name"), none.alias("instructions"), none.alias("form"), none.alias("strength"), F.lit(0.9).alias("ocr_confidence"))
+
+
+FAR_SCORE = "case when s_suppkey%4=3 then .70::double else 1.0::double end"
+query("e7_far_names", f"select s_suppkey line_id, case when s_suppkey%4=3 then 'needs_review' else 'matched' end status, case when s_suppkey%4<>3 then s_suppkey end drug_id, {FAR_SCORE} score, null::double margin from supplier")(lambda r: matching.match_lines(far_lines(r), far_catalog(r)).drop("candidates"))
+query("j18_far_entities", f"select s_suppkey line_id, 1::int rank, s_suppkey drug_id, {FAR_SCORE} score from supplier")(lambda r: matching.match_lines(far_lines(r), far_catalog(r)).select("line_id", F.inline("candidates")).select("line_id", F.col("nth").alias("rank"), "drug_id", "score"))
 query("e10_final_score", "select event_id, round(case when b<.75 then least(.5,b) else greatest(0,least(1,case when event_id%3=0 then case when event_id%2=0 then least(case when b>=.95 then 1.0 else .88 end,b+.05) else b-.25 end else b end)) end,6) score from (select event_id, (event_id*37%101)/100.0::double b from ev)")(
     lambda r: r.events().select("event_id", F.round(matching.final_score(F.col("event_id") * 37 % 101, F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.lit(False), F.lit(False)), 6).alias("score"))
 )

@@ -121,7 +121,7 @@ def test_similarity():
     assert sm.partial_ratio("amaryl", "xx amaryl") == 100.0
     assert sm.token_set_ratio("red bolt", "bolt red big") == 100.0
     assert round(sm.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
-    assert sm.phonetic_key("phone") == sm.phonetic_key("fone")
+    assert sm.metaphone("phone") == sm.metaphone("fone")
 
 
 def lines(spark, rows):
