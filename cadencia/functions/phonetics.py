@@ -46,8 +46,8 @@ def word_key(word: str) -> str:
     out, at = [], 0
     while at < len(word):
         c, step = word[at], 1
-        # a doubled letter sounds once, but for c
-        if not (c != "c" and at and word[at - 1] == c):
+        # a doubled letter sounds once, as the second of both, but for c
+        if c == "c" or word[at + 1 : at + 2] != c:
             for pattern, sound, taken in _CASES.get(c, ()):
                 if pattern.match(word, at):
                     out.append(sound)
