@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from cadencia.llm import common, tokens
 
-BLOCK_BYTES = 16_000_000
-_SLICE_BYTES = 1_500_000
+BLOCK_BYTES = 8_000_000
+_SLICE_BYTES = 300_000
 _SPACE = 32
 
 
