@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +104,28 @@ def purge(parents: DataFrame, children: DataFrame, key: str, day: str, as_of: st
     kept = parents.filter(~F.coalesce(old, F.lit(False)))
     audit = parents.filter(old).select(F.lit("purged").alias("action_type"), F.col(key).alias("target"), F.lit(as_of).cast("date").alias("day"))
     return kept, children.join(kept.select(key), key, "left_semi"), audit
+
+
+def suppress(reminders: DataFrame, hours: int = 24) -> DataFrame:
+    """Reminders (customer_id, reminder_id, ts) that are sent: no other was sent to the customer in the hours before. Ties of time go by number.
+
+    Rows of a customer stream through in order and only the last time sent is held, so customers may have any number of reminders.
+    """
+    wait = hours * 3_600_000_000
+    fields = ["customer_id", "reminder_id", "ts"]
+    rows = reminders.select(*fields, F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).filter("at is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        customer, last = None, None
+        for b in batches:
+            keep = []
+            for c, at in zip(b.column("customer_id").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if c != customer:
+                    customer, last = c, None
+                sent = last is None or at - last > wait
+                last = at if sent else last
+                keep.append(sent)
+            yield b.filter(pa.array(keep, pa.bool_())).select(fields)
+
+    ordered = rows.repartition("customer_id").sortWithinPartitions("customer_id", "at", "reminder_id")
+    return ordered.mapInArrow(run, rows.select(*fields).schema)

@@ -16,6 +16,7 @@ from cadencia.operators import baskets, chain, conversation, cycles, dataset, fe
 from cadencia.plans.oracle import sql
 from cadencia.sources import scratch
 from cadencia.sources.fixtures import AS_OF, Retail
+from cadencia.sources.keyed import KeyedTable
 
 Query = Callable[[Retail], DataFrame]
 D = f"date '{AS_OF}'"
@@ -208,6 +209,27 @@ query("q8_audit_rows", f"select 'purged' action_type, order_id target, {D} as da
 
 # ---- writes as tables ----------------------------------------------------------------------------------------------------------
 
+def upserted(r: Retail) -> DataFrame:
+    """Zeros for all pairs, then the even customers' counts, twice under one token; read from the written table."""
+    table = KeyedTable(r.spark, scratch.new_path(r.spark, "upserts"), "customer_id long, drug_id int, purchases long, bucket int", ["customer_id", "drug_id"], "bucket")
+    rows = the_cycles(r).select(F.col("customer_id").cast("long").alias("customer_id"), "drug_id", "purchases", (F.col("customer_id") % 8).cast("int").alias("bucket"))
+    table.upsert(rows.withColumn("purchases", F.lit(0).cast("long")), "first")
+    for _ in range(2):
+        table.upsert(rows.filter("customer_id % 2 = 0"), "second")
+    return table.read().select("customer_id", "drug_id", "purchases")
+
+
+def retained(r: Retail) -> DataFrame:
+    """Orders in a table by month; those that are too old go."""
+    table = KeyedTable(r.spark, scratch.new_path(r.spark, "orders"), "order_id long, customer_id long, order_date date, month string", ["order_id"], "month")
+    table.upsert(r.orders().select(F.col("order_id").cast("long").alias("order_id"), F.col("customer_id").cast("long").alias("customer_id"), "order_date", F.date_format("order_date", "yyyy-MM").alias("month")))
+    table.purge(f"order_date < date '{AS_OF}' - 1500")
+    return table.read().select("order_id", "order_date")
+
+
+UPSERTED = "select customer_id, drug_id, case when customer_id%2=0 then purchases else 0 end purchases from cycles"
+query("s8_upsert_written", UPSERTED)(upserted)
+query("s13_retention_written", f"select order_id, order_date from ord where order_date>={D}-1500")(retained)
 query("s8_upsert", "select customer_id, drug_id, purchases from cycles where customer_id%2=0 union all select customer_id, drug_id, 0 from cycles where customer_id%2=1")(
     lambda r: governance.upsert(the_cycles(r).select("customer_id", "drug_id", F.lit(0).cast("long").alias("purchases")), the_cycles(r).filter("customer_id % 2 = 0").select("customer_id", "drug_id", "purchases"), "customer_id", "drug_id")
 )
@@ -225,8 +247,13 @@ query("s14_knowledge_chunks", "select 'drug' source_type, 'Drug: '||name||'. Cat
 # ---- hash chains ---------------------------------------------------------------------------------------------------------------
 
 
+def actor():
+    """Who acted in an event: one of five, or nobody."""
+    return F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("staff"), (F.col("event_id") % 5).cast("string")))
+
+
 def log(r: Retail) -> DataFrame:
-    return r.events().select("session_id", "event_seq", "event_id", "payload", F.lit("").alias("actor"))
+    return r.events().select("session_id", "event_seq", "event_id", "payload", actor().alias("actor"))
 
 
 def damaged(r: Retail) -> DataFrame:
@@ -238,10 +265,11 @@ def damaged(r: Retail) -> DataFrame:
 
 
 ZERO = "repeat('0',64)"
-CHAIN = f"""with recursive e as (select session_id, event_seq, event_id, coalesce(payload,'{{}}') payload, row_number() over (partition by session_id order by event_seq, event_id) k from ev),
- c as (select session_id, event_seq, event_id, k, payload, {ZERO} prev_hash, sha256(payload||'|'||{ZERO}||'|') payload_hash from e where k=1 union all select e.session_id, e.event_seq, e.event_id, e.k, e.payload, c.payload_hash, sha256(e.payload||'|'||c.payload_hash||'|') from e join c on e.session_id=c.session_id and e.k=c.k+1)"""
-BROKEN = CHAIN + f""", d as (select session_id, event_seq, event_id, case when event_id%101=0 then payload||'!' else payload end payload, case when event_id%97<>0 then prev_hash end prev_hash, case when event_id%97<>0 then payload_hash end payload_hash from c),
- v as (select *, coalesce(lag(payload_hash) over (partition by session_id order by event_seq, event_id), {ZERO}) due_prev, sha256(payload||'|'||coalesce(prev_hash,{ZERO})||'|') due_hash from d),
+ACTOR = "case when event_id%3<>0 then 'staff'||(event_id%5) else '' end"
+CHAIN = f"""with recursive e as (select session_id, event_seq, event_id, coalesce(payload,'{{}}') payload, {ACTOR} actor, row_number() over (partition by session_id order by event_seq, event_id) k from ev),
+ c as (select session_id, event_seq, event_id, k, payload, actor, {ZERO} prev_hash, sha256(payload||'|'||{ZERO}||'|'||actor) payload_hash from e where k=1 union all select e.session_id, e.event_seq, e.event_id, e.k, e.payload, e.actor, c.payload_hash, sha256(e.payload||'|'||c.payload_hash||'|'||e.actor) from e join c on e.session_id=c.session_id and e.k=c.k+1)"""
+BROKEN = CHAIN + f""", d as (select session_id, event_seq, event_id, actor, case when event_id%101=0 then payload||'!' else payload end payload, case when event_id%97<>0 then prev_hash end prev_hash, case when event_id%97<>0 then payload_hash end payload_hash from c),
+ v as (select *, coalesce(lag(payload_hash) over (partition by session_id order by event_seq, event_id), {ZERO}) due_prev, sha256(payload||'|'||coalesce(prev_hash,{ZERO})||'|'||actor) due_hash from d),
  f as (select session_id, event_seq, event_id, 'unsigned' reason, null::varchar expected_hash, null::varchar actual_hash from v where payload_hash is null union all select session_id, event_seq, event_id, 'prev_hash_mismatch', due_prev, prev_hash from v where payload_hash is not null and prev_hash is distinct from due_prev
  union all select session_id, event_seq, event_id, 'payload_hash_mismatch', due_hash, payload_hash from v where payload_hash is not null and payload_hash<>due_hash)"""
 query("q1_sign_chain", CHAIN + " select session_id, event_seq, event_id, prev_hash, payload_hash from c")(lambda r: chain.sign(log(r)).drop("is_new"))
@@ -320,7 +348,7 @@ query("f5_normalize_line", "select p_partkey, trim(regexp_replace(regexp_replace
 query("f6_strength", "select p_partkey, case when p_size%2=0 then (p_size*1000)||'mg' else p_size||'ml' end strength from part")(lambda r: r.raw("part").select("p_partkey", tx.strength_token(F.concat(F.col("p_name"), F.lit(" 5 mg "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, " g").otherwise(" ML"))).alias("strength")))
 query("f7_sig_tail", "select p_partkey, p_name as cleaned, (p_size%300) quantity from part where p_size>0")(lambda r: r.raw("part").filter("p_size > 0").select("p_partkey", tx.strip_sig_tail(F.concat(F.lit("3. "), F.col("p_name"), F.lit(" - 1 tab BID"))).alias("cleaned"), tx.quantity_tail(F.concat(F.col("p_name"), F.lit(" - "), (F.col("p_size") % 300).cast("string"))).alias("quantity")))
 query("f11_fingerprints", "select doc_id, md5(lower(trim(text))) exact from documents")(lambda r: r.documents().select("doc_id", tx.fingerprint(F.col("text")).alias("exact")))
-query("f12_event_hash", "select event_id, sha256(coalesce(payload,'{}')||'|'||repeat('0',64)||'|') h from ev")(lambda r: log(r).select("event_id", chain.event_hash(F.col("payload"), F.lit(chain.GENESIS), F.col("actor")).alias("h")))
+query("f12_event_hash", "select event_id, sha256(coalesce(payload,'{}')||'|'||repeat('0',64)||'|'||" + ACTOR + ") h from ev")(lambda r: log(r).select("event_id", chain.event_hash(F.col("payload"), F.lit(chain.GENESIS), F.col("actor")).alias("h")))
 query("f16_dates", f"select order_id, {D}-order_date as days, order_date+30 later, strftime(order_date,'%Y-%m') as month from ord")(lambda r: r.orders().select("order_id", F.datediff(F.lit(AS_OF).cast("date"), "order_date").alias("days"), F.date_add("order_date", 30).alias("later"), F.date_format("order_date", "yyyy-MM").alias("month")))
 query("f19_price_and_boxes", "select part.p_partkey, round_even(base_price::double*3*(1-15/100::double),2) total, ceil(p_size*7/10::double)::bigint boxes from part join brands using(p_partkey) join drugs using(drug_id)")(lambda r: r.raw("part").select("p_partkey", "p_size", F.expr("cast(substring(p_brand, 7) as int)").alias("drug_id")).join(r.drugs(), "drug_id").select("p_partkey", tx.price_after_discount(F.col("base_price").cast("double"), F.lit(3), F.lit(15.0)).alias("total"), tx.boxes_needed(F.col("p_size"), F.lit(7), F.lit(10)).alias("boxes")))
 query("f26_truncate", "select doc_id, trim(substr(trim(text),1,1500)) kept, length(trim(text))>1500 cut from documents")(lambda r: r.documents().select("doc_id", tx.truncated(F.col("text")).alias("kept"), (F.length(F.trim("text")) > 1500).alias("cut")))
@@ -492,6 +520,32 @@ def streamed(r: Retail, job) -> DataFrame:
     return r.spark.read.parquet(f"{out}/data")
 
 
+#: Longer than the whole log: no event is late, in whatever order it comes.
+DECADE = "3650 days"
+
+
+def replayed(r: Retail, job, batches: int = 3, batch=None) -> DataFrame:
+    """The events as a stream of so many batches, dealt by a hash and not by time, run through a job until it is empty.
+
+    A last event of nobody (session -1), a decade later, moves the watermark past all others. With `batch` a foreachBatch function gets the rows, in update mode.
+    """
+    home = scratch.new_path(r.spark, "replay")
+    events = r.raw("events").select(F.col("user_id").cast("long").alias("session_id"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("double").alias("value"), F.col("props").alias("payload"))
+    files = max(1, int(r.spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in range(batches):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(batches)) == k).repartition(files, "event_id").write.mode("append").parquet(f"{home}/in")
+    last = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("session_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 7300 days")).alias("ts"))
+    closing = [last.select("session_id", "event_id", "ts", F.lit(kind).alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("payload")) for kind in ("click", "purchase")]
+    closing[0].unionByName(closing[1]).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    stream = r.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{home}/in")
+    out = job(stream).writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+    if batch is not None:
+        out.outputMode("update").foreachBatch(batch).start().awaitTermination()
+        return r.spark.range(0)
+    out.outputMode("append").format("parquet").option("path", f"{home}/data").start().awaitTermination()
+    return r.spark.read.parquet(f"{home}/data")
+
+
 def daily_activity(r: Retail) -> DataFrame:
     from cadencia.streaming import jobs
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from cadencia.functions import similarity as sm
 from cadencia.functions import text as tx
 from cadencia.operators import baskets, chain, conversation, cycles, features, governance, kpi, matching, retrieval
-from cadencia.plans.queries import BROKEN, REGISTRY, SCORED, VARIANTS, ab_rows, bought, convs, damaged, query, scored, stem_sql, streamed, the_cycles
+from cadencia.plans.queries import BROKEN, DECADE, REGISTRY, SCORED, VARIANTS, ab_rows, actor, bought, convs, damaged, query, replayed, scored, stem_sql, streamed, the_cycles
 from cadencia.sources import io, scratch
 from cadencia.sources.fixtures import Retail
+from cadencia.sources.keyed import KeyedTable
 
 RATE = "case when count(*)=0 then 0 else round(count(*) filter (converted)*100::double/count(*),1) end"
 
@@ -373,21 +374,23 @@ query("m16_batch_churn", f"select event_id customer_id, 1 drug_id, (x>=10)::int
 # ---- streams -----------------------------------------------------------------------------------------------------------------------
 
 
-def stateful(r: Retail, job) -> DataFrame:
+def stateful(r: Retail, job, run=streamed, **more) -> DataFrame:
     """streamed() with the RocksDB state store that jobs with own state need."""
     key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = r.spark.conf.get(key, None)
     r.spark.conf.set(key, kind)
     try:
-        return streamed(r, job)
+        return run(r, job, **more)
     finally:
         r.spark.conf.unset(key) if before is None else r.spark.conf.set(key, before)
 
 
 def signed_stream(r: Retail) -> DataFrame:
+    """Events in three batches without regard to their time; the delay is longer than the log."""
     from cadencia.streaming import jobs
 
-    return stateful(r, jobs.sign_stream)
+    acted = lambda s: s.withColumn("event_seq", F.col("event_id")).withColumn("actor", actor())
+    return stateful(r, lambda s: jobs.sign_stream(acted(s), DECADE), replayed).filter("session_id >= 0")
 
 
 def breached(r: Retail) -> DataFrame:
@@ -404,27 +407,40 @@ def breached(r: Retail) -> DataFrame:
 
 
 def rolling_week(r: Retail) -> DataFrame:
+    """Daily panes of three batches in a keyed table, and the weeks that they add up to."""
     from cadencia.streaming import jobs
 
-    return jobs.rolling(r.events().withColumn("ts", F.col("ts").cast("timestamp"))).select("start", "event_type", "n")
+    table = KeyedTable(r.spark, scratch.new_path(r.spark, "panes"), "day date, event_type string, n long, value double", ["day", "event_type"], "day")
+    replayed(r, lambda s: jobs.panes(s.filter("session_id >= 0"), DECADE), batch=jobs.keep_panes(table))
+    return jobs.rolling(table.read()).select("start", "event_type", "n")
 
 
 def attributed(r: Retail) -> DataFrame:
+    """Messages and purchases as two streams of three batches each."""
     from cadencia.streaming import jobs
 
-    buys = r.events().filter("event_type = 'purchase'").select(F.col("session_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("ts"))
-    sent = r.notifications().withColumn("sent_at", F.col("sent_at").cast("timestamp"))
-    return jobs.attribution(sent, buys).select("notification_id", "customer_id").distinct()
+    def job(s: DataFrame) -> DataFrame:
+        sent = s.filter("event_type = 'click'").select(F.col("event_id").alias("notification_id"), F.col("session_id").alias("customer_id"), F.col("ts").alias("sent_at"))
+        buys = s.filter("event_type = 'purchase'").select(F.col("session_id").alias("customer_id"), "ts")
+        return jobs.attribution(sent, buys, delay=DECADE)
+
+    return replayed(r, job).select("notification_id", "customer_id").distinct()
 
 
 def suppressed(r: Retail) -> DataFrame:
+    """Every event as a reminder, in three batches without regard to their time."""
     from cadencia.streaming import jobs
 
-    return streamed(r, lambda s: jobs.suppress(s.withColumnRenamed("session_id", "customer_id"))).select("customer_id")
+    reminders = lambda s: s.select(F.col("session_id").alias("customer_id"), F.col("event_id").alias("reminder_id"), "ts")
+    return stateful(r, lambda s: jobs.suppress(reminders(s), 24, DECADE), replayed).filter("customer_id >= 0").select("customer_id", "reminder_id")
 
 
-REGISTRY["st2_signed_stream"] = (signed_stream, REGISTRY["q1_sign_chain"][1].replace("select session_id, event_seq, event_id, prev_hash", "select session_id, event_id, prev_hash"))
-query("st4_rolling_week", "select (time_bucket(interval 1 day, ts) - k * interval 1 day)::timestamp as start, event_type, count(*) n from events cross join range(7) g(k) group by 1, 2")(rolling_week)
+SUPPRESSED = """with recursive e as (select session_id customer_id, event_id reminder_id, ts, row_number() over (partition by session_id order by ts, event_id) k from ev),
+ f as (select customer_id, reminder_id, k, ts as last_sent, true sent from e where k=1 union all
+ select e.customer_id, e.reminder_id, e.k, case when e.ts > f.last_sent + interval 24 hour then e.ts else f.last_sent end, e.ts > f.last_sent + interval 24 hour from e join f on e.customer_id=f.customer_id and e.k=f.k+1) select customer_id, reminder_id from f where sent"""
+REGISTRY["st2_signed_stream"] = (signed_stream, REGISTRY["q1_sign_chain"][1])
+query("st4_rolling_week", "select (time_bucket(interval 1 day, ts) - k * interval 1 day)::date as start, event_type, count(*) n from events cross join range(7) g(k) group by 1, 2")(rolling_week)
 query("st5_breaches", "with c as (select event_id reminder_id, ts::timestamp created_at, case when event_id%3=0 then ts::timestamp + (event_id%48) * interval 1 hour end reviewed from ev where event_type='click') select reminder_id, created_at from c where reviewed >= created_at + interval 24 hour or (reviewed is null and created_at + interval 24 hour <= (select max(coalesce(reviewed, created_at)) from c) - interval 1 minute)")(breached)
 query("st6_attribution", "select distinct n.notification_id, n.customer_id from notifications n join ev e on e.session_id=n.customer_id and e.event_type='purchase' and e.ts>n.sent_at and e.ts<=n.sent_at + interval 3 day")(attributed)
-query("st7_suppressed", "select distinct session_id customer_id from ev")(suppressed)
+query("st7_suppressed", SUPPRESSED)(suppressed)
+query("st7_suppressed_batch", SUPPRESSED)(lambda r: governance.suppress(r.events().select(F.col("session_id").alias("customer_id"), F.col("event_id").alias("reminder_id"), "ts")).select("customer_id", "reminder_id"))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cadencia.operators.chain import GENESIS
+from cadencia.sources.keyed import KeyedTable
 
 
 def ingest(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -37,9 +38,21 @@ def visits(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") ->
     return grouped.select("session_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def rolling(events: DataFrame, days: int = 7, delay: str = "1 hour") -> DataFrame:
-    """Counts and value over the last days, moving by a day."""
-    return activity(events, f"{days} days", "1 day", delay)
+def panes(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Daily panes (day, event_type, n, value), for update mode: a day's row comes again whenever it grows."""
+    grouped = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return grouped.select(F.to_date(F.col("window.start")).alias("day"), "event_type", "n", "value")
+
+
+def keep_panes(table: KeyedTable):
+    """A foreachBatch function that puts panes in a table with the key day, event_type; a batch that is run again changes nothing."""
+    return lambda batch, number: table.upsert(batch, token=f"batch-{number}")
+
+
+def rolling(daily: DataFrame, days: int = 7) -> DataFrame:
+    """(start, end, event_type, n, value) of the windows of so many days that move by a day, summed from daily panes."""
+    own = daily.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("start", F.date_sub("day", F.col("back")))
+    return own.groupBy("start", F.date_add("start", days).alias("end"), "event_type").agg(F.sum("n").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
 def attribution(messages: DataFrame, purchases: DataFrame, days: int = 3, delay: str = "1 hour") -> DataFrame:
@@ -50,38 +63,123 @@ def attribution(messages: DataFrame, purchases: DataFrame, days: int = 3, delay:
     return m.join(p, near).select("notification_id", "customer_id", "sent_at", "bought_at")
 
 
-def suppress(reminders: DataFrame, window: str = "24 hours") -> DataFrame:
-    """At most one reminder to a customer within the window."""
-    return reminders.withWatermark("ts", window).dropDuplicatesWithinWatermark(["customer_id"])
+class _Ordered(StatefulProcessor):
+    """Holds rows until the watermark has passed their time, so that rows of a key are judged in order however they arrive. Times are in microseconds, timers in milliseconds."""
+
+    #: Columns that are held, as DDL; `at` is the time.
+    held = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.held)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in self.held.split(", ")]
+        batch = pd.concat(list(rows))[names]
+        new = [tuple(x.item() if hasattr(x, "item") else None if pd.isna(x) else x for x in row) for row in batch.itertuples(index=False, name=None)]
+        self.waiting.appendList(new)
+        for at in {-(-int(t) // 1000) for t in batch["at"]}:
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def due(self, timerValues) -> list[tuple]:
+        """The rows whose time has passed; the others go on waiting."""
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = self.ready(rows, limit)
+        if rest := [r for r in rows if r not in ready]:
+            self.waiting.put(rest)
+        elif rows:
+            self.waiting.clear()
+        return sorted(ready, key=self.order)
+
+    def ready(self, rows: list[tuple], limit: int) -> list[tuple]:
+        return [r for r in rows if r[0] <= limit]
+
+    def order(self, row: tuple):
+        return row
+
+    def close(self) -> None:
+        pass
+
 
+SENT = StructType([StructField("customer_id", LongType()), StructField("reminder_id", LongType()), StructField("at", LongType())])
 
-SIGNED = StructType([StructField("session_id", LongType()), StructField("event_id", LongType()), StructField("prev_hash", StringType()), StructField("payload_hash", StringType())])
 
+class Suppressor(_Ordered):
+    """The time of the last reminder that was sent to the customer, for as long as it matters."""
 
-class ChainSigner(StatefulProcessor):
-    """The last hash of a session as state; events of one batch are signed in order of their number."""
+    held = "at long, reminder_id long"
+
+    def __init__(self, hours: int) -> None:
+        self.wait = hours * 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", StructType([StructField("at", LongType())]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, sent = self.last.get()[0] if self.last.exists() else None, []
+        for at, reminder in self.due(timerValues):
+            if last is None or at - last > self.wait:
+                sent.append((int(key[0]), reminder, at))
+                last = at
+        if sent:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.wait) // 1000 + 1)
+        elif last is not None and not self.waiting.exists() and timerValues.getCurrentWatermarkInMs() * 1000 > last + self.wait:
+            self.last.clear()
+        yield pd.DataFrame(sent, columns=SENT.names).astype("int64")
+
+
+def suppress(reminders: DataFrame, hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """Reminders (customer_id, reminder_id, ts) that are sent: no other was sent to the customer in the hours before, these included.
+
+    Each is judged against the last one sent, in the order of time and then of number, once the watermark has passed it; so the result
+    does not depend on how the stream is cut. Rows later than the delay are dropped. Needs the RocksDB state store.
+    """
+    timed = reminders.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    sent = timed.groupBy("customer_id").transformWithStateInPandas(Suppressor(hours), SENT, "Append", "EventTime")
+    return sent.select("customer_id", "reminder_id", F.timestamp_micros("at").alias("ts"))
+
+
+SIGNED = StructType([StructField("session_id", LongType()), StructField("event_seq", LongType()), StructField("event_id", LongType()), StructField("prev_hash", StringType()), StructField("payload_hash", StringType())])
+
+
+class ChainSigner(_Ordered):
+    """The last hash of a session; events are signed in the order of their sequence, and wait for those before them that are not due yet."""
+
+    held = "at long, event_seq long, event_id long, payload string, actor string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", StructType([StructField("hash", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("event_id")
-        last = self.last.get()[0] if self.last.exists() else GENESIS
-        out = []
-        for event_id, payload in zip(batch["event_id"], batch["payload"], strict=True):
-            own = hashlib.sha256(f"{'{}' if payload is None else payload}|{last}|".encode()).hexdigest()
-            out.append((int(key[0]), int(event_id), last, own))
+    def ready(self, rows: list[tuple], limit: int) -> list[tuple]:
+        first = min((r[1:3] for r in rows if r[0] > limit), default=None)
+        return [r for r in rows if r[0] <= limit and (first is None or r[1:3] < first)]
+
+    def order(self, row: tuple):
+        return row[1], row[2], row[3] or "", row[4] or ""
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, out = self.last.get()[0] if self.last.exists() else GENESIS, []
+        for _, seq, event, payload, actor in self.due(timerValues):
+            own = hashlib.sha256(f"{'{}' if payload is None else payload}|{last}|{actor or ''}".encode()).hexdigest()
+            out.append((int(key[0]), seq, event, last, own))
             last = own
-        self.last.update((last,))
-        yield pd.DataFrame(out, columns=SIGNED.names)
+        if out:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=SIGNED.names).astype({"session_id": "int64", "event_seq": "int64", "event_id": "int64"})
 
-    def close(self) -> None:
-        pass
 
+def sign_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """prev_hash and payload_hash of each event (session_id, event_seq, event_id, ts, payload, actor), signed once the watermark has passed it; needs the RocksDB state store.
 
-def sign_stream(events: DataFrame) -> DataFrame:
-    """prev_hash and payload_hash for each event on arrival; needs the RocksDB state store."""
-    return events.groupBy("session_id").transformWithStateInPandas(ChainSigner(), SIGNED, "Append", "None")
+    Events that arrive out of order within the delay are signed in the order of event_seq, as chain.sign() does; later ones are dropped.
+    """
+    timed = events.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy("session_id").transformWithStateInPandas(ChainSigner(), SIGNED, "Append", "EventTime")
 
 
 BREACH = StructType([StructField("reminder_id", LongType()), StructField("at", LongType())])

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadencia.operators import chain, features, models
+from cadencia.operators import chain, features, governance, models
 from cadencia.plans import queries
 from cadencia.sources import io
 from cadencia.sources.fixtures import AS_OF, Retail
+from cadencia.sources.keyed import KeyedTable
 from cadencia.streaming import jobs
 
 
@@ -37,14 +41,77 @@ def test_ingest_drops_repeats(spark, sf_dir, tmp_path):
     assert got.count() == 200 and got.select("event_id").distinct().count() == 200
 
 
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+LAST = dt.datetime(2030, 1, 1)
+
+
+def shuffled(df, n):
+    """df in n parts without regard to time, and a last row of nobody that moves the watermark past all."""
+    parts = [df.filter(F.pmod(F.xxhash64("event_id", F.lit(n)), F.lit(n)) == k) for k in range(n)]
+    end = df.limit(1).withColumns({"session_id": F.lit(-1).cast("long"), "event_id": F.lit(-1).cast("long"), "ts": F.lit(LAST)}).select(df.columns)
+    return [*parts, end]
+
+
 def test_signing_on_arrival_equals_batch(spark, sf_dir, tmp_path):
-    e = events(spark, sf_dir).filter("session_id < 4")
-    first, second = e.filter("event_id < 500"), e.filter("event_id >= 500")
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-    got = run_stream(spark, tmp_path, [first, second], e.schema, jobs.sign_stream, conf=conf)
-    log = e.select("session_id", F.col("event_id").alias("event_seq"), "event_id", "payload", F.lit("").alias("actor"))
-    want = chain.sign(log).select("event_id", "payload_hash").collect()
-    assert sorted(map(tuple, got.select("event_id", "payload_hash").collect())) == sorted(map(tuple, want))
+    """Three files, events of each session in all of them; some have an actor, some no payload."""
+    e = events(spark, sf_dir).filter("session_id < 12").withColumn("event_seq", F.col("event_id") * 2)
+    e = e.withColumn("actor", F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("u"), F.col("event_id") % 4))).withColumn("payload", F.when(F.col("event_id") % 5 != 0, F.col("payload")))
+    got = run_stream(spark, tmp_path, shuffled(e, 3), e.schema, lambda s: jobs.sign_stream(s, "900 days"), conf=ROCKS).filter("session_id >= 0")
+    want = chain.sign(e).select("session_id", "event_seq", "event_id", "prev_hash", "payload_hash").collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 50
+
+
+def test_signing_waits_for_earlier_numbers(spark, tmp_path):
+    """An event whose time has come waits for one with a smaller number whose time has not."""
+    t = lambda d: dt.datetime(2024, 1, d)
+    e = spark.createDataFrame([(1, 2, 20, t(1), "b", None), (1, 1, 10, t(9), "a", "x"), (1, 3, 30, t(20), "c", None)], "session_id long, event_seq long, event_id long, ts timestamp, payload string, actor string")
+    frames = [e.filter("event_id < 30"), e.filter("event_id = 30"), e.limit(1).withColumns({"session_id": F.lit(-1).cast("long"), "ts": F.lit(LAST)})]
+    got = run_stream(spark, tmp_path, frames, e.schema, lambda s: jobs.sign_stream(s, "1 day"), conf=ROCKS).filter("session_id >= 0")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chain.sign(e).drop("is_new").collect()))
+
+
+def brute_sent(rows, hours=24):
+    last, out = {}, []
+    for customer, number, ts in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if customer not in last or ts - last[customer] > dt.timedelta(hours=hours):
+            last[customer] = ts
+            out.append((customer, number))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_suppression_does_not_depend_on_the_batches(spark, tmp_path, files):
+    rng = random.Random(files)
+    rows = [(c, 100 * c + i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.choice([0, 1, 1439, 1440, 1441, rng.randint(0, 20_000)]))) for c in range(6) for i in range(25)]
+    df = spark.createDataFrame(rows, "customer_id long, reminder_id long, ts timestamp")
+    named = df.toDF("session_id", "event_id", "ts")
+    job = lambda s: jobs.suppress(s.toDF("customer_id", "reminder_id", "ts"), 24, "30 days")
+    got = run_stream(spark, tmp_path, shuffled(named, files), named.schema, job, conf=ROCKS).filter("customer_id >= 0")
+    want = brute_sent(rows)
+    assert sorted(map(tuple, got.select("customer_id", "reminder_id").collect())) == want
+    assert sorted(map(tuple, governance.suppress(df).select("customer_id", "reminder_id").collect())) == want
+    assert max(collections.Counter(c for c, _ in want).values()) > 3
+
+
+def test_suppression_of_days_apart_and_of_nulls(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    df = spark.createDataFrame([(1, 1, t(1)), (1, 2, t(5)), (1, 3, t(9)), (2, 4, None), (None, 5, t(1)), (None, 6, t(1))], "customer_id long, reminder_id long, ts timestamp")
+    assert sorted(r["reminder_id"] for r in governance.suppress(df).collect()) == [1, 2, 3, 5]
+
+
+def test_panes_in_a_keyed_table_add_up(spark, sf_dir, tmp_path):
+    e = events(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
+    table = KeyedTable(spark, f"file://{tmp_path}/panes", "day date, event_type string, n long, value double", ["day", "event_type"], "day")
+    for i, f in enumerate(shuffled(e, 3)[:3]):
+        f.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    jobs.panes(stream, "900 days").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(jobs.keep_panes(table)).start().awaitTermination()
+    daily = e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    assert sorted(map(str, table.read().select(daily.columns).collect())) == sorted(map(str, daily.collect()))
+    weeks = {(r["start"], r["event_type"]): r["n"] for r in jobs.rolling(table.read()).collect()}
+    day = daily.agg(F.min("day")).first()[0]
+    one = e.filter(F.to_date("ts").between(day, day + dt.timedelta(days=6))).groupBy("event_type").count().collect()
+    assert {r["event_type"]: r["count"] for r in one} == {k[1]: n for k, n in weeks.items() if k[0] == day}
 
 
 def test_attribution_equals_batch(spark, tmp_path):
