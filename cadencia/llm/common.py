@@ -143,6 +143,11 @@ def segment_hashes(mixed: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
+def power_scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near one: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1]) if len(vectors) else vectors
+
+
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places first[i], first[i] + 1, ... of each of the runs, one after the other."""
     ends = np.cumsum(size)

@@ -41,9 +41,8 @@ _EDGE = 1e-9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    """Vectors of length one in double precision; the scaling by powers of two before it is exact."""
-    vectors = np.asarray(vectors, float)
-    vectors = vectors * 2.0 ** -np.frexp(np.abs(vectors).max(1, keepdims=True))[1] if len(vectors) else vectors
+    """Vectors of length one in double precision."""
+    vectors = common.power_scaled(np.asarray(vectors, float))
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 

@@ -58,21 +58,16 @@ def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, query_nor
     return (vectors * query).sum(1) / (norms * query_norm)
 
 
-def scaled(vectors: np.ndarray) -> np.ndarray:
-    """Each vector over its largest absolute component: cosines stay, squares neither overflow nor vanish."""
-    return vectors / np.abs(vectors).max(1, keepdims=True)
-
-
 class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, scaled(vectors)
+        self.ids, self.vectors = ids, common.power_scaled(vectors)
         vectors = self.vectors
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.turn = rotation(vectors.shape[1])
         self.codes, self.scalars = encode(vectors / self.norms[:, None], self.turn)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-        queries = scaled(queries)
+        queries = common.power_scaled(queries)
         norms = np.sqrt((queries * queries).sum(1))
         unit = queries / norms[:, None]
         low = np.full((len(queries), k), -np.inf, np.float32)  # the k best lower bounds so far

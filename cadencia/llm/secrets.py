@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-The patterns (assignments, access keys, long hex) always count. Besides, every run of token characters that
-is long enough gets an inferred encoding (hex, base32, base62, base64) and three tests against "drawn
+The patterns (assignments, access keys, long hex) always count. Besides, every run of 16 token characters or more
+gets an inferred encoding (the smallest alphabet that holds it, from digits to base64) and three tests against "drawn
 uniformly from that alphabet": chi-squared uniformity, runs about the median symbol, and lag-one serial
-correlation. Their p-values join into one randomness score. For each candidate the same tests run on a decoy of
-the same length made of the ordinary letters around it, so that for each encoding and class of length the
-corpus itself tells how often ordinary writing scores as high. Scores whose estimated false-discovery rate
-(decoys over candidates) is at most `rate` are reported as kind `random`. The tallies that decide are sums over all
+correlation. Their p-values join into one randomness score.
+
+What ordinary writing scores is measured on decoys: every document gives runs of its ordinary letters, of the least length of a class and in an alphabet,
+both picked by a digest of its text. For each encoding and class of length the share of decoys that score as high, times all candidates,
+bounds how many of the candidates above a score are ordinary. Scores at which that is at most `rate` of them are reported as kind `random`. So the
+battery decides alone: runs of letters or of digits only are tested like all others, and what cannot be told from writing at its
+length (a short run of small letters) is not reported. The tallies are sums over all
 documents; their size is fixed by the numbers of encodings, length classes and score bins.
 
 Spans are in code points, end exclusive. Defined results: null and empty texts have no spans; repeated rows are
@@ -15,8 +18,8 @@ scanned each; without candidates there are no added spans; columns of the names
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,26 +37,30 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-ENCODINGS = ("hex", "base32", "base62", "base64")
-_ALPHABETS = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
-_CODES = np.full((4, 256), -1, np.int64)
+_DIGITS, _CAPITALS, _SMALL = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+#: Alphabets, the smaller ones first.
+ENCODINGS = ("decimal", "hex", "small", "capital", "base32", "base36", "base62", "base64")
+_ALPHABETS = (_DIGITS, _DIGITS + _SMALL[:6], _SMALL, _CAPITALS, _CAPITALS + b"234567", _DIGITS + _SMALL, _DIGITS + _CAPITALS + _SMALL, _CAPITALS + _SMALL + _DIGITS + b"+/")
+_CODES = np.full((len(ENCODINGS), 256), -1, np.int64)
 for _e, _letters in enumerate(_ALPHABETS):
     _CODES[_e, list(_letters)] = np.arange(len(_letters))
-_CODES[0, list(b"ABCDEF")] = np.arange(10, 16)
-_CODES[3, list(b"-_")] = (62, 63)
+_CODES[1, list(b"ABCDEF")] = np.arange(10, 16)
+_CODES[-1, list(b"-_")] = (62, 63)
 #: Least lengths of the classes of length: tallies are kept apart, as short runs look random by chance.
 LENGTH_CLASSES = (16, 20, 24, 32, 48, 64, 128)
 BINS = 100
+#: Runs of ordinary letters that each document gives.
+DECOYS = 6
 FALSE_DISCOVERY_RATE = 0.01
 
 
 def infer_encoding(run: bytes) -> int:
     """Number in ENCODINGS: the smallest alphabet that holds the run (padding and separators apart)."""
     codes = np.frombuffer(run.rstrip(b"="), np.uint8)
-    for e in (0, 1, 2):
+    for e in range(len(ENCODINGS) - 1):
         if (_CODES[e, codes] >= 0).all():
             return e
-    return 3
+    return len(ENCODINGS) - 1
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -65,9 +72,11 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
 
 def randomness(run: bytes, encoding: int) -> float:
     """0 to 1: high where uniformity, runs and serial correlation all agree with random symbols of the encoding."""
-    size = len(_ALPHABETS[encoding])
     code = _CODES[encoding, np.frombuffer(run, np.uint8)]
-    code = code[code >= 0]
+    return _score(code[code >= 0], len(_ALPHABETS[encoding]))
+
+
+def _score(code: np.ndarray, size: int) -> float:
     n = len(code)
     if n < 8:
         return 0.0
@@ -106,27 +115,37 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _mixed(run: bytes) -> bool:
-    """A candidate holds letters, and a digit or a change of case inside, or is all capitals of base32: neither plain numbers nor ordinary words are tested."""
-    return bool(re.search(rb"[A-Za-z]", run)) and bool(re.search(rb"[0-9]|[a-z][A-Z]|^[A-Z]{16,}=*$", run))
-
-
-def candidates(raw: bytes) -> list[tuple[int, int, int, int, int, int]]:
-    """(start, end, encoding, length class, score bin, decoy's score bin) of runs that are long enough, in bytes."""
-    out, letters = [], None
+def candidates(raw: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, encoding, length class, score bin) of runs that are long enough, in bytes."""
+    out = []
     for m in CANDIDATE.finditer(raw):
         run = m.group()
-        if not _mixed(run):
+        encoding = infer_encoding(run)
+        out.append((m.start(), m.end(), encoding, _class(len(run)), _bin(randomness(run, encoding))))
+    return out
+
+
+def decoys(raw: bytes) -> list[tuple[int, int, int]]:
+    """(encoding, length class, score bin) of DECOYS runs of the document's ordinary letters: those of no candidate.
+
+    Encodings, lengths and places follow from the digest of the text. Letters beyond an alphabet are folded into it, which keeps how unevenly they are used.
+    """
+    letters = np.frombuffer(re.sub(rb"[^A-Za-z]", b"", CANDIDATE.sub(b"", raw)), np.uint8)
+    if not len(letters):
+        return []
+    seed, out = zlib.crc32(raw), []
+    for k in range(DECOYS):
+        place = (seed + k * 0x9E3779B1) % (1 << 32)
+        e, c = place % len(ENCODINGS), place // len(ENCODINGS) % len(LENGTH_CLASSES)
+        n = LENGTH_CLASSES[c]
+        if len(letters) < n:
             continue
-        encoding, length = infer_encoding(run), len(run)
-        if letters is None:
-            letters = re.sub(rb"[^A-Za-z]", b"", CANDIDATE.sub(lambda r: b"" if _mixed(r.group()) else r.group(), raw))
-        # ordinary letters of the same document, as many as the candidate has, from its relative place
-        at = int(m.start() / max(len(raw), 1) * max(len(letters) - length, 1))
-        decoy = letters[at : at + length]
-        decoy = decoy.upper() if encoding == 1 else decoy
-        decoy_bin = _bin(randomness(decoy, 2 if encoding == 0 else encoding)) if len(decoy) == length and decoy != run else -1
-        out.append((m.start(), m.end(), encoding, _class(length), _bin(randomness(run, encoding)), decoy_bin))
+        at = place // 97 % (len(letters) - n + 1)
+        own = _CODES[-1, letters[at : at + n]]
+        size = len(_ALPHABETS[e])
+        small = own % 26
+        code = _CODES[e, letters[at : at + n]] if ENCODINGS[e] in ("base62", "base64") else small % size
+        out.append((e, c, _bin(_score(code, size))))
     return out
 
 
@@ -138,10 +157,10 @@ def tally(df: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(shape, np.int64)
         for b in (b for whole in batches for b in common.slices(whole, text_col)):
             for raw in b.column(0).cast(pa.binary()).to_pylist():
-                for _, _, e, c, score, decoy in candidates(raw or b""):
+                for _, _, e, c, score in candidates(raw or b""):
                     total[e, c, score, 0] += 1
-                    if decoy >= 0:
-                        total[e, c, decoy, 1] += 1
+                for e, c, score in decoys(raw or b""):
+                    total[e, c, score, 1] += 1
         cell = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total.ravel()[cell], pa.int64())], names=["cell", "n"])
 
@@ -153,17 +172,22 @@ def tally(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def thresholds(counts: np.ndarray, rate: float = FALSE_DISCOVERY_RATE) -> np.ndarray:
-    """Least score bin to report for each (encoding, length class) of which the decoys above it are at most `rate` of the candidates above it.
+    """Least score bin to report for each (encoding, length class): ordinary runs are at most `rate` of the candidates above it.
 
-    Stricter bins need not meet the rate by themselves (target and decoy counts as usual: a q-value is the least rate at which a score
-    is reported), so that a chance decoy in the top bin does not stand against all others.
-    Documents too short for a decoy have none, so decoys count by the share of candidates that have one.
-    A bin under BINS - 20 (a combined p-value below 0.01) is never enough: it would not agree with randomness.
+    At most as many candidates are ordinary as there are, and of these the decoys' share scores so high. Stricter bins need not meet the rate by themselves (a q-value is
+    the least rate at which a score is reported). Where a class has no decoys, those of the next shorter class stand in, as longer runs of writing look
+    less random. A bin under BINS - 20 (a combined p-value below 0.01) is never enough: it would not agree with randomness.
     """
-    above = counts[:, :, ::-1].cumsum(2)[:, :, ::-1]
-    scale = above[:, :, :1, 0] / np.maximum(above[:, :, :1, 1], 1)
-    ok = (above[..., 1] * scale <= rate * np.maximum(above[..., 0], 1)) & (np.arange(BINS) >= BINS - 20)
-    return np.where(ok.any(2), ok.argmax(2), BINS)
+    above = counts[:, :, ::-1].cumsum(2)[:, :, ::-1].astype(float)
+    out = np.full(counts.shape[:2], BINS)
+    for e in range(counts.shape[0]):
+        share = np.zeros(BINS)
+        for c in range(counts.shape[1]):
+            made = above[e, c, 0, 1]
+            share = above[e, c, :, 1] / made if made else share
+            ok = (share * above[e, c, 0, 0] <= rate * np.maximum(above[e, c, :, 0], 1)) & (np.arange(BINS) >= BINS - 20)
+            out[e, c] = ok.argmax() if ok.any() else BINS
+    return out
 
 
 def _apart(extra: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -181,7 +205,7 @@ def find_spans(raw: bytes, limits: np.ndarray | None) -> list[tuple[int, int, in
     """(start, kind, end) in bytes: the base spans, and random runs that no base span overlaps."""
     found = base_spans(raw)
     if limits is not None:
-        extra = [(a, 3, z) for a, z, e, c, score, _ in candidates(raw) if score >= limits[e, c]]
+        extra = [(a, 3, z) for a, z, e, c, score in candidates(raw) if score >= limits[e, c]]
         found = sorted(found + _apart(extra, found))
     return found
 

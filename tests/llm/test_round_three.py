@@ -13,7 +13,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cadencia.llm import alignment, common, multiindex, phrases, quotient, tokens
+from pyspark.sql import functions as F
+
+from cadencia.llm import alignment, bpe, common, multiindex, phrases, quotient, secrets, tokens
 from tests.llm.test_corpus import LONG, ODD, documents, empty  # noqa: F401
 
 MARK = "▁"
@@ -284,3 +286,141 @@ def test_phrases_of_no_rows(spark):
 
 def test_long_text_fixture_is_read_whole(spark):
     assert sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame([(LONG, "la")], "text string, lang string")).collect()) == brute_phrases([(LONG, "la")], 30, 2_000)
+
+
+# ---- decoding by a join, and words of one hash
+
+
+DECODE_TEXTS = [*ODD, "x <|endoftext|> y", " " * 3_000, "漢字 ünïcode 🙂🙂", "same text here"]
+
+
+def test_both_ways_of_decoding_equal_the_library(spark, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    df = documents(spark, DECODE_TEXTS).repartition(3).cache()
+    for rows in (bpe.encode_documents(df, decode=True).collect(), bpe.decode_ids(bpe.encode_documents(df)).collect()):
+        assert len(rows) == len(DECODE_TEXTS)
+        for r in rows:
+            want = whole.encode(DECODE_TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids
+            assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == want and r["decoded"] == whole.decode(want, skip_special_tokens=False)
+    assert bpe.encode_documents(empty, decode=True).count() == 0
+
+
+def test_decoding_ids_from_elsewhere(spark):
+    pack = lambda *ids: np.array(ids, "<u4").tobytes()
+    df = spark.createDataFrame([(1, pack(15496, 995), "old"), (2, None, "old"), (3, b"", "old"), (4, pack(50256), "old"), (5, pack(171, 121), "old")], "k int, ids binary, decoded string")
+    got = {r["k"]: r["decoded"] for r in bpe.decode_ids(df).collect()}
+    assert got == {1: "Hello world", 2: None, 3: "", 4: "<|endoftext|>", 5: got[5]} and "�" in got[5]
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode_ids(df.withColumn("ids", F.lit(pack(60_000)))).collect()
+
+
+def test_two_words_of_one_hash_are_two_words(monkeypatch):
+    texts = ["one two three two one", "two four five", ""]
+
+    def lists():
+        blocks = [bpe._Block(["<|endoftext|>"], w) for w in (True, False)]
+        for b in blocks:
+            b.add(texts, pa.array([0, 1, 2]))
+            b.add(["three one six"], pa.array([3]))
+        (keys, place, _, name), (_, _, ranks, again) = (b.ranked() for b in blocks)
+        assert name == again
+        words = [blocks[0].words[i].decode() for i in place.tolist()]
+        codes = [r[c] for r, c in zip(ranks, blocks[1].codes, strict=True)]
+        return words, [words[c] for part in codes for c in part.tolist()]
+
+    words, said = lists()
+    assert len(set(words)) == len(words) and "".join(said) == "one two three two onetwo four fivethree one six"
+    plain, calls = common.segment_hashes, []
+
+    def clashing(mixed, starts, lengths):
+        calls.append(1)
+        return plain(mixed, starts, lengths) % np.uint64(2) if len(calls) % 2 else plain(mixed, starts, lengths)
+
+    monkeypatch.setattr(common, "segment_hashes", clashing)
+    clashed, said = lists()
+    assert sorted(clashed) == sorted(words) and "".join(said) == "one two three two onetwo four fivethree one six"
+
+
+# ---- the battery of secret scans
+
+
+@pytest.fixture(scope="module")
+def planted_keys(spark, sf_dir):
+    """Thirty keys of each encoding and length beside the corpus: (encoding, length) -> share found, and the documents of the corpus with any."""
+    rng, rows, kinds = random.Random(4), [], {}
+    for name, letters in zip(secrets.ENCODINGS, secrets._ALPHABETS, strict=True):
+        for n in (16, 24, 32, 48, 64, 128):
+            for _ in range(30):
+                kinds[10**6 + len(rows)] = (name, n)
+                rows.append((10**6 + len(rows), "some words before " + "".join(chr(rng.choice(letters)) for _ in range(n)) + " and after"))
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    found = secrets.scan_secrets(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).filter(F.size("secret_spans") > 0)
+    hits, clean = collections.Counter(), 0
+    for r in found.collect():
+        if r["doc_id"] in kinds:
+            hits[kinds[r["doc_id"]]] += 1
+        else:
+            clean += any(s["kind"] == "random" for s in r["secret_spans"])
+    return {k: hits[k] / 30 for k in set(kinds.values())}, clean
+
+
+def test_planted_keys_are_found(planted_keys):
+    """Nine of ten, for each encoding and length at which writing does not look like the alphabet."""
+    share, _ = planted_keys
+    long = {"decimal": 24, "hex": 24, "base32": 32, "base36": 24, "base62": 16, "base64": 16, "small": 48, "capital": 48}
+    assert {k: v for k, v in share.items() if k[1] >= long[k[0]] and v < 0.9} == {}
+
+
+def test_ordinary_documents_hold_no_keys(planted_keys):
+    assert planted_keys[1] <= 2
+
+
+def test_battery_against_plain_tests():
+    """Chi-squared, runs and serial correlation computed from their definitions, with loops."""
+    import math
+
+    rng = random.Random(12)
+    for e, letters in enumerate(secrets._ALPHABETS):
+        for n in (16, 40, 100):
+            run = bytes(rng.choice(letters) for _ in range(n))
+            code = [letters.index(c) for c in run]
+            size = len(letters)
+            chi = sum((code.count(s) - n / size) ** 2 / (n / size) for s in range(size))
+            z = [max((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n), 0)]
+            high = [c >= size // 2 for c in code]
+            runs, ones = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+            mean = 2 * ones * (n - ones) / n + 1
+            z.append((runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)) if 0 < ones < n else 9)
+            m = sum(code) / n
+            z.append(sum((a - m) * (b - m) for a, b in zip(code, code[1:], strict=False)) / sum((c - m) ** 2 for c in code) * math.sqrt(n))
+            p = [min(max(math.erfc(abs(x) / math.sqrt(2)), 1e-12), 1) for x in z]
+            assert secrets.randomness(run, e) == pytest.approx(3 / sum(1 / x for x in p), rel=1e-3, abs=1e-6)
+
+
+@pytest.mark.parametrize(("run", "encoding"), [(b"0123456789" * 2, "decimal"), (b"deadbeef" * 2, "hex"), (b"DEADBEEF0" * 2, "hex"), (b"qwertyuiopasdfgh", "small"), (b"QWERTYUIOPASDFGH", "capital"), (b"QWERTY234567ABCD==", "base32"), (b"qwerty0189asdfgh", "base36"), (b"Qwerty0189asdfgh", "base62"), (b"a-b_c/d+e-f_g/h+", "base64")])
+def test_inferred_encodings(run, encoding):
+    assert secrets.ENCODINGS[secrets.infer_encoding(run)] == encoding
+
+
+def test_secrets_of_odd_rows(spark):
+    """A null id, repeated ids and a text of 1 MB."""
+    big = "word " * 200_000 + "password = hunter2222 " + "A1b2C3d4E5f6G7h8"
+    df = spark.createDataFrame([(None, "token: abcdef"), (1, "token: abcdef"), (1, "token: abcdef"), (2, big)], "doc_id long, text string")
+    rows = secrets.scan_secrets(df).collect()
+    assert len(rows) == 4 and all(r["secret_spans"][0]["kind"] == "assign" for r in rows)
+    assert [(s["start"], s["end"]) for r in rows if r["doc_id"] == 2 for s in r["secret_spans"] if s["kind"] == "assign"] == [(1_000_000, 1_000_021)]
+
+
+# ---- exact scaling of vectors
+
+
+def test_scaling_is_exact():
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.standard_normal((50, 7)), rng.standard_normal((5, 7)) * 1e300, rng.standard_normal((5, 7)) * 1e-300, np.full((1, 7), 5e-324), np.full((1, 7), 1.7e308)])
+    w = common.power_scaled(v)
+    ratio = w[:50] / v[:50]
+    assert np.isfinite(w).all() and (np.abs(w).max(1) >= 0.5).all() and (np.abs(w).max(1) < 1).all()
+    assert (np.frexp(ratio)[0] == 0.5).all()
+    assert np.allclose(multiindex.unit(v)[-2:], 7**-0.5, rtol=1e-15)
