@@ -14,17 +14,21 @@ from cadencia.llm.components import connected_components
 
 #: Bits of a token's hash that stay beside its count; equal tokens stay equal, so that fewer bits can only add candidates.
 TOKEN_BITS, MOST_TIMES = 43, 1 << 19
+#: How often tokens occur is counted in so many cells of their hash, whatever their number: the table has a fixed size.
+CELLS = 1 << 20
 
 
 def rows(tokens: DataFrame, per_cent: int, keep) -> DataFrame:
     """(id, n, token, rest): the first tokens of each set, and how many follow, from rows (id, n, token); n is the size of the set.
 
-    `keep` writes an intermediate table (common.scratch). Tokens of a set are different.
+    Any order of tokens that is the same for all sets loses no pair; this one goes by the count of the token's cell. `keep` writes an intermediate
+    table (common.scratch). Tokens of a set are different.
     """
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    celled = tokens.withColumn("cell", F.pmod(F.xxhash64("token"), F.lit(CELLS)).cast("int"))
+    often = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     key = F.shiftleft(F.least("times", F.lit(MOST_TIMES)), TOKEN_BITS).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
-    listed = tokens.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(key)).alias("t"))
-    # tokens that stand alone match nothing, but come first in the order
+    listed = celled.join(F.broadcast(often), "cell").groupBy("id", "n").agg(F.sort_array(F.collect_list(key)).alias("t"))  # at most CELLS rows
+    # tokens alone in their cell match nothing, but come first in the order
     alone = (F.col("n") - F.size("t")).alias("alone")
     length = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - alone
     prefix = listed.select("id", "n", alone, F.posexplode(F.slice("t", 1, F.greatest(length, F.lit(0)).cast("int"))).alias("at", "token"))

@@ -98,12 +98,13 @@ def test_one_decoy_in_the_top_bin_does_not_switch_a_class_off():
     assert secrets.thresholds(counts)[2, 3] == 91
 
 
-def test_base32_keys_without_a_digit_are_tested():
+def test_keys_of_capitals_only_are_tested():
     rng = random.Random(2)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(32)).encode()
     words = b"ordinary words stand before and after it in this text, more than the key is long "
-    [(start, end, encoding, _, _, decoy)] = secrets.candidates(words + key + b" end")
-    assert (start, end, secrets.ENCODINGS[encoding]) == (len(words), len(words) + 32, "base32") and decoy >= 0
+    [(start, end, encoding, _, _)] = secrets.candidates(words + key + b" end")
+    assert (start, end, secrets.ENCODINGS[encoding]) == (len(words), len(words) + 32, "capital")
+    assert secrets.decoys(words * 3 + key + b" end") and secrets.decoys(key) == []
 
 
 # ---- tokens
