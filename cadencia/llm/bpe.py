@@ -21,7 +21,7 @@ import functools
 import hashlib
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -334,8 +334,11 @@ def _meet(rows: DataFrame, id_type: T.DataType, decode: bool) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def encode_documents(df: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
-    """(doc_id, ids): ids of each text as little-endian 32-bit numbers in one binary value; with `decode` also decoded, the text of these ids."""
+def encode_documents(df: DataFrame, path: str | None = None, decode: bool = False, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """(doc_id, ids): ids of each text as little-endian 32-bit numbers in one binary value; with `decode` also decoded, the text of these ids.
+
+    With `decode` the result is written before the word table is deleted; `finish` says what of it is needed.
+    """
     path = path or tokens.default_path()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = _word_rows(df, path, partitions * PARTS_A_TASK).repartition(partitions, "part").sortWithinPartitions("part")
@@ -350,7 +353,7 @@ def encode_documents(df: DataFrame, path: str | None = None, decode: bool = Fals
         if decode:
             both = both.unionByName(shaped(_pieces_of(words, piece_rows(df.sparkSession, path)), 1))
         met = _meet(both.repartition(partitions, "block").sortWithinPartitions("block", "kind"), df.schema["doc_id"].dataType, decode)
-        return common.materialize(met, "encoded") if decode else met
+        return common.materialize(finish(met), "encoded") if decode else finish(met)
 
 
 def decode_ids(df: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -402,5 +405,5 @@ def decode_ids(df: DataFrame, path: str | None = None, ids_col: str = "ids") ->
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
-    both = encode_documents(common.read_table(spark, sf_dir, "documents"), decode=True)
-    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = lambda both: both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_documents(common.read_table(spark, sf_dir, "documents"), decode=True, finish=digests)
