@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadencia.functions import automaton
 from cadencia.functions import text as tx
+from cadencia.operators import retrieval
 
-#: Words that raise a turn's priority; a caller can give others. Emergencies win over anger.
-EMERGENCY = ("overdose", "poison", "bleeding", "ضيق تنفس", "تسمم", "نزيف")
-ANGER = ("scam", "complaint", "terrible service", "نصب", "خدمة سيئة")
-#: Patterns of attempts to take a role, and to override the rules; roles are tried first.
-ROLE_ATTACK = (r"(?:act as|pretend to be|you are now)\s+(?:an?\s+)?(?:admin|manager|owner|doctor)", r"(?:اعتبر نفسك|تخيل انك)\s+(?:مدير|طبيب|ادمن)")
-OVERRIDE = (r"ignore\s+(?:all\s+)?previous\s+instructions", r"\bdan\s+mode\b", r"system\s+prompt", r"تجاهل\s+(?:كل\s+)?التعليمات")
 PRONOUN = r"(?i)^(?:how much is it|its price|is it available|سعره|سعرها|بكام|متوفر)"
 NAME = r"(?i)(?:my name is|اسمي(?: هو)?)\s+([^\s?.!,،؟]+)"
 
@@ -44,8 +42,8 @@ def resolve(turns: DataFrame, pattern: str, pronoun: str = PRONOUN) -> DataFrame
     return seen.withColumn("resolved", F.when(refers, F.concat(F.col("text"), F.lit(" about "), F.col("entity"))).otherwise(F.col("text")))
 
 
-def escalation(c: Column, emergency: tuple[str, ...] = EMERGENCY, anger: tuple[str, ...] = ANGER) -> Column:
-    """(priority, status)."""
+def escalation(c: Column, emergency: tuple[str, ...], anger: tuple[str, ...]) -> Column:
+    """(priority, status) by the caller's word lists; emergencies win over anger."""
     low = F.lower(c)
     urgent, angry = tx.contains_any(low, emergency), tx.contains_any(low, anger)
     priority = F.when(urgent, "critical_emergency").when(angry, "high_priority").otherwise("normal")
@@ -53,26 +51,23 @@ def escalation(c: Column, emergency: tuple[str, ...] = EMERGENCY, anger: tuple[s
     return F.struct(priority.alias("priority"), status.alias("status"))
 
 
-def guard(c: Column, role: tuple[str, ...] = ROLE_ATTACK, override: tuple[str, ...] = OVERRIDE, most: int = 1500) -> Column:
-    """Why a text is blocked: role_assumption, prompt_injection or null; only its first `most` characters count."""
+def guard(c: Column, role: tuple[str, ...], override: tuple[str, ...], most: int = 1500) -> Column:
+    """Why a text is blocked, by the caller's patterns: role_assumption, prompt_injection or null; roles are tried first, and only the first `most` characters count."""
     low = F.lower(tx.truncated(c, most))
     hit = lambda patterns: F.rlike(low, F.lit("|".join(f"(?:{p})" for p in patterns)))
     return F.when(hit(role), "role_assumption").when(hit(override), "prompt_injection")
 
 
 def mentions(texts: DataFrame, drugs: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Drugs whose whole name, or first word of three letters or more, is a run of words of the text.
+    """Drugs whose whole name, or first word of three letters or more, the text contains, in whatever case; inside of words too.
 
-    Names are looked up by equality on the text's runs of one to four words, not by testing every name on every text.
+    Names may have any number of words and any signs. All of them are met in one walk over each text. Null and empty names are never mentioned.
     """
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
-    runs = F.expr("flatten(transform(sequence(1, 4), n -> transform(sequence(1, greatest(size(tokens) - n + 1, 0), 1), i -> array_join(slice(tokens, i, n), ' '))))")
-    safe = F.when(F.size("tokens") >= 4, runs).otherwise(F.expr("flatten(transform(sequence(1, greatest(size(tokens), 1)), n -> transform(sequence(1, greatest(size(tokens) - n + 1, 1)), i -> array_join(slice(tokens, i, n), ' '))))"))
-    spoken = texts.withColumn("tokens", tokens).select(*key, F.explode(F.array_distinct(safe)).alias("spoken"))
-    name = F.lower("name")
+    name = F.lower(F.trim("name"))
     first = F.element_at(F.split(name, r"\s+"), 1)
-    names = drugs.select("drug_id", F.explode(F.array_distinct(F.array_compact(F.array(name, F.when(F.length(first) >= 3, first))))).alias("spoken"))
-    return spoken.join(names, "spoken").select(*key, "drug_id").distinct()
+    spoken = drugs.select("drug_id", F.explode(F.array_distinct(F.array_compact(F.array(name, F.when(F.length(first) >= 3, first))))).alias("pattern")).filter("pattern <> ''")
+    low = texts.select(*key, F.lower(F.col(text)).alias("__low"))
+    return automaton.matches(low, key, "__low", spoken.select("pattern")).join(spoken, "pattern").select(*key, "drug_id").distinct()
 
 
 def mentioned_interactions(found: DataFrame, newest: DataFrame, interactions: DataFrame, key: str) -> DataFrame:
@@ -99,12 +94,43 @@ def badge(has_math: Column, has_interaction: Column, best_hybrid: Column) -> Col
     return F.when(has_math, 0.99).when(has_interaction, 0.96).when(best_hybrid >= 0.70, 0.88).when(best_hybrid.isNotNull(), 0.72).otherwise(0.60)
 
 
-def route(turns: DataFrame, drugs: DataFrame, entity_pattern: str) -> DataFrame:
-    """One audit row for each user turn: the first stage that takes it, in the order guard, escalation, catalog mention, invoice."""
-    resolved = resolve(turns, entity_pattern).filter(F.col("role") == "user")
-    rows = resolved.withColumn("blocked", guard(F.col("text"))).withColumn("escalation", escalation(F.col("text")))
-    named = mentions(rows.select("conv_id", "turn", "resolved"), drugs, ["conv_id", "turn"], "resolved").groupBy("conv_id", "turn").agg(F.min("drug_id").alias("drug_id"))
-    priced = named.join(drugs.select("drug_id", F.col("base_price").cast("double").alias("price")), "drug_id")
-    joined = invoice(rows.join(priced, ["conv_id", "turn"], "left"), "resolved", F.col("price"))
-    stage = F.when(F.col("blocked").isNotNull(), "guard").when(F.col("escalation.priority") != "normal", "escalation").when(F.col("total").isNotNull(), "invoice").when(F.col("drug_id").isNotNull(), "catalog").otherwise("retrieval")
-    return joined.select("conv_id", "turn", stage.alias("stage"), "blocked", F.col("escalation.priority").alias("priority"), "drug_id", "total", badge(F.col("total").isNotNull(), F.lit(False), F.lit(None).cast("double")).alias("confidence"))
+@dataclass(frozen=True)
+class Rules:
+    """The caller's word lists and patterns for routing."""
+
+    emergency: tuple[str, ...]
+    anger: tuple[str, ...]
+    role: tuple[str, ...]
+    override: tuple[str, ...]
+    entity: str
+    intents: dict[str, tuple[str, ...]]
+    pronoun: str = PRONOUN
+
+
+def route(turns: DataFrame, drugs: DataFrame, interactions: DataFrame, chunks: DataFrame, rules: Rules, back: int = 4) -> DataFrame:
+    """One row for each user turn with what every stage finds, and the stage that takes it.
+
+    blocked (guard), priority (escalation), rewritten (a reference was spelt out), category (intent), drug_id (the smallest one named), severity (interaction of drugs named in
+    the turn or the `back` turns before, one of them in the turn), chunk_id and best (retrieval: the chunk with the best lexical score, if it is in scope), total (invoice) and
+    confidence (badge). drugs: drug_id, name, base_price; interactions: a, b, severity; chunks: chunk_id, content. All that follows the guard looks at the rewritten text.
+    """
+    key = ["conv_id", "turn"]
+    spoken = history(resolve(turns, rules.entity, rules.pronoun), back).filter(F.col("role") == "user")
+    rows = spoken.select(
+        *key, guard(F.col("text"), rules.role, rules.override).alias("blocked"), escalation(F.col("text"), rules.emergency, rules.anger)["priority"].alias("priority"), (~F.col("resolved").eqNullSafe(F.col("text"))).alias("rewritten"),
+        "resolved", F.concat_ws("\n", F.array_join("context", "\n"), "resolved").alias("around"))
+    rows = retrieval.category_intent_plain(rows, "resolved", rules.intents)
+    fresh = mentions(rows, drugs, key, "resolved")
+    named = fresh.groupBy(*key).agg(F.min("drug_id").alias("drug_id"))
+    both = F.struct(*key).alias("k")
+    warned = mentioned_interactions(mentions(rows, drugs, key, "around").select(both, "drug_id"), fresh.select(both, "drug_id"), interactions, "k").select("k.*", "severity")
+    asked = rows.select(F.to_json(F.struct(*key)).alias("query_id"), *key, "resolved")
+    scores = retrieval.lexical_index(asked, chunks, "query_id", "resolved", "chunk_id", "content").withColumn("score", F.round("score", 6))
+    top = scores.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("t")).select("query_id", (-F.col("t.s")).alias("best"), "t.chunk_id")
+    top = asked.select("query_id", *key).join(top.filter(F.col("best") >= 0.35), "query_id").drop("query_id")
+    joined = rows.join(named, key, "left").join(warned, key, "left").join(top, key, "left").join(drugs.select("drug_id", F.col("base_price").cast("double").alias("price")), "drug_id", "left")
+    joined = invoice(joined, "resolved", F.col("price"))
+    has = lambda c: F.col(c).isNotNull()
+    stage = F.when(has("blocked"), "guard").when(F.col("priority") != "normal", "escalation").when(has("category"), "intent").when(has("total"), "math").when(has("severity"), "interaction")
+    stage = stage.when(has("drug_id"), "catalog").when(has("best"), "retrieval").when(F.col("rewritten"), "reference").otherwise("general")
+    return joined.select(*key, stage.alias("stage"), "blocked", "priority", "rewritten", "category", "drug_id", "severity", "chunk_id", "best", "total", badge(has("total"), has("severity"), F.col("best")).alias("confidence"))

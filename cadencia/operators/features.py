@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,26 +85,80 @@ def flip_labels(rows: DataFrame, label: str, share: float, *keys: str, seed: int
     return rows.withColumn(label, F.when(pick, 1 - F.col(label)).otherwise(F.col(label)))
 
 
+#: Rows that a task holds while all others stream past them, and rows of a stream that are compared at once.
+BLOCK_ROWS, STREAM_ROWS = 8_192, 256
+
+
+def nearest_rows(rows: DataFrame, features: list[str], key: str, k: int) -> DataFrame:
+    """(key, rank, other, distance): the k nearest other rows of each row, by squared Euclidean distance of the features and then by key.
+
+    Exact: rows are held in blocks of bounded size and all rows stream past each block, which keeps k of them at most. Rows with a null or non-finite feature or a null key take no part.
+    """
+    finite = " and ".join(f"`{f}` is not null and not isnan(`{f}`) and abs(`{f}`) < double('infinity')" for f in features)
+    used = rows.select(key, *(F.col(f).cast("double").alias(f) for f in features)).filter(finite).filter(F.col(key).isNotNull())
+    partitions, n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), used.count()
+    blocks = max(1, -(-n // BLOCK_ROWS), min(partitions, -(-n // 512)))
+    kind = used.schema[key].dataType.simpleString()
+    shaped = used.select(F.col(key).alias("id"), F.array(*features).alias("v"))
+    held = shaped.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
+    asked = shaped.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, own = None, [], None
+        for whole in batches:
+            for a in range(0, whole.num_rows, STREAM_ROWS):
+                b = whole.slice(a, STREAM_ROWS)
+                block, role, ids = b.column("block").to_numpy(), b.column("role").to_numpy(), b.column("id").to_numpy(zero_copy_only=False)
+                v = b.column("v").flatten().to_numpy().reshape(b.num_rows, len(features))
+                cuts = np.flatnonzero((block[1:] != block[:-1]) | (role[1:] != role[:-1])) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                    if block[lo] != now:
+                        now, parts, own = block[lo], [], None
+                    if role[lo] == 0:
+                        parts.append((ids[lo:hi], v[lo:hi]))
+                        continue
+                    if own is None:
+                        if not parts:
+                            continue
+                        own = tuple(np.concatenate([p[i] for p in parts]) for i in range(2))
+                    apart = np.zeros((hi - lo, len(own[0])))
+                    for f in range(len(features)):  # one feature after the other, so that sums are the same wherever a row stands
+                        apart += (v[lo:hi, f, None] - own[1][None, :, f]) ** 2
+                    apart[ids[lo:hi, None] == own[0][None, :]] = np.inf
+                    # rows of a block come in the order of their keys: a stable sort breaks ties by key
+                    best = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                    d = np.take_along_axis(apart, best, axis=1)
+                    i, j = np.nonzero(np.isfinite(d))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][i], b.column("id").type), pa.array(own[0][best[i, j]], b.column("id").type), pa.array(d[i, j])], names=["id", "other", "distance"])
+
+    dealt = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "role", "id")
+    found = dealt.mapInArrow(run, f"id {kind}, other {kind}, distance double")
+    best = Window.partitionBy("id").orderBy("distance", "other")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "other", "distance")
+
+
 def oversample(train: DataFrame, label: str, features: list[str], key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic minority rows between a row and one of its k nearest of the class, until both classes are equally large.
 
-    Nearness is by buckets of a random projection, each row against the next k in its projection's order, so the minority
-    class never meets itself in all pairs.
+    Every minority row gives as many as any other, or one more; which give one more goes by rank in hash order. Rows whose features are not all finite give none, and
+    with fewer than two others nothing is added.
     """
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2 or min(counts.values()) < 2:
+    if len(counts) < 2:
         return train.select(label, *features)
     small = min(counts, key=counts.get)
-    missing = max(counts.values()) - counts[small]
     rows = train.filter(F.col(label) == small)
-    projection = sum(F.col(f) * F.lit((i * 37 + seed) % 11 - 5) for i, f in enumerate(features))
-    w = Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(max(1, counts[small] // 50_000)))).orderBy(projection, key)
-    near = F.array_compact(F.array(*(F.lead(F.struct(*features), i).over(w) for i in range(1, min(k, counts[small] - 1) + 1))))
-    paired = rows.select(key, *features, near.alias("near")).withColumn("near", F.when(F.size("near") > 0, F.col("near")).otherwise(F.array(F.struct(*features))))
-    copies = -(-missing // counts[small])
-    made = paired.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(max(copies, 1)))))
+    near = nearest_rows(rows, features, key, max(1, min(k, counts[small] - 1)))
+    lists = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("near"))
+    able = rows.select(key, *features).join(lists, key).withColumn("__all", F.lit(1))
+    n, missing = lists.count(), max(counts.values()) - counts[small]
+    if n == 0:
+        return train.select(label, *features)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    ranked = first_share(able, "__all", digest, (key,), (missing % n + 0.5) / n, "__more")
+    made = ranked.withColumn("c", F.explode_outer(F.sequence(F.lit(0), F.lit(missing // n) + F.col("__more").cast("int")))).filter("c > 0")
     h = lambda salt: F.pmod(F.xxhash64(F.lit(seed + salt), key, "c"), F.lit(1_000_003))
-    other = F.element_at("near", (h(1) % F.size("near") + 1).cast("int"))
-    share = h(2) / 1_000_003
-    new = made.withColumn("o", other).orderBy("c", key).limit(missing).select(F.lit(small).alias(label), *((F.col(f) + share * (F.col("o")[f] - F.col(f))).alias(f) for f in features))
+    picked = made.withColumn("__other", F.element_at("near", (h(1) % F.size("near") + 1).cast("int"))["other"]).withColumn("__share", h(2) / 1_000_003)
+    ends = rows.select(F.col(key).alias("__other"), *(F.col(f).alias(f"__end_{f}") for f in features))
+    new = picked.join(ends, "__other").select(F.lit(small).alias(label), *((F.col(f) + F.col("__share") * (F.col(f"__end_{f}") - F.col(f))).alias(f) for f in features))
     return train.select(label, *features).unionByName(new)

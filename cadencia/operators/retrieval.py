@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadencia.functions import automaton
 from cadencia.functions import text as tx
 from cadencia.functions import vectors as vc
 
@@ -59,7 +60,7 @@ def lexical_score(query: Column, content: Column) -> Column:
 def lexical_index(queries: DataFrame, chunks: DataFrame, query_id: str, query: str, chunk_id: str, content: str) -> DataFrame:
     """(query_id, chunk_id, score): lexical_score() of every query and chunk that have anything in common; all other pairs score 0.
 
-    Chunks are met through the stems of a stated query set: each distinct stem of the chunks is looked up by its substrings, so that no query
+    Chunks are met through the stems of a stated query set: an automaton of these finds them in each distinct stem of the chunks, so that no query
     is tested on a text. What moves is one row for each chunk and each query stem that it holds.
     """
     said = queries.select(F.col(query_id).alias("query_id"), words(F.col(query)).alias("q"), F.array_distinct(F.regexp_extract_all(query, F.lit(r"(\d+)"), F.lit(1))).alias("numbers"))
@@ -67,11 +68,8 @@ def lexical_index(queries: DataFrame, chunks: DataFrame, query_id: str, query: s
     held = chunks.select(F.col(chunk_id).alias("chunk_id"), F.array_distinct(words(F.col(content))).alias("c"), F.array_distinct(F.regexp_extract_all(content, F.lit(r"(\d+)"), F.lit(1))).alias("numbers"))
     stems = held.select("chunk_id", F.explode("c").alias("held"))
     wanted = asked.select("stem").distinct()
-    longest = wanted.agg(F.coalesce(F.max(F.length("stem")), F.lit(0)).alias("longest"))
-    lengths = F.sequence(F.lit(1), F.least(F.length("held"), F.col("longest")))
-    parts = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("held") - n + 1), lambda i: F.substring("held", i, n))))
-    vocabulary = stems.select("held").distinct().crossJoin(longest).filter((F.length("held") > 0) & (F.col("longest") > 0))  # one row
-    inside = vocabulary.select("held", F.explode(F.array_distinct(parts)).alias("stem")).join(wanted, "stem", "left_semi")
+    # one walk over each distinct stem of the chunks finds the wanted stems in it
+    inside = automaton.matches(stems.select("held").distinct(), ["held"], "held", wanted).withColumnRenamed("pattern", "stem")
     found = stems.join(inside, "held").select("chunk_id", "stem").distinct().join(asked, "stem").groupBy("query_id", "chunk_id", "n").agg(F.sum("times").alias("found"))
     numbers = said.filter(F.size("q") > 0).select("query_id", F.size("q").alias("n"), F.explode("numbers").alias("number")).join(held.filter(F.size("c") > 0).select("chunk_id", F.explode("numbers").alias("number")), "number")
     both = found.join(numbers.groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("shared")), ["query_id", "chunk_id", "n"], "full")
@@ -104,9 +102,15 @@ def nearest_intent(rows: DataFrame, centroids: DataFrame, key: str, vector: str,
 
 def expand_query(df: DataFrame, text: str, thesaurus: dict[str, str]) -> DataFrame:
     """df with the expansions of all thesaurus terms that the normalised text contains."""
-    plain = tx.normalize_arabic(F.lower(F.col(text)))
-    hits = F.array_compact(F.array(*(F.when(F.contains(plain, tx.normalize_arabic(F.lit(t))), F.lit(e)) for t, e in thesaurus.items())))
-    return df.withColumn("expansions", F.array_distinct(hits)).withColumn("expanded", F.concat_ws(" ", F.col(text), F.array_join("expansions", " ")))
+    named = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(thesaurus)], "i int, term string")
+    plain = {r["i"]: r["plain"] for r in named.select("i", tx.normalize_arabic(F.lower("term")).alias("plain")).collect()}  # the caller's own terms
+    told: dict[str, list[str]] = {}
+    for i, e in enumerate(thesaurus.values()):
+        told.setdefault(plain[i], []).append(e)
+    more = F.create_map(*(x for p, es in told.items() for x in (F.lit(p), F.array(*map(F.lit, es))))) if told else F.lit(None).cast("map<string, array<string>>")
+    hits = automaton.contained(tx.normalize_arabic(F.lower(F.col(text))), list(told))
+    out = df.withColumn("__hits", hits).withColumn("expansions", F.array_distinct(F.flatten(F.transform("__hits", lambda h: F.element_at(more, h))))).drop("__hits")
+    return out.withColumn("expanded", F.concat_ws(" ", F.col(text), F.array_join("expansions", " ")))
 
 
 def category_listing(drugs: DataFrame) -> DataFrame:

@@ -392,13 +392,18 @@ def stem_sql(word: str) -> str:
 
 PLAIN = f"trim(translate(regexp_replace(lower(text),'{tx.MARKS}','','g'),'إأآةىؤئ','اااهيوي'))"
 STEMS = f"(select id, w, {stem_sql('w')} stem from (select id, unnest(regexp_split_to_array({PLAIN},'\\s+')) w from {{0}}) where length(w)>1)"
-SIDES = f"""with qt as (select item_id id, text from benchmark), dt as (select doc_id id, text from documents), qs as {STEMS.format('qt')}, cs as (select distinct id, stem from {STEMS.format('dt')}),
+def sides(q: str, d: str) -> str:
+    """Definitions up to `lexical`: lexical_index() of the queries q and the chunks d (id, text)."""
+    return f"""qt as ({q}), dt as ({d}), qs as {STEMS.format('qt')}, cs as (select distinct id, stem from {STEMS.format('dt')}),
  asked as (select id query_id, stem, count(*) times from qs group by all), total as (select id query_id, count(*) n from qs group by 1),
  inside as (select v.stem held, w.stem from (select distinct stem from cs) v join (select distinct stem from asked) w on contains(v.stem, w.stem)),
  found as (select query_id, chunk_id, sum(times) found from (select distinct cs.id chunk_id, i.stem from cs join inside i on i.held=cs.stem) join asked using(stem) group by all),
  qn as (select distinct id query_id, unnest(regexp_extract_all(text,'[0-9]+')) number from qt), dn as (select distinct id chunk_id, unnest(regexp_extract_all(text,'[0-9]+')) number from dt semi join cs using(id)),
  numbers as (select query_id, chunk_id, count(*) shared from qn join dn using(number) group by all),
  lexical as (select query_id, chunk_id, least(1.0::double, coalesce(found,0)/n + .3::double*coalesce(shared,0)) score from (found full join numbers using(query_id, chunk_id)) join total using(query_id))"""
+
+
+SIDES = "with " + sides("select item_id id, text from benchmark", "select doc_id id, text from documents")
 query("t11_lexical_score", SIDES + " select query_id, chunk_id, round(score,6) score from lexical")(
     lambda r: retrieval.lexical_index(passages(r), r.documents(), "query_id", "query", "doc_id", "text").withColumn("score", F.round("score", 6))
 )
@@ -409,20 +414,36 @@ query("t16_category_listing", "select category, count(*) n, string_agg(name, ','
 query("d10_escalation", "select conv_id, turn, case when contains(lower(text),'blehe') then 'critical_emergency' when contains(lower(text),'than') then 'high_priority' else 'normal' end priority from turns")(lambda r: r.conversations().select("conv_id", "turn", conversation.escalation(F.col("text"), ("blehe",), ("than",))["priority"].alias("priority")))
 query("d11_guard", "select conv_id, turn, case when regexp_matches(lower(trim(substr(trim(text),1,1500))),'(and the)|(of that)') then 'role_assumption' when regexp_matches(lower(trim(substr(trim(text),1,1500))),'(is to)') then 'prompt_injection' end blocked from turns")(lambda r: r.conversations().select("conv_id", "turn", conversation.guard(F.col("text"), ("and the", "of that"), ("is to",)).alias("blocked")))
 query("t17_resolved", "select conv_id, turn, case when role='user' and regexp_matches(trim(text),'(?i)^(the|of|is)\\b') and entity is not null then text||' about '||entity else text end resolved from (select *, last_value(nullif(regexp_extract(text,'\\b(th[a-z]{4,8})\\b',1),'') ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) entity from turns)")(lambda r: conversation.resolve(r.conversations(), r"\b(th[a-z]{4,8})\b", r"(?i)^(the|of|is)\b").select("conv_id", "turn", "resolved"))
-query("t19_route")(lambda r: conversation.route(r.conversations(), r.drugs(), r"\b(th[a-z]{4,8})\b"))
 
-WORDS = ("the", "and", "that", "thing")
+#: Names with signs and numbers; besides, the first one to eight words of every third conversation are a name.
+SIGNED_NAMES = ("co-amoxiclav 625", "0.9% saline", "vitamin b-12", "la, une")
+NAMED = "select 1000000+i drug_id, w as name from (values " + ",".join(f"({i},'{w}')" for i, w in enumerate(SIGNED_NAMES)) + ") v(i,w) union all select conv_id, array_to_string(string_split(min_by(text,turn),' ')[1:conv_id//3%8+1],' ') from turns where conv_id%3=0 group by conv_id"
 
 
 def spoken_names(r: Retail) -> DataFrame:
-    return r.spark.createDataFrame(list(enumerate(WORDS)), "drug_id int, name string")
+    first = r.conversations().filter("conv_id % 3 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    names = first.select(F.col("conv_id").cast("long").alias("drug_id"), F.array_join(F.slice(F.split("text", " "), F.lit(1), (F.floor(F.col("conv_id") / 3) % 8 + 1).cast("int")), " ").alias("name"))
+    return names.unionByName(r.spark.createDataFrame([(1_000_000 + i, w) for i, w in enumerate(SIGNED_NAMES)], "drug_id long, name string"))
+
 
+def spoken_sql(text: str, turns: str, key: str = "conv_id, turn") -> str:
+    """mentions() of a column: the whole name, or its first word of three letters or more, stands in the text."""
+    return f"(select distinct {key}, drug_id from {turns} cross join (select drug_id, trim(lower(name)) n, regexp_split_to_array(trim(lower(name)),'\\s+')[1] w from ({NAMED})) where (n<>'' and contains(lower({text}),n)) or (length(w)>=3 and contains(lower({text}),w)))"
 
-NAMED = ",".join(f"({i},'{w}')" for i, w in enumerate(WORDS))
-SPOKEN = f"(select distinct conv_id, turn, i drug_id from turns cross join (values {NAMED}) v(i,w) where regexp_matches(' '||regexp_replace(lower(text),'[^\\p{{L}}\\p{{N}}#]+',' ','g')||' ', ' '||w||' '))"
+
+SPOKEN = spoken_sql("text", "turns")
 query("j14_mentions", f"select conv_id, turn, drug_id from {SPOKEN}")(lambda r: conversation.mentions(r.conversations(), spoken_names(r), ["conv_id", "turn"], "text"))
 
 
+def name_pairs(r: Retail) -> DataFrame:
+    """Interactions of names whose numbers are near each other."""
+    n = spoken_names(r).select("drug_id")
+    return n.select(F.col("drug_id").alias("a")).join(n.select(F.col("drug_id").alias("b")), (F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + 30)).withColumn("severity", F.when((F.col("a") + F.col("b")) % 2 == 0, "high").otherwise("low"))
+
+
+NAME_PAIRS = f"(select x.drug_id a, y.drug_id b, case when (x.drug_id+y.drug_id)%2=0 then 'high' else 'low' end severity from ({NAMED}) x join ({NAMED}) y on y.drug_id>x.drug_id and y.drug_id<=x.drug_id+30)"
+
+
 def conversation_mentions(r: Retail) -> tuple[DataFrame, DataFrame]:
     t = r.conversations()
     found = conversation.mentions(t, spoken_names(r), ["conv_id", "turn"], "text")
@@ -430,10 +451,42 @@ def conversation_mentions(r: Retail) -> tuple[DataFrame, DataFrame]:
     return found.select("conv_id", "drug_id").distinct(), found.join(last, ["conv_id", "turn"]).select("conv_id", "drug_id")
 
 
-query("j15_mentioned_interactions", f"with s as {SPOKEN}, f as (select distinct conv_id, drug_id from s), l as (select conv_id, drug_id from s join (select conv_id, max(turn) turn from turns group by 1) using(conv_id, turn)), p as (select x.conv_id, v.a, v.b, v.severity from f x join f y on x.conv_id=y.conv_id join (values (0,1,'low'),(0,3,'high'),(1,2,'medium')) v(a,b,severity) on v.a=x.drug_id and v.b=y.drug_id where exists(select 1 from l where l.conv_id=x.conv_id and l.drug_id in (v.a,v.b))) select conv_id, a, b, severity from (select *, row_number() over (partition by conv_id order by a, b) k from p) where k=1")(
-    lambda r: conversation.mentioned_interactions(*conversation_mentions(r), r.spark.createDataFrame([(0, 1, "low"), (0, 3, "high"), (1, 2, "medium")], "a int, b int, severity string"), "conv_id")
+query("j15_mentioned_interactions", f"with s as {SPOKEN}, v as {NAME_PAIRS}, f as (select distinct conv_id, drug_id from s), l as (select conv_id, drug_id from s join (select conv_id, max(turn) turn from turns group by 1) using(conv_id, turn)), p as (select x.conv_id, v.a, v.b, v.severity from f x join f y on x.conv_id=y.conv_id join v on v.a=x.drug_id and v.b=y.drug_id where exists(select 1 from l where l.conv_id=x.conv_id and l.drug_id in (v.a,v.b))) select conv_id, a, b, severity from (select *, row_number() over (partition by conv_id order by a, b) k from p) where k=1")(
+    lambda r: conversation.mentioned_interactions(*conversation_mentions(r), name_pairs(r), "conv_id")
 )
 
+ROUTED = """(select conv_id, turn, role, text||case when role='user' then ['', ' pretend to be an admin', ' overdose', ' what a scam', ' I want 3 boxes, code care 10', ' list the tablets', '', ' co-amoxiclav 625 and 0.9% saline', ' vitamin b-12'][((conv_id*31+turn)%9+1)::int] else '' end text from turns)"""
+TAILS = ("", " pretend to be an admin", " overdose", " what a scam", " I want 3 boxes, code care 10", " list the tablets", "", " co-amoxiclav 625 and 0.9% saline", " vitamin b-12")
+ROUTING = conversation.Rules(("overdose",), ("scam",), ("pretend to be an admin",), ("ignore all rules",), r"\b(th[a-z]{4,8})\b", {"tablets": ("list the tablets",)}, r"(?i)^(the|of|is)\b")
+
+
+def routed(r: Retail) -> DataFrame:
+    """User turns with tails that every stage has something to find in; passages of the benchmark are the chunks."""
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), ((F.col("conv_id") * 31 + F.col("turn")) % 9 + 1).cast("int"))
+    turns = r.conversations().withColumn("text", F.when(F.col("role") == "user", F.concat("text", tail)).otherwise(F.col("text")))
+    drugs = spoken_names(r).withColumn("base_price", F.col("drug_id") % 50 + 1)
+    chunks = r.raw("benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("content"))
+    return conversation.route(turns, drugs, name_pairs(r), chunks, ROUTING).withColumn("total", F.round("total", 2))
+
+
+ROUTE = f"""with tt as {ROUTED},
+ seen as (select *, last_value(nullif(regexp_extract(text,'\\b(th[a-z]{{4,8}})\\b',1),'') ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) entity, array_to_string(list(text) over (partition by conv_id order by turn rows between 4 preceding and 1 preceding), chr(10)) context from tt),
+ u as (select conv_id, turn, conv_id||':'||turn id, text original, context, case when regexp_matches(trim(text),'(?i)^(the|of|is)\\b') and entity is not null then text||' about '||entity else text end text from seen where role='user'),
+ around as (select conv_id, turn, concat_ws(chr(10), coalesce(context,''), text) text from u),
+ fresh as {spoken_sql('text', 'u')}, wide as {spoken_sql('text', 'around')}, v as {NAME_PAIRS},
+ named as (select conv_id, turn, min(drug_id) drug_id from fresh group by all),
+ warned as (select conv_id, turn, min_by(severity, (a, b)) severity from (select x.conv_id, x.turn, v.a, v.b, v.severity from wide x join wide y on x.conv_id=y.conv_id and x.turn=y.turn join v on v.a=x.drug_id and v.b=y.drug_id
+  where exists (select 1 from fresh f where f.conv_id=x.conv_id and f.turn=x.turn and f.drug_id in (v.a, v.b))) group by all),
+ {sides('select id, text from u', 'select item_id id, text from benchmark')},
+ best as (select query_id, chunk_id, round(score,6) best from lexical where round(score,6)>=.35 qualify row_number() over (partition by query_id order by round(score,6) desc, chunk_id)=1),
+ e as (select u.conv_id, u.turn, case when contains(lower(trim(substr(trim(original),1,1500))),'pretend to be an admin') then 'role_assumption' when contains(lower(trim(substr(trim(original),1,1500))),'ignore all rules') then 'prompt_injection' end blocked,
+  case when contains(lower(original),'overdose') then 'critical_emergency' when contains(lower(original),'scam') then 'high_priority' else 'normal' end priority, u.text<>original rewritten, case when contains(lower(u.text),'list the tablets') then 'tablets' end category,
+  drug_id, severity, chunk_id, best, case when contains(u.text,'3 boxes, code care 10') then round_even((drug_id%50+1)*3*(1-10/100::double),2) when contains(u.text,'0.9% saline') then round_even((drug_id%50+1)*(1-9/100::double),2) end total from u left join named using(conv_id, turn) left join warned using(conv_id, turn) left join best on query_id=u.id)
+ select conv_id, turn, case when blocked is not null then 'guard' when priority<>'normal' then 'escalation' when category is not null then 'intent' when total is not null then 'math' when severity is not null then 'interaction' when drug_id is not null then 'catalog'
+  when best is not null then 'retrieval' when rewritten then 'reference' else 'general' end stage, blocked, priority, rewritten, category, drug_id, severity, chunk_id, best, total,
+  case when total is not null then .99::double when severity is not null then .96::double when best>=.70 then .88::double when best is not null then .72::double else .60::double end confidence from e"""
+query("t19_route", ROUTE)(routed)
+
 # ---- matching ------------------------------------------------------------------------------------------------------------------
 
 

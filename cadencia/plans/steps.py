@@ -246,8 +246,8 @@ query("e12_shortlist", """with s as (select session_id, event_id, (event_id*37%1
 # ---- retrieval and conversations ---------------------------------------------------------------------------------------------------
 
 THESAURUS = {"than": "compared with", "thing": "object", "that": "which"}
-query("t10_expanded", "select conv_id, turn, coalesce(text,'')||' '||array_to_string([x for x in [" + ",".join(f"case when contains(lower(text),'{k}') then '{v}' end" for k, v in THESAURUS.items()) + "] if x is not null],' ') expanded from turns where text is not null")(
-    lambda r: retrieval.expand_query(r.conversations().filter("text is not null"), "text", THESAURUS).select("conv_id", "turn", "expanded")
+query("t10_expanded", "select conv_id, turn, concat_ws(' ', text, array_to_string([x for x in [" + ",".join(f"case when contains(lower(text),'{k}') then '{v}' end" for k, v in THESAURUS.items()) + "] if x is not null],' ')) expanded from turns")(
+    lambda r: retrieval.expand_query(r.conversations(), "text", THESAURUS).select("conv_id", "turn", "expanded")
 )
 query("t13_dense_top", REGISTRY["j19_dense_top_k"][1].replace("rank<=5", "rank<=3"))(lambda r: retrieval.dense_top_k(r.embeddings().filter("vec_id % 50 = 0"), r.embeddings(), 3, "vec_id", "vec_id", "embedding"))
 INTENTS = {"compare": ("than", "better"), "point": ("that", "and the"), "other": ("thing",)}
@@ -262,8 +262,8 @@ def intent_sql() -> str:
     return f"case {first} {parts} end"
 
 
-query("t15_category_intent", f"select conv_id, turn, {intent_sql()} category from turns where text is not null")(lambda r: retrieval.category_intent(r.conversations().filter("text is not null"), "text", INTENTS, PARTS).select("conv_id", "turn", "category"))
-query("t15_category_plain", "select conv_id, turn, case " + " ".join("when " + " or ".join(f"contains(lower(text),'{k}')" for k in ks) + f" then '{n}'" for n, ks in INTENTS.items()) + " end category from turns where text is not null")(lambda r: retrieval.category_intent_plain(r.conversations().filter("text is not null"), "text", INTENTS).select("conv_id", "turn", "category"))
+query("t15_category_intent", f"select conv_id, turn, {intent_sql()} category from turns")(lambda r: retrieval.category_intent(r.conversations(), "text", INTENTS, PARTS).select("conv_id", "turn", "category"))
+query("t15_category_plain", "select conv_id, turn, case " + " ".join("when " + " or ".join(f"contains(lower(text),'{k}')" for k in ks) + f" then '{n}'" for n, ks in INTENTS.items()) + " end category from turns")(lambda r: retrieval.category_intent_plain(r.conversations(), "text", INTENTS).select("conv_id", "turn", "category"))
 query("t18_invoice", """select p_partkey, (p_size+2)::int quantity, (p_partkey%30)::double discount, case when p_size+2>1 or p_partkey%30>0 then round_even((p_size+1.0::double)*(p_size+2)*(1-(p_partkey%30)/100.0::double),2) end total from part""")(
     lambda r: conversation.invoice(r.raw("part").withColumn("said", F.concat(F.lit("I want "), (F.col("p_size") + 2).cast("string"), F.lit(" boxes of it, code CARE "), (F.col("p_partkey") % 30).cast("string"))), "said", F.col("p_size") + 1.0).select("p_partkey", "quantity", "discount", "total")
 )
@@ -357,6 +357,27 @@ def batch_churn(r: Retail) -> DataFrame:
     return models.predict_churn(bundle, rows).select("customer_id", "drug_id", "predicted")
 
 
+def permuted(r: Retail) -> DataFrame:
+    """A straight line through x, with x and z exchanged in turn; z has no part in it."""
+    from cadencia.operators import models
+
+    rows = points(r)
+    line = models.fit(rows, ("x",), models.regressors()["linear"], groups=())
+    found = models.permutation_importance(line.transform, rows, ("x", "z"), "event_id")
+    return found.select("feature", (F.round("importance", 6) + 0.0).alias("importance"))
+
+
+PERMUTED = f"""with p as {POINTS}, n as (select greatest(1, (count(*)+4095)//4096) blocks from p), d as (select *, md5('42:'||event_id) digest from p),
+ b as (select *, ('0x'||substr(digest,1,8))::bigint % blocks block from d cross join n),
+ m as (select *, coalesce(lead(x) over w, first_value(x) over (partition by block order by digest, event_id rows between unbounded preceding and unbounded following)) nx from b window w as (partition by block order by digest, event_id)),
+ f as (select regr_intercept(target,x) i, regr_slope(target,x) s from p)
+ select 'x' feature, round(avg(abs(target-(i+s*nx)))-avg(abs(target-(i+s*x))),6) importance from m cross join f union all select 'z', 0.0::double"""
+
+
+def minority(r: Retail) -> DataFrame:
+    return points(r).filter("event_id % 5 = 0")
+
+
 def oversampled(r: Retail) -> DataFrame:
     rows = points(r).select("event_id", "x", "z", (F.col("event_id") % 5 == 0).cast("int").alias("target"))
     return features.oversample(rows, "target", ["x", "z"], "event_id").groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
@@ -367,6 +388,8 @@ query("m9_ensemble", f"select event_id, round((i+s*x+j+t*z)/2,4) prediction from
 query("m8_classifiers", f"select event_id, (x>=10)::int logistic, (x>=10)::int forest, (x>=10)::int boosted from {POINTS}")(lambda r: predicted_classes(r, parted(r)))
 query("m11_oversampled", "select (event_id%5=0)::int target, (select count(*) filter (event_id%5<>0) from ev) n, min(event_id%20)::double least, max(event_id%20)::double most from ev group by 1")(oversampled)
 query("m12_search", f"select event_id, round(i+s*x,4) prediction from {POINTS} cross join (select regr_intercept(target,x) i, regr_slope(target,x) s from {POINTS})")(searched)
+query("m11_nearest", "with p as (select event_id, event_id%20 x, event_id%7 z from ev where event_id%5=0) select event_id, row_number() over (partition by event_id order by distance, other)::int rank, other, distance from (select a.event_id, b.event_id other, ((a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z))::double distance from p a join p b on a.event_id<>b.event_id) qualify rank<=5")(lambda r: features.nearest_rows(minority(r), ["x", "z"], "event_id", 5))
+query("m13_permutation", PERMUTED)(permuted)
 query("m13_importance", "select 'x' feature, 1.0::double importance union all select 'z', 0.0")(most_important)
 query("m14_bundle", f"select event_id, (x>=10)::int predicted from {POINTS}")(bundled)
 query("m16_batch_churn", f"select event_id customer_id, 1 drug_id, (x>=10)::int predicted from {POINTS}")(batch_churn)
