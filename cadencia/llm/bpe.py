@@ -290,7 +290,7 @@ def piece_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def _pieces_of(own: DataFrame, pieces: DataFrame) -> DataFrame:
     """(block, used, pieces): the ids that a block uses and their pieces, from rows (block, own); at most as many as the vocabulary has."""
-    ids = own.select("block", F.explode("own").alias("id")).distinct()
+    ids = own.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")).select("block", F.explode("own").alias("id"))
     found = ids.join(F.broadcast(pieces), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("p"))
     return found.select("block", F.col("p.id").alias("used"), F.col("p.piece").alias("pieces"))
 
