@@ -3,39 +3,76 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadencia.functions import automaton
 from cadencia.functions import text as tx
 from cadencia.functions import vectors as vc
 
-#: Queries that meet the chunks in one pass: the broadcast side has at most this many rows.
-QUERY_BLOCK = 2_000
+#: Chunks that a task holds while the queries stream past them, and queries that meet them in one matrix product.
+BLOCK_CHUNKS, STREAM_QUERIES = 16_384, 256
+
+
+def _unit_rows(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, v): vectors of finite numbers that are not all zero, as doubles."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    return rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
 
 
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, vector: str) -> DataFrame:
-    """(query_id, rank, chunk_id, score): the k chunks of largest cosine for each query of a stated query set.
+    """(query_id, rank, chunk_id, score): the k chunks of largest cosine (six places, ties to the smaller id) for each query of a stated query set.
 
-    Up to QUERY_BLOCK queries are broadcast. More are dealt in blocks, and the chunks in slices; every block meets every slice in a
-    group of its own, so that no task holds all chunks.
+    Chunks are held in blocks of bounded size; all queries stream past each block in matrix products, and a block keeps k chunks of a query at most.
+    Vectors that are null or zero, or hold null or non-finite numbers, take no part; vectors meet those of their own dimension. Chunk ids are distinct.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), vc.normalized(F.col(vector)).alias("q"))
-    c = chunks.select(F.col(chunk_id).alias("chunk_id"), vc.normalized(F.col(vector)).alias("c"))
-    n = q.count()
-    if n <= QUERY_BLOCK:
-        pairs = c.crossJoin(F.broadcast(q))
-    else:
-        blocks = -(-n // QUERY_BLOCK)
-        dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        slices = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        sliced = c.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).withColumn("block", each(blocks))
-        pairs = sliced.join(dealt.withColumn("slice", each(slices)), ["block", "slice"])
-    scored = pairs.select("query_id", "chunk_id", F.round(vc.dot(F.col("q"), F.col("c")), 6).alias("score"))
+    q, c = _unit_rows(queries, query_id, vector), _unit_rows(chunks, chunk_id, vector)
+    partitions, n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), c.count()
+    blocks = max(1, -(-n // BLOCK_CHUNKS), min(partitions, -(-n // 512)))
+    size = F.size("v").alias("dim")
+    none = lambda df: F.lit(None).cast(df.schema["id"].dataType)
+    held = c.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), size, F.lit(0).alias("role"), none(q).alias("query_id"), F.col("id").alias("chunk_id"), "v")
+    asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), size, F.lit(1).alias("role"), F.col("id").alias("query_id"), none(c).alias("chunk_id"), "v")
+
+    def unit(b: pa.RecordBatch, dim: int) -> np.ndarray:
+        v = b.column("v").flatten().to_numpy().reshape(b.num_rows, dim)
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+        return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, own = None, [], None
+        for whole in batches:
+            for a in range(0, whole.num_rows, STREAM_QUERIES):
+                b = whole.slice(a, STREAM_QUERIES)
+                place = np.column_stack([b.column(c).to_numpy() for c in ("block", "dim", "role")])
+                cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                    block, dim, role = place[lo].tolist()
+                    if (block, dim) != now:
+                        now, parts, own = (block, dim), [], None
+                    rows = b.slice(lo, hi - lo)
+                    if role == 0:
+                        parts.append((rows.column("chunk_id"), unit(rows, dim)))
+                        continue
+                    if own is None:
+                        if not parts:
+                            continue
+                        own = pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    score = np.rint(unit(rows, dim) @ own[1].T * 1e6) / 1e6
+                    # a block's chunks come in the order of their ids: a stable sort breaks ties by id
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    i = np.repeat(np.arange(hi - lo), best.shape[1])
+                    yield pa.RecordBatch.from_arrays([rows.column("query_id").take(pa.array(i)), own[0].take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel() + 0.0)], names=["query_id", "chunk_id", "score"])
+
+    dealt = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "dim", "role", "chunk_id", "query_id")
+    found = dealt.mapInArrow(run, T.StructType([T.StructField("query_id", held.schema["query_id"].dataType), T.StructField("chunk_id", held.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())]))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
 def words(c: Column) -> Column:

@@ -564,6 +564,26 @@ def model_decisions(r: Retail) -> DataFrame:
 query("m15_model_decisions")(model_decisions)
 
 
+def line_decisions(r: Retail) -> DataFrame:
+    """A straight line from the mean gap to the next one, and a forest that has learned "ten days or more": both have closed forms."""
+    from cadencia.operators import models
+
+    rows, c, d = bought(r), r.customers(), r.drugs()
+    line = models.fit(features.cycle_training(rows, c, d).fillna(0.0), ("avg_cycle_days",), models.regressors()["linear"], groups=())
+    learned = r.events().select((F.col("event_id") % 20).cast("double").alias("days_since_last")).withColumn("target", (F.col("days_since_last") >= 10).cast("double"))
+    bundle = models.tuned_bundle(models.fit(learned, ("days_since_last",), models.classifiers(5)["forest"], groups=()), learned)
+    serve = features.serving(rows, c, d, AS_OF)
+    return models.evaluate(models.predict_cycles(line, serve, AS_OF), models.predict_churn(bundle, serve))
+
+
+query("m15_line_decisions", f"""with t as (select max(gap) filter (k=1) target, coalesce(avg(gap) filter (k>1),0) m from {ORDERED} join drugs using(drug_id) join customer on c_custkey=customer_id where c>=3 group by customer_id, drug_id),
+ f as (select regr_intercept(target,m) i, regr_slope(target,m) s from t),
+ v as (select customer_id, drug_id, coalesce(avg(gap),max(default_cycle_days))::double m, {D}-max(order_date) since, count(*)<2 cold from gaps join drugs using(drug_id) group by 1,2),
+ p as (select *, greatest(1.0::double, round_even(i+s*m,1)) predicted_days, case when cold then .40::double when m>0 then round(greatest(0.0::double,least(1.0::double,1-3.27::double/m)),3) else .50::double end confidence, (since>=10)::int predicted from v cross join f)
+ select customer_id, drug_id, predicted_days, ({D}+round_even(predicted_days,0)::int)::date next_date, confidence, predicted::double churn, predicted, case when predicted=1 then 'high' else 'low' end tier,
+ case when predicted=1 then 'human_review' when confidence>=.80 then 'auto_send' when confidence>=.50 then 'human_review' else 'cold_start' end decision, case when predicted=1 then 'human_review' else 'auto_send' end churn_action from p""")(line_decisions)
+
+
 def streamed(r: Retail, job) -> DataFrame:
     """The events folder read as a stream of one file, run through a job until it is empty."""
     out = scratch.new_path(r.spark, "stream")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -30,11 +32,20 @@ def test_nearest_rank_equals_sorted_list(spark, values):
     assert (row.p50, row.p95) == (at(0.5), at(0.95))
 
 
-def test_queries_in_blocks_equal_one_broadcast(spark, monkeypatch):
-    rows = spark.range(60).select("id", F.array(*(F.sin(F.col("id") * k).cast("double") for k in (1, 2, 3)), F.lit(0.5)).alias("v"))
-    whole = retrieval.dense_top_k(rows.filter("id % 4 = 0"), rows, 3, "id", "id", "v").collect()
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
-    assert sorted(whole) == sorted(retrieval.dense_top_k(rows.filter("id % 4 = 0"), rows, 3, "id", "id", "v").collect())
+def test_chunks_in_blocks_equal_brute_force(spark, monkeypatch):
+    """Ties go to the smaller id; vectors without a direction take no part; those of another dimension are apart."""
+    monkeypatch.setattr(retrieval, "BLOCK_CHUNKS", 7)
+    monkeypatch.setattr(retrieval, "STREAM_QUERIES", 3)
+    vectors = {i: [math.sin(i % 50 * k) for k in (1, 2, 3)] + [0.5] for i in range(60)}
+    odd = [(100, None), (101, [0.0] * 4), (102, [float("nan")] * 4), (103, [None] * 4), (104, [1e300] * 4), (105, [1.0, 2.0]), (106, [2.0, 4.0]), (107, [])]
+    rows = spark.createDataFrame([*vectors.items(), *odd], "id long, v array<double>")
+    vectors |= {104: [1.0] * 4}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
+    got: dict = {}
+    for r in retrieval.dense_top_k(rows.filter("id % 4 = 0 or id > 100"), rows, 3, "id", "id", "v").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["score"], 6)))
+    want = {q: [(i, -s) for s, i in sorted((-round(float(unit[q] @ u), 6), i) for i, u in unit.items())[:3]] for q in unit if q % 4 == 0 or q > 100}
+    assert {q: got[q] for q in want} == want and set(got) == {*want, 105, 106} and got[105] == [(105, 1.0), (106, 1.0)]
 
 
 def test_long_session_keeps_signed_rows(spark):
