@@ -35,8 +35,8 @@ SAMPLE, MOST_WORDS = 16_384, 1_024
 #: Share of the links that the traversal must reach on the sample.
 RECALL = 0.9995
 BLOCK_ROWS, VISITOR_ROWS = 2_048, 65_536
-#: Vectors that a cell should hold about.
-CELL_ROWS = 48
+#: Vectors that a cell should hold about, and cells that a vector may visit on average: beyond that, cells are made coarser, so that rows sent grow with the vectors only.
+CELL_ROWS, MOST_VISITS = 48, 32
 _EDGE = 1e-9
 
 
@@ -122,6 +122,14 @@ def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = RECALL)
     """The grid for `rows` vectors of the sample's dimension."""
     x = unit(sample)
     words = int(np.clip(2 ** round(np.log2(max(1.0, rows / CELL_ROWS)) / 2), 1, min(MOST_WORDS, max(1, len(x) // 16))))
+    while True:
+        grid = _fitted(x, words, threshold, recall)
+        if words == 1 or np.mean([len(v) for v in grid.visits(x[:1_024])[1]]) <= MOST_VISITS:
+            return grid
+        words //= 2
+
+
+def _fitted(x: np.ndarray, words: int, threshold: float, recall: float) -> Grid:
     cut = x.shape[1] // 2
     grid = Grid(codebook(x[:, :cut], words), codebook(x[:, cut:], words))
     allowed = 2 - 2 * threshold

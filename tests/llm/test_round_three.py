@@ -191,6 +191,14 @@ def test_bounds_are_lower_bounds():
     assert (grid.reach(x[i], x[j]) <= ((x[i] - x[j]) ** 2).sum(1) + 1e-9).all()
 
 
+def test_cells_are_coarser_where_vectors_would_visit_many(monkeypatch):
+    monkeypatch.setattr(multiindex, "MOST_VISITS", 10)
+    x = np.random.default_rng(9).standard_normal((3_000, 16))
+    fine, bound = multiindex._fitted(multiindex.unit(x), 64, 0.95, multiindex.RECALL), multiindex.MOST_VISITS
+    visits = lambda g: np.mean([len(v) for v in g.visits(multiindex.unit(x)[:1_024])[1]])
+    assert visits(fine) > bound >= visits(multiindex.fit(x, 64 * 64 * multiindex.CELL_ROWS, 0.95))
+
+
 def test_multi_index_odd_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert multiindex.embedding_duplicates(none).count() == 0
