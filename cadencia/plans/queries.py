@@ -590,6 +590,7 @@ def streamed(r: Retail, job) -> DataFrame:
     batch = r.raw("events")
     stream = r.spark.readStream.schema(batch.schema).parquet(f"{r.sf_dir}/events.parquet*").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.col("props").alias("payload"))
     job(stream).writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    scratch.delete(r.spark, f"{out}/state")
     return r.spark.read.parquet(f"{out}/data")
 
 
@@ -614,8 +615,11 @@ def replayed(r: Retail, job, batches: int = 3, batch=None) -> DataFrame:
     out = job(stream).writeStream.option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
     if batch is not None:
         out.outputMode("update").foreachBatch(batch).start().awaitTermination()
+        scratch.delete(r.spark, home)
         return r.spark.range(0)
     out.outputMode("append").format("parquet").option("path", f"{home}/data").start().awaitTermination()
+    for done in ("in", "state"):
+        scratch.delete(r.spark, f"{home}/{done}")
     return r.spark.read.parquet(f"{home}/data")
 
 
