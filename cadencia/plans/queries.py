@@ -161,7 +161,7 @@ query("j17_around_moment", "select customer_id, drug_id, max(order_date) filter
 query("j20_order_view", "select order_id, customer_id, order_date, status, channel, coalesce(sum(amount),0)::decimal(20,2) total, count(line)::int n_items, string_agg(line||'x'||quantity, ',' order by line, part_id, supplier_id, ship_date) as lines from ord left join items using(order_id) group by 1,2,3,4,5")(
     lambda r: lookups.order_view(r.orders(), r.items(), r.drugs()).withColumn("lines", F.when(F.col("n_items") > 0, F.array_join(F.transform("items", lambda i: F.concat(i["line"].cast("string"), F.lit("x"), i["quantity"].cast("string"))), ","))).drop("items")
 )
-query("l1_safe_sort", "select drug_id, name, base_price from drugs order by base_price desc, drug_id limit 7")(lambda r: lookups.safe_sort(r.drugs(), "base_price", True, ("name", "base_price", "default_cycle_days"), "drug_id").select("drug_id", "name", "base_price").limit(7))
+query("l1_safe_sort", "select drug_id, name, base_price from drugs order by base_price desc, drug_id")(lambda r: lookups.safe_sort(r.drugs(), "base_price", True, ("name", "base_price", "default_cycle_days"), "drug_id").select("drug_id", "name", "base_price"))
 query("l2_page", "select order_id, (select count(*) from ord where status='pending') total from ord where status='pending' order by order_date desc, order_id limit 20 offset 40")(lambda r: lookups.page(r.orders().filter("status = 'pending'").select("order_id", "order_date"), 3, 20, F.desc("order_date"), "order_id").select("order_id", "total"))
 query("l2_keyset_page", "select order_id from ord where order_id>100 order by order_id limit 20")(lambda r: lookups.page_after(r.orders().select("order_id"), 20, "order_id", 100))
 query("l4_recommended", "select drug_id, source, value from (select drug_id, 0 source, score::double value from (select b drug_id, max(confidence) score from affinities group by 1) order by score desc, drug_id limit 4)")(lambda r: baskets.recommended(baskets.affinities(r.items()), r.drugs()))

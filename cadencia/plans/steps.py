@@ -164,8 +164,8 @@ query("f23_labelled_field", "select p_partkey, p_name as name, p_size::varchar a
 )
 query("f24_canonical_pairs", "select distinct least(part_id, supplier_id) a, greatest(part_id, supplier_id) b from items")(lambda r: r.items().select(*baskets.canonical("part_id", "supplier_id")).distinct())
 KEYS = ("than", "that", "thing")
-query("f25_keywords", "select conv_id, turn, " + " or ".join(f"contains(lower(text),'{k}')" for k in KEYS) + " found, " + "+".join(f"contains(lower(text),'{k}')::int" for k in KEYS) + " n, array_to_string([w for w in regexp_split_to_array(text,'\\s+') if w<>''][-3:],' ') tail from turns where text is not null")(
-    lambda r: r.conversations().filter("text is not null").select("conv_id", "turn", tx.contains_any(F.lower("text"), KEYS).alias("found"), tx.count_words(F.lower("text"), KEYS).alias("n"), F.array_join(tx.last_words(F.col("text"), 3), " ").alias("tail"))
+query("f25_keywords", "select conv_id, turn, " + " or ".join(f"contains(lower(text),'{k}')" for k in KEYS) + " found, " + "+".join(f"contains(lower(text),'{k}')::int" for k in KEYS) + " n, array_to_string([w for w in regexp_split_to_array(text,'\\s+') if w<>''][-3:],' ') tail from turns")(
+    lambda r: r.conversations().select("conv_id", "turn", tx.contains_any(F.lower("text"), KEYS).alias("found"), tx.count_words(F.lower("text"), KEYS).alias("n"), F.array_join(tx.last_words(F.col("text"), 3), " ").alias("tail"))
 )
 
 # ---- decisions -------------------------------------------------------------------------------------------------------------------
