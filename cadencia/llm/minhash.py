@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadencia.llm import common, prefixes
-from cadencia.llm.components import connected_components
+from cadencia.llm.components import connected_components, extended
 
 WORDS = 5
 SIMILARITY = 75  # per cent
@@ -235,12 +235,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _hub_pairs(classes: DataFrame, tried: DataFrame) -> DataFrame:
-    """(a, b): ends of near misses against the most typical members of the component on the other side.
+def _hub_pairs(classes: DataFrame, tried: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): ends of near misses against the most typical members of the component on the other side; known is (id, component) by the links of tried.
 
     A member is as typical as its band hashes are frequent in its component.
     """
-    known = connected_components(tried.filter("linked").select("a", "b"))
     known = common.materialize(known.unionByName(known.select(F.col("component").alias("id"), "component").distinct()), "known")
     side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     misses = tried.filter(~F.col("linked")).join(side("a"), "a", "left").join(side("b"), "b", "left")
@@ -255,9 +254,8 @@ def _hub_pairs(classes: DataFrame, tried: DataFrame) -> DataFrame:
     return asks.join(hubs, "component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs whose ends are not connected by the links so far."""
-    known = connected_components(links)
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components of known."""
     left = pairs.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
     both = left.join(known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "shared")
@@ -273,7 +271,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mates = keep(_mates(classes, width, neighbours), "mates")
         pairs = keep(_pairs(mates), "pairs")
         sets = keep(_sets(df, id_col, text_col, mates.select("id").distinct(), words), "sets")
-        tried, left = None, pairs
+        tried, known, left = None, None, pairs
         # first the likeliest partner of each class, then a few, then whatever is not connected by then, then typical members
         for most in (1, 4, None):
             turn = left
@@ -283,20 +281,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 turn, left = ranked.filter(F.col("nth") <= most), ranked.filter(F.col("nth") > most).select("a", "b", "shared")
             found = keep(_compared(turn.select("a", "b"), sets, per_cent), "tried")
             tried = found if tried is None else tried.unionByName(found)
+            linked = found.filter("linked").select("a", "b")
+            known = connected_components(linked) if known is None else extended(known, linked)
             if most is not None:
-                left = keep(_apart(left, tried.filter("linked")), "left")
+                left = keep(_apart(left, known), "left")
         # whoever stands in a near miss or a component has a neighbour, so the sets are known
-        links = tried.unionByName(_compared(_hub_pairs(classes, tried), sets, per_cent)).filter("linked").select("a", "b")
-        links = keep(links, "links")
+        known = extended(known, keep(_compared(_hub_pairs(classes, tried, known), sets, per_cent).filter("linked").select("a", "b"), "links"))
         # what neighbours, outlines and typical members missed
-        known = connected_components(links)
         apart = sets.join(keep(_mixed(mates, known), "mixed"), "id", "left_semi")
         verify = lambda some: _compared(some, sets, per_cent).filter("linked").select("a", "b")
         known = prefixes.connect(keep(_tokens(apart), "tokens"), known, verify, per_cent, keep)
-        links = known.select(F.col("component").alias("a"), F.col("id").alias("b"))
         # rows that share an id are one node: their classes are linked too
         twins = full.join(heads, ["f1", "f2", "n_shingles"]).filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
-        component = connected_components(links.unionByName(_repeated(twins)))
+        component = extended(known, _repeated(twins))
     placed = sketches.join(heads, ["f1", "f2", "n_shingles"], "left").withColumn("node", F.coalesce("head", "id"))
     out = placed.join(component.select(F.col("id").alias("node"), "component"), "node", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "node"))

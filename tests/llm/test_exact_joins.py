@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cadencia.llm import bpe, common, linededup, neighbours, prefixes, secrets, tokens
-from cadencia.llm.components import connected_components
+from cadencia.llm.components import connected_components, extended
 
 
 def jaccard(p, q):
@@ -123,3 +123,22 @@ def test_pipeline_keeps_the_callers_values(spark, sf_dir):
     good = corpus_pipeline.keep_good(spark, docs, sf_dir)
     assert set(own(good)) <= set(own(docs))
     assert {r.score for r in docs.filter(F.col("doc_id") == 1).collect()} == {0.25}
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_links_extend_components_without_a_new_start(spark):
+    rng = random.Random(3)
+    first = [(i, i + 1) for i in range(0, 400) if i % 40 != 39]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(6)] + [(900, 17), (901, 902)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    as_set = lambda df: sorted((r.id, r.component) for r in df.collect())
+    known, full = jobs_of(spark, "components-full", lambda: connected_components(frame(first)))
+    assert as_set(extended(known, frame(more))) == as_set(connected_components(frame(first + more)))
+    again, fewer = jobs_of(spark, "components-again", lambda: extended(known, frame([(0, 30), (85, 81)])))
+    assert as_set(again) == as_set(known) and 3 * fewer < full
