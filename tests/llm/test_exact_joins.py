@@ -142,3 +142,14 @@ def test_links_extend_components_without_a_new_start(spark):
     assert as_set(extended(known, frame(more))) == as_set(connected_components(frame(first + more)))
     again, fewer = jobs_of(spark, "components-again", lambda: extended(known, frame([(0, 30), (85, 81)])))
     assert as_set(again) == as_set(known) and 3 * fewer < full
+
+
+def test_minhashes_by_runs_are_those_of_all_windows(spark):
+    texts = ["x" * 24, "0123456789" * 7, "甲乙丙丁戊己庚辛壬癸" * 3 + "子", "one line of ordinary words, no more", "𝄞𝄟" * 15]
+    rows = spark.createDataFrame([(i, t + "z" * (i % 4)) for i, t in enumerate(texts)], "doc long, text string")
+    occurrences = linededup._occurrences(rows, "doc", "text", 24)
+    one = {r["node"]: r for r in occurrences.withColumn("h", linededup._windows(F.col("line"))).collect()}
+    classes = linededup._classes(occurrences).collect()
+    assert len(classes) == len(one) == 5
+    for c in classes:
+        assert [c[f"v{k}"] for k in range(linededup.HASHES)] == [min(h ^ m for h in one[c["node"]]["h"]) for m in linededup.MASKS] and c["times"] == 1
