@@ -153,3 +153,38 @@ def test_minhashes_by_runs_are_those_of_all_windows(spark):
     assert len(classes) == len(one) == 5
     for c in classes:
         assert [c[f"v{k}"] for k in range(linededup.HASHES)] == [min(h ^ m for h in one[c["node"]]["h"]) for m in linededup.MASKS] and c["times"] == 1
+
+
+def unlike_lines_of_common_bands(rng, groups, members):
+    """Lines of groups that have half their windows in common, and so many bands, and no two of which are similar."""
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    return [f"{base} {word(60)}" for base in (word(120) for _ in range(groups)) for _ in range(members)]
+
+
+def test_bands_of_some_lines_are_not_dealt_anew(spark):
+    lines = unlike_lines_of_common_bands(random.Random(8), 3, 40)
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc long, text string")
+    with common.scratch() as keep:
+        made = {}
+        counted = lambda df, name: made.setdefault(name, keep(df, name))
+        classes = counted(linededup._classes(linededup._occurrences(rows, "doc", "text", 24)), "lines")
+        assert linededup._bands(classes).groupBy("band").count().filter("count > 8").count() > 3
+        pairs, large = linededup._pairs(classes, counted)
+        assert pairs.count() > 0 and large.count() == 0
+        assert made["deeper"].count() == 0 and made["deeper-crowded"].count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"MANY": 1}, {"SMALL": 6, "SMALLER": 4, "MANY": 2}])
+def test_ways_of_pairs_equal_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(linededup, name, value)
+    rng = random.Random(21)
+    lines = unlike_lines_of_common_bands(rng, 2, 25)
+    lines += [x[:k] + "#" + x[k:] for x in lines[::3] for k in (0, 70)] + ["the same line " * 9 + "x", "the same line " * 30 + "x", "the same " * 30 + "but for the end of it all, which is another"]
+    of = line_components(lines)
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    least = {}
+    for i, line in enumerate(lines):
+        least.setdefault(of[line], i)
+    dropped = {r.doc for r in linededup.find_repeats(rows).collect()}
+    assert dropped == {i for i, line in enumerate(lines) if least[of[line]] != i} and len(dropped) > 20
