@@ -188,3 +188,26 @@ def test_ways_of_pairs_equal_brute_force(spark, monkeypatch, limits):
         least.setdefault(of[line], i)
     dropped = {r.doc for r in linededup.find_repeats(rows).collect()}
     assert dropped == {i for i, line in enumerate(lines) if least[of[line]] != i} and len(dropped) > 20
+
+
+def test_filter_of_wanted_values_lets_few_others_pass(spark):
+    wanted = spark.range(0, 2_000_000, 100).withColumnRenamed("id", "node")
+    left = linededup._likely(spark.range(200_000).withColumnRenamed("id", "node"), "node", wanted)
+    assert left.join(wanted, "node").count() == 2000 and left.count() < 3000
+
+
+def test_crowded_copies_meet_their_centre_in_few_rows(spark, monkeypatch):
+    for name, value in {"SMALL": 6, "SMALLER": 4}.items():
+        monkeypatch.setattr(linededup, name, value)
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    # each copy has three changes of its own
+    lines = [base] + ["".join(rng.choice("0123456789") if k in at else x for k, x in enumerate(base)) for at in (rng.sample(range(20, 380), 3) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc long, text string")
+    with common.scratch() as keep:
+        made = {}
+        counted = lambda df, name: made.setdefault(name, keep(df, name))
+        pairs, large = linededup._pairs(counted(linededup._classes(linededup._occurrences(rows, "doc", "text", 24)), "lines"), counted)
+        assert made["dealt-anew"].count() == (linededup.HASHES - 2) * made["signed"].count() > 0 and large.count() > 0
+        ends = [x for r in pairs.filter("centred").collect() for x in (r.a, r.b)]
+        assert max(map(ends.count, ends)) > 30
