@@ -211,3 +211,26 @@ def test_crowded_copies_meet_their_centre_in_few_rows(spark, monkeypatch):
         assert made["dealt-anew"].count() == (linededup.HASHES - 2) * made["signed"].count() > 0 and large.count() > 0
         ends = [x for r in pairs.filter("centred").collect() for x in (r.a, r.b)]
         assert max(map(ends.count, ends)) > 30
+
+
+@pytest.mark.parametrize("limits", [{}, {"MANY": 1}, {"SMALL": 6, "SMALLER": 4, "MANY": 2}])
+def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(linededup, name, value)
+    compared, verified = [], linededup._verified
+
+    def counted(pairs, texts, per_cent, *more):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return verified(pairs, texts, per_cent, *more)
+
+    monkeypatch.setattr(linededup, "_verified", counted)
+    rng = random.Random(21)
+    lines = unlike_lines_of_common_bands(rng, 2, 25)
+    lines += [x[:k] + "#" + x[k:] for x in lines[::3] for k in (0, 70)]
+    of = line_components(lines)
+    least = {}
+    for i, line in enumerate(lines):
+        least.setdefault(of[line], i)
+    dropped = {r.doc for r in linededup.find_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert dropped == {i for i, line in enumerate(lines) if least[of[line]] != i}
+    assert compared and len(compared) == len(set(compared))
