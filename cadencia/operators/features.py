@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadencia.operators import cycles
@@ -89,19 +90,24 @@ def flip_labels(rows: DataFrame, label: str, share: float, *keys: str, seed: int
 BLOCK_ROWS, STREAM_ROWS = 8_192, 256
 
 
-def nearest_rows(rows: DataFrame, features: list[str], key: str, k: int) -> DataFrame:
-    """(key, rank, other, distance): the k nearest other rows of each row, by squared Euclidean distance of the features and then by key.
+def _with_nearest(rows: DataFrame, features: list[str], key: str, k: int) -> DataFrame:
+    """(key, features, near): each row with its k nearest others (distance, other), by squared Euclidean distance of the features and then by key.
 
-    Exact: rows are held in blocks of bounded size and all rows stream past each block, which keeps k of them at most. Rows with a null or non-finite feature or a null key take no part.
+    Exact. Rows of equal features have the same nearest rows but for themselves, so lists of k + 1 are found once for each place. Of a place only the k + 1 smallest keys can be on
+    one. Places are held in blocks of bounded size and all places stream past each block, which keeps k + 1 rows of them at most. Rows with a null or non-finite feature or a
+    null key take no part. Keys are distinct.
     """
-    finite = " and ".join(f"`{f}` is not null and not isnan(`{f}`) and abs(`{f}`) < double('infinity')" for f in features)
-    used = rows.select(key, *(F.col(f).cast("double").alias(f) for f in features)).filter(finite).filter(F.col(key).isNotNull())
-    partitions, n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), used.count()
+    doubles = [F.col(f).cast("double") for f in features]
+    finite = [d.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf")) for d in doubles]
+    # the sum makes one zero of both
+    used = rows.filter(F.col(key).isNotNull() & reduce(Column.__and__, finite)).select(key, *features, F.array(*(d + F.lit(0.0) for d in doubles)).alias("__v"))
+    first = Window.partitionBy("__v").orderBy("id")
+    shaped = used.select(F.col(key).alias("id"), "__v").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k + 1)
+    partitions, n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), shaped.count()
     blocks = max(1, -(-n // BLOCK_ROWS), min(partitions, -(-n // 512)))
     kind = used.schema[key].dataType.simpleString()
-    shaped = used.select(F.col(key).alias("id"), F.array(*features).alias("v"))
-    held = shaped.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
-    asked = shaped.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "id", "v")
+    held = shaped.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("role"), "id", "__v")
+    asked = shaped.filter("nth = 1").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("role"), "id", "__v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, own = None, [], None
@@ -109,7 +115,7 @@ def nearest_rows(rows: DataFrame, features: list[str], key: str, k: int) -> Data
             for a in range(0, whole.num_rows, STREAM_ROWS):
                 b = whole.slice(a, STREAM_ROWS)
                 block, role, ids = b.column("block").to_numpy(), b.column("role").to_numpy(), b.column("id").to_numpy(zero_copy_only=False)
-                v = b.column("v").flatten().to_numpy().reshape(b.num_rows, len(features))
+                v = b.column("__v").flatten().to_numpy().reshape(b.num_rows, len(features))
                 cuts = np.flatnonzero((block[1:] != block[:-1]) | (role[1:] != role[:-1])) + 1
                 for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
                     if block[lo] != now:
@@ -124,17 +130,26 @@ def nearest_rows(rows: DataFrame, features: list[str], key: str, k: int) -> Data
                     apart = np.zeros((hi - lo, len(own[0])))
                     for f in range(len(features)):  # one feature after the other, so that sums are the same wherever a row stands
                         apart += (v[lo:hi, f, None] - own[1][None, :, f]) ** 2
-                    apart[ids[lo:hi, None] == own[0][None, :]] = np.inf
                     # rows of a block come in the order of their keys: a stable sort breaks ties by key
-                    best = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                    best = np.argsort(apart, axis=1, kind="stable")[:, : k + 1]
                     d = np.take_along_axis(apart, best, axis=1)
                     i, j = np.nonzero(np.isfinite(d))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][i], b.column("id").type), pa.array(own[0][best[i, j]], b.column("id").type), pa.array(d[i, j])], names=["id", "other", "distance"])
+                    place = b.column("__v").slice(lo, hi - lo).take(pa.array(i))
+                    yield pa.RecordBatch.from_arrays([place, pa.array(d[i, j]), pa.array(own[0][best[i, j]], b.column("id").type)], names=["__v", "distance", "other"])
 
     dealt = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "role", "id")
-    found = dealt.mapInArrow(run, f"id {kind}, other {kind}, distance double")
-    best = Window.partitionBy("id").orderBy("distance", "other")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "other", "distance")
+    found = dealt.mapInArrow(run, f"__v array<double>, distance double, other {kind}")
+    best = Window.partitionBy("__v").orderBy("distance", "other")
+    kept = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
+    lists = kept.groupBy("__v").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("near"))
+    others = F.filter("near", lambda x: x["other"] != F.col(key))
+    return used.join(lists, "__v").select(key, *features, F.slice(others, 1, k).alias("near"))
+
+
+def nearest_rows(rows: DataFrame, features: list[str], key: str, k: int) -> DataFrame:
+    """(key, rank, other, distance): the k nearest other rows of each row, as told above."""
+    near = _with_nearest(rows, features, key, k).select(key, F.posexplode("near").alias("rank", "x"))
+    return near.select(key, (F.col("rank") + 1).alias("rank"), "x.other", "x.distance")
 
 
 def oversample(train: DataFrame, label: str, features: list[str], key: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -148,10 +163,8 @@ def oversample(train: DataFrame, label: str, features: list[str], key: str, k: i
         return train.select(label, *features)
     small = min(counts, key=counts.get)
     rows = train.filter(F.col(label) == small)
-    near = nearest_rows(rows, features, key, max(1, min(k, counts[small] - 1)))
-    lists = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("near"))
-    able = rows.select(key, *features).join(lists, key).withColumn("__all", F.lit(1))
-    n, missing = lists.count(), max(counts.values()) - counts[small]
+    able = _with_nearest(rows, features, key, max(1, min(k, counts[small] - 1))).filter(F.size("near") > 0).withColumn("__all", F.lit(1))
+    n, missing = able.count(), max(counts.values()) - counts[small]
     if n == 0:
         return train.select(label, *features)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))

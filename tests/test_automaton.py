@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -87,6 +89,20 @@ def test_nearest_rows_equal_brute_force(spark, monkeypatch):
     assert got == brute_nearest(points, 4)
 
 
+def test_nearest_rows_of_many_rows_in_few_places(spark):
+    """More rows of a place than are asked for, in less time than all pairs of rows take."""
+    rows = spark.range(150_000).select("id", (F.col("id") % 4).alias("x"), F.when(F.col("id") % 7 == 0, -0.0).otherwise(F.col("id") % 3 * 1.0).alias("y"))
+    began = time.monotonic()
+    near = features.nearest_rows(rows, ["x", "y"], "id", 3).cache()
+    assert near.count() == 450_000 and time.monotonic() - began < 60
+    points = {r["id"]: (float(r["x"]), r["y"]) for r in rows.filter("id < 200 or id > 149900").collect()}
+    few = {i: p for i, p in points.items() if i < 200}
+    got: dict = {}
+    for r in near.filter("id < 60 or id > 149990").orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["other"], r["distance"]))
+    assert got == {i: brute_nearest({**few, i: points[i]}, 3)[i] for i in got} and len(got) == 69
+
+
 def test_oversampling_stands_between_nearest_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(i, float(a), float(b), int(i < 23)) for i, (a, b) in enumerate(rng.integers(0, 40, (150, 2)))]
