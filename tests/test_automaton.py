@@ -119,6 +119,13 @@ def test_oversampling_stands_between_nearest_rows(spark):
     assert features.oversample(lone, "target", ["x"], "id").count() == 3
 
 
+def test_oversampling_of_many_rows_in_few_places(spark):
+    rows = spark.range(400_000).select("id", (F.col("id") % 4 * 1.0).alias("x"), (F.col("id") % 8 < 3).cast("int").alias("target"))
+    began = time.monotonic()
+    got = {r["target"]: r["n"] for r in features.oversample(rows, "target", ["x"], "id", 3).groupBy("target").agg(F.count("x").alias("n")).collect()}
+    assert got == {0: 250_000, 1: 250_000} and time.monotonic() - began < 60
+
+
 def test_permutation_importance_of_a_known_rule(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((3_000, 3))
