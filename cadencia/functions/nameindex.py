@@ -7,17 +7,22 @@ beats every bound that is left: nothing that belongs to the best k is missed.
 
 Partial ratios of a portion are computed for all windows at once, with the common subsequence in the bits of 64-bit words; texts
 of more than 63 characters go through Python integers.
+
+Where only names above a score count, the common subsequence of the query with each whole name, in the bits of a word for each name, tells which can reach it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 
 from cadencia.functions import similarity as sm
 
 _WORD_BITS = 63
+#: Names of up to so many letters are met a letter at a time; so many letters' bits are held at once.
+_LONG, _LETTERS = 64, 256
 _WINDOWS = 400_000
 _ONE = np.uint64(1)
 
@@ -27,6 +32,10 @@ def _features(text: str) -> list[tuple]:
     return [(f, i) for f, n in (Counter(text) + Counter(a + b for a, b in zip(text, text[1:], strict=False))).items() for i in range(n)]
 
 
+def _head(text: str) -> str:
+    return (text.split() or [""])[0]
+
+
 def _joined(text: str) -> str:
     return " ".join(sorted(set(text.split())))
 
@@ -40,15 +49,62 @@ class NameIndex:
         self.flat = np.array([self.letters.setdefault(c, len(self.letters) + 1) for x in self.names for c in x] + [0], np.int64)
         self.set_size = np.array([len(_joined(x)) for x in self.names], np.float64)
         self.spaces = np.array([max(len(set(x.split())) - 1, 0) for x in self.names], np.float64)
-        self.postings: dict[tuple, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.head = np.array([len(_head(x)) for x in self.names], np.int64)
+        self._bits: dict[str, np.ndarray] = {}
+        self._least: dict[tuple, np.ndarray] = {}
+
+    @cached_property
+    def postings(self) -> dict[tuple, np.ndarray]:
+        made: dict[tuple, list[int]] = {}
         for i, x in enumerate(self.names):
             for f in _features(x):
-                self.postings.setdefault(f, []).append(i)
+                made.setdefault(f, []).append(i)
+        return {f: np.array(p, np.int32) for f, p in made.items()}
+
+    @cached_property
+    def words(self) -> dict[str, np.ndarray]:
+        made: dict[str, list[int]] = {}
+        for i, x in enumerate(self.names):
             for w in set(x.split()):
-                self.words.setdefault(w, []).append(i)
-        self.postings = {f: np.array(p, np.int32) for f, p in self.postings.items()}
-        self.words = {w: np.array(p, np.int32) for w, p in self.words.items()}
+                made.setdefault(w, []).append(i)
+        return {w: np.array(p, np.int32) for w, p in made.items()}
+
+    @cached_property
+    def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By letters: (where those of each letter begin, their names, their places in the names), without names that a word cannot hold; the type of the word."""
+        short = self.size <= _LONG
+        owner = np.repeat(np.arange(len(self.names)), self.size)
+        at = np.arange(len(owner)) - self.first[owner]
+        some = np.flatnonzero(short[owner])
+        some = some[np.argsort(self.flat[some], kind="stable")]
+        begin = np.searchsorted(self.flat[some], np.arange(len(self.letters) + 2))
+        word = np.uint32 if self.size[short].max(initial=0) <= 32 else np.uint64
+        return begin, owner[some], at[some], word
+
+    def _letter_bits(self, letter: str) -> np.ndarray:
+        """For each name the places of the letter, as bits."""
+        if letter not in self._bits:
+            begin, owner, at, word = self._places
+            a, b = begin[self.letters[letter]], begin[self.letters[letter] + 1]
+            out = np.zeros(len(self.names), word)
+            np.bitwise_or.at(out, owner[a:b], word(1) << at[a:b].astype(word))
+            if len(self._bits) >= _LETTERS:
+                self._bits.clear()
+            self._bits[letter] = out
+        return self._bits[letter]
+
+    def common(self, query: str) -> np.ndarray:
+        """The length of the longest common subsequence with each name, all names a letter of the query at a time; for names that a word cannot hold, no less."""
+        word = self._places[3]
+        row, hit = np.full(len(self.names), ~word(0)), np.empty(len(self.names), word)
+        for c in query:
+            if c in self.letters:
+                np.bitwise_and(row, self._letter_bits(c), out=hit)
+                rest = row - hit
+                row += hit
+                row |= rest
+        full = np.where(self.size >= 8 * row.itemsize, ~word(0), (word(1) << np.minimum(self.size, 8 * row.itemsize - 1).astype(word)) - word(1))
+        return np.where(self.size <= _LONG, np.bitwise_count(~row & full), np.minimum(self.size, len(query)))
 
     def _shared(self, lists: list[np.ndarray], weights: list[float] | None = None) -> np.ndarray:
         n = len(self.names)
@@ -133,6 +189,33 @@ class NameIndex:
                     out[part] = np.maximum(out[part], way(query, rows[part]))
         return out
 
+    def reaching(self, query: str, k: int, least: float, head: float, may) -> tuple[list[tuple[float, str]], bool]:
+        """The k best (score, name) of those that score `least` or more, without a score for most others; whether a name may(query, name) is among the
+        others whose first words have a ratio of `head` or more.
+
+        A window's common subsequence, and that of the first words, are no longer than that of both whole names, and so are the token sets' of single words.
+        """
+        n, first = len(query), _head(query)
+        one = " " not in query
+        if (n, len(first)) not in self._least:
+            if len(self._least) >= _LETTERS:
+                self._least.clear()
+            partial = np.minimum(n, self.size) * least / (200 - least)
+            token = np.where(self.spaces == 0, (n + self.size) * least / 200, np.inf)
+            self._least[n, len(first)] = np.minimum(partial, np.minimum(token, (len(first) + self.head) * head / 200)) - 1e-6
+        reach = self.common(query) >= self._least[n, len(first)]
+        if not one or self.spaces.any():
+            reach |= self.bounds(query)[1] + 1e-9 >= least
+        rows = np.flatnonzero(reach)
+        if not len(rows):
+            return [], False
+        score = self.partial(query, rows)
+        score = np.maximum(score, [sm.token_set_ratio(query, self.names[r]) for r in rows])
+        others = (self.names[r] for r in rows[score < least])
+        more = any(sm.ratio(first, _head(x)) >= head - 1e-6 and may(query, x) for x in others)
+        best = sorted((-s, int(r)) for s, r in zip(score.tolist(), rows.tolist(), strict=True) if s >= least)[:k]
+        return [(-s, self.names[r]) for s, r in best], more
+
     def top(self, query: str, k: int) -> list[tuple[float, str]]:
         """The k best (score, name): by falling score, then by name."""
         partial_bound, token_bound = self.bounds(query)

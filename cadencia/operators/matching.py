@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from cadencia.functions import similarity as sm
 from cadencia.functions import text as tx
 from cadencia.functions.nameindex import NameIndex
+from cadencia.functions.phonetics import metaphone
+from cadencia.sources import scratch
 
 CANDIDATES, KEPT = 15, 3
+#: A name below this score never reaches the shortlist; first words below this ratio cap a name's score.
+LEAST_NAME, FIRST_WORDS = 0.75, 65
 #: Catalog names that a task holds, and line names that it looks up among them.
 BLOCK_NAMES, PART_NAMES = 16_384, 65_536
 
@@ -49,7 +53,7 @@ def final_score(name: Column, match: Column, has_strength: Column, form_match: C
     top = F.when(base >= 0.95, 1.0).otherwise(0.88)
     s = F.when(has_strength & match, F.least(top, base + 0.05)).when(has_strength, base - 0.25).otherwise(base)
     s = F.when(has_form & form_match, F.least(top, s + 0.02)).when(has_form, s - 0.05).otherwise(s)
-    return F.when(base < 0.75, F.least(F.lit(0.50), base)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
+    return F.when(base < LEAST_NAME, F.least(F.lit(0.50), base)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
 
 
 def blended(fuzzy: Column, phonetic: Column) -> Column:
@@ -59,7 +63,7 @@ def blended(fuzzy: Column, phonetic: Column) -> Column:
 
 def first_word_cap(score: Column, fuzzy: Column, first: Column) -> Column:
     """Names whose first words differ reach the mean of both ratios at most."""
-    return F.when(first < 65, F.least(score, (fuzzy + first) / 2)).otherwise(score)
+    return F.when(first < FIRST_WORDS, F.least(score, (fuzzy + first) / 2)).otherwise(score)
 
 
 def conflict_cap(score: Column, conflict: Column) -> Column:
@@ -101,13 +105,10 @@ def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
     return held.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", "role", "name")
 
 
-def candidates(lines: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """(name, c_name, s): the `most` best catalog names of each distinct line name, by score and then by name, with all their scores.
-
-    These are the best of all names: an index bounds what a name can reach, and only names that cannot reach the best are not scored.
-    """
-    left = lines.select("name").filter(F.length("name") > 2).distinct()
-    right = catalog.select("c_name").filter(F.col("c_name").isNotNull()).distinct()
+def _looked_up(left: DataFrame, right: DataFrame, look, more: str = "") -> DataFrame:
+    """(name, c_name, score and more): the rows look(index, name) of each name and the index of each block of catalog names."""
+    schema = f"name string, c_name string, score double{more}"
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.bool_()][: schema.count(",") + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, index = None, [], None
@@ -120,30 +121,84 @@ def candidates(lines: DataFrame, catalog: DataFrame, most: int = CANDIDATES) ->
                     names.append(name)
                     continue
                 index = index or NameIndex(names)
-                found += [(name, c, s) for s, c in index.top(name, most)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["name", "c_name", "score"])
+                found += look(index, name)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * len(kinds), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
-    found = _blocked(left, right).mapInArrow(run, "name string, c_name string, score double")
+    return _blocked(left, right).mapInArrow(run, schema)
+
+
+def _best(found: DataFrame, most: int) -> DataFrame:
     best = Window.partitionBy("name").orderBy(F.desc("score"), "c_name")
     kept = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= most)
     return kept.select("name", "c_name", sm.name_scores("name", "c_name").alias("s"))
 
 
-def match_lines(lines: DataFrame, catalog: DataFrame, sure: float = 0.95, lead: float = 0.10, seen: float = 0.85) -> DataFrame:
-    """One row for each line (line_id, raw_name, instructions, form, strength, ocr_confidence): status, drug_id, score, margin, candidates."""
-    rows, names = picked_text(lines), catalog_names(catalog)
-    pairs = candidates(rows, names)
+def _both_names(lines: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return lines.select("name").filter(F.length("name") > 2).distinct(), catalog.select("c_name").filter(F.col("c_name").isNotNull()).distinct()
+
+
+def candidates(lines: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """(name, c_name, s): the `most` best catalog names of each distinct line name, by score and then by name, with all their scores.
+
+    These are the best of all names: an index bounds what a name can reach, and only names that cannot reach the best are not scored.
+    """
+    return _best(_looked_up(*_both_names(lines, catalog), lambda index, name: [(name, c, s) for s, c in index.top(name, most)]), most)
+
+
+def _sounds(name: str, target: str) -> bool:
+    """Whether the phonetic score alone can lift a name to the shortlist; a little more than that, never less."""
+    p, q = metaphone(name), metaphone(target)
+    return bool(p and q) and 90 * sm.jaro_winkler(p, q) >= 100 * LEAST_NAME - 0.01
+
+
+def fit_candidates(lines: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """Those of candidates() that the shortlist can keep, with their capped score: a name below LEAST_NAME scores a half at most, whatever its entries' strengths.
+
+    Such a name has that score itself, or sounds alike and has a near first word. Names of the first kind are the best there are, so they are found without the others. Only
+    where a block has one of the second kind, which may or may not be among the best, all names' bests are found.
+    """
+    left, right = _both_names(lines, catalog)
+    floor = 100 * LEAST_NAME
+
+    def look(index: NameIndex, name: str) -> list[tuple]:
+        best, more = index.reaching(name, most, floor, FIRST_WORDS, _sounds)
+        return [(name, c, s, more) for s, c in best] + [(name, None, None, True)] * (more and not best)
+
     fuzzy, first = F.col("s.name"), F.col("s.first")
     capped = first_word_cap(blended(fuzzy, F.col("s.phonetic")), fuzzy, first)
-    # a name below three quarters scores a half at most, whatever its entries' strengths: the shortlist would drop them all
-    joined = rows.join(pairs.filter(capped / 100 >= 0.75), "name").join(names, "c_name")
+    found = scratch.written(_looked_up(left, right, look, ", more boolean"), "names")
+    doubtful = found.filter("more").select("name").distinct()
+    sure = _best(found.join(doubtful, "name", "left_anti").select("name", "c_name", "score"), most)
+    pairs = sure if doubtful.isEmpty() else sure.unionByName(candidates(doubtful, right, most))
+    return scratch.written(pairs.withColumn("capped", capped).filter(F.col("capped") / 100 >= LEAST_NAME), "pairs")
+
+
+def _offered(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """(c_name, strength, form, drug_id, catalog_name, match, conflict, in_form): the entries of a catalog name that a strength and form can get.
+
+    Entries of a name that agree in match, conflict and form have the same score whatever the line's name, so only the first KEPT of them can be listed.
+    """
+    entries = pairs.select("c_name", "strength", "form").distinct().join(names, "c_name")
     match, conflict = strength_guard(F.col("strength"), F.col("c_strength"))
-    form = F.lower(F.trim("form"))
-    has_form = F.coalesce(form, F.lit("")) != ""
-    score = final_score(capped, match, F.col("strength").isNotNull(), F.coalesce(F.contains("c_full", form), F.lit(False)), has_form)
-    scored = joined.select("line_id", "drug_id", "catalog_name", F.round(conflict_cap(score, conflict), 6).alias("score"), conflict.alias("conflict"), look_alike(first, F.col("name"), F.col("c_name")).alias("look_alike"))
-    best = shortlist(scored, "line_id", "drug_id", "catalog_name", "conflict", "look_alike")
-    full = lines.select("line_id", "ocr_confidence").join(best, "line_id", "left")
+    kinds = entries.select("c_name", "strength", "form", "drug_id", "catalog_name", match.alias("match"), conflict.alias("conflict"), F.coalesce(F.contains("c_full", "form"), F.lit(False)).alias("in_form"))
+    first = Window.partitionBy("c_name", "strength", "form", "match", "conflict", "in_form").orderBy("drug_id")
+    return kinds.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= KEPT).drop("nth")
+
+
+def match_lines(lines: DataFrame, catalog: DataFrame, sure: float = 0.95, lead: float = 0.10, seen: float = 0.85) -> DataFrame:
+    """One row for each line (line_id, raw_name, instructions, form, strength, ocr_confidence): status, drug_id, score, margin, candidates."""
+    form = F.coalesce(F.lower(F.trim("form")), F.lit(""))
+    rows, names = picked_text(lines).withColumn("form", form), catalog_names(catalog)
+    # lines that ask for the same are scored once
+    asked = ["name", "strength", "form"]
+    pairs = rows.select(*asked).distinct().join(fit_candidates(rows, names), "name")
+    offered = _offered(pairs, names)
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("c_name", "strength", "form")]
+    joined = pairs.alias("p").join(offered.alias("o"), same).select(*(f"p.{c}" for c in pairs.columns), "drug_id", "catalog_name", "match", "conflict", "in_form")
+    score = final_score(F.col("capped"), F.col("match"), F.col("strength").isNotNull(), F.col("in_form"), F.col("form") != "")
+    scored = joined.select(F.struct(*asked).alias("asked"), "drug_id", "catalog_name", F.round(conflict_cap(score, F.col("conflict")), 6).alias("score"), "conflict", look_alike(F.col("s.first"), F.col("name"), F.col("c_name")).alias("look_alike"))
+    best = shortlist(scored, "asked", "drug_id", "catalog_name", "conflict", "look_alike").select(*(F.col(f"asked.{c}").alias(f"asked_{c}") for c in asked), "candidates", "margin")
+    full = rows.select("line_id", "ocr_confidence", *asked).join(best, [F.col(c).eqNullSafe(F.col(f"asked_{c}")) for c in asked], "left")
     top = F.col("candidates")[0]
     status = traffic_light(top["score"], F.col("margin"), top["conflict"], top["look_alike"], F.col("ocr_confidence"), sure, lead, seen)
     found = status != "not_found"
