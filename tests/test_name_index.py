@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -71,6 +72,60 @@ def test_candidates_equal_all_names_on_five_hundred_lines(spark, monkeypatch):
     assert {q: [(-s, n) for s, n in sorted(x)] for q, x in got.items()} == {q: brute_top(q, names, 15) for q in asked}
 
 
+def test_common_subsequences_of_all_names_at_once():
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abc é") for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 63, 64, 65, 90) for _ in range(3)]
+    lcs = lambda a, b: round(sm.ratio(a, b) * (len(a) + len(b)) / 200)
+    for some in (names, [x for x in names if len(x) <= 32], [""]):
+        index = NameIndex(some)
+        for query in ["", "abc", *names]:
+            got = index.common(query)
+            assert all(got[i] == (lcs(query, x) if len(x) <= 64 else min(len(x), len(query))) for i, x in enumerate(index.names))
+
+
+def test_fit_candidates_are_those_of_all_that_count(spark, monkeypatch):
+    """With names that only sound alike, which must be among the best of all blocks to count."""
+    monkeypatch.setattr(matching, "BLOCK_NAMES", 40)
+    rng, names = random.Random(10), [*made_names(150, 3), "a" * 70, "panadol " + "x" * 70, "nite", "knight"]
+    asked = sorted({q for q in (edited(rng, rng.choice(names)) for _ in range(400)) if len(q) > 2} | {"night", "fonex", "zinck"})
+    lines, catalog = spark.createDataFrame([(q,) for q in asked], "name string"), spark.createDataFrame([(n,) for n in [*names, None]], "c_name string")
+    fuzzy, first = F.col("s.name"), F.col("s.first")
+    capped = matching.first_word_cap(matching.blended(fuzzy, F.col("s.phonetic")), fuzzy, first)
+    want = matching.candidates(lines, catalog).withColumn("capped", capped).filter("capped >= 75").select("name", "c_name", "capped").collect()
+    got = matching.fit_candidates(lines, catalog).select("name", "c_name", "capped").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 300
+
+
+def empty_columns(df):
+    return df.select("line_id", "raw_name", *(F.lit(None).cast("string").alias(c) for c in ("instructions", "form", "strength")), F.lit(0.9).alias("ocr_confidence"))
+
+
+def test_many_names_far_from_each_other(spark):
+    """In less time than a score for all pairs takes."""
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(32)) for _ in range(2_500)})
+    catalog = spark.createDataFrame(list(enumerate(names)), "drug_id int, name string")
+    began = time.monotonic()
+    rows = matching.match_lines(empty_columns(catalog.select(F.col("drug_id").alias("line_id"), F.substring("name", 2, 31).alias("raw_name"))), catalog).collect()
+    assert len(rows) == len(names) and all(r["drug_id"] == r["line_id"] and len(r["candidates"]) == 1 for r in rows) and time.monotonic() - began < 60
+
+
+def test_many_lines_that_ask_for_few_things(spark):
+    """Lines are not joined with the entries each by itself; a line keeps its own id and reading."""
+    words = lambda ws, i: F.element_at(F.array(*map(F.lit, ws)), (i % len(ws) + 1).cast("int"))
+    k = F.col("id")
+    called = lambda i: F.concat_ws(" ", words(["hot", "cold", "old", "gold"], i), words(["bolt", "bold", "belt", "bolts"], F.floor(i / 4)))
+    catalog = spark.range(1600).select(k.alias("drug_id"), F.concat(called(k), F.lit(" "), (F.floor(k / 16) % 100 + 1).cast("string"), F.lit("mg")).alias("name"))
+    lines = spark.range(60_000).select(k.alias("line_id"), F.concat(called(k), F.lit(" "), (k % 100 + 1).cast("string"), F.lit("mg")).alias("raw_name"))
+    began = time.monotonic()
+    rows = matching.match_lines(empty_columns(lines).withColumn("ocr_confidence", F.when(F.col("line_id") < 50_000, 0.9).otherwise(0.1)), catalog).cache()
+    assert rows.count() == 60_000 and time.monotonic() - began < 60
+    few = empty_columns(lines.filter("line_id % 997 = 0"))
+    alone = {r["line_id"]: r for r in matching.match_lines(few, catalog).collect()}
+    got = {r["line_id"]: r for r in rows.filter("line_id % 997 = 0 and line_id < 50000").collect()}
+    assert len(got) == 51 and all(alone[i] == r for i, r in got.items()) and rows.filter("line_id >= 50000 and status = 'matched'").count() == 0
+
+
 def test_lines_of_an_empty_catalog(spark):
     lines = spark.createDataFrame([(1, "panadol")], "line_id int, raw_name string").select("line_id", "raw_name", *(F.lit(None).cast("string").alias(c) for c in ("instructions", "form", "strength")), F.lit(0.9).alias("ocr_confidence"))
     assert [r["status"] for r in matching.match_lines(lines, spark.createDataFrame([], "drug_id int, name string")).collect()] == ["not_found"]
