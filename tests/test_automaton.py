@@ -55,6 +55,65 @@ def test_mentions_equal_containment(spark, size):
     assert conversation.mentions(texts, drugs.filter("false"), ["k"], "t").count() == 0
 
 
+def test_a_drug_of_several_names_is_mentioned_once(spark):
+    drugs = spark.createDataFrame([(1, "panadol"), (1, "dolo"), (1, "panadol extra"), (2, "b 12")], "drug_id int, name string")
+    texts = spark.createDataFrame([(1, "Panadol or dolo"), (1, "dolo, B 12"), (2, "b 12")], "k int, t string")
+    assert sorted(map(tuple, conversation.mentions(texts, drugs, ["k"], "t").collect())) == [(1, 1), (1, 2), (2, 2)]
+
+
+def brute_interactions(found, newest, interactions):
+    out = {}
+    for k in {k for k, _ in newest}:
+        own, new = {d for q, d in found if q == k}, {d for q, d in newest if q == k}
+        hits = sorted((a, b, s) for a, b, s in interactions if a < b and a in own and b in own and (a in new or b in new))
+        if hits:
+            out[k] = hits[0]
+    return out
+
+
+@pytest.mark.parametrize(("first", "block"), [(4_096, 1_000_000), (3, 20), (3, 1_000_000)])
+def test_first_interactions_equal_brute_force(spark, monkeypatch, first, block):
+    """Found among the first pairs, in several blocks of all, or not at all; by drugs and by the patterns that name them."""
+    monkeypatch.setattr(conversation, "FIRST_PAIRS", first)
+    monkeypatch.setattr(conversation, "BLOCK_PAIRS", block)
+    monkeypatch.setattr(conversation, "PART_KEYS", 7)
+    rng = np.random.default_rng(4)
+    found = sorted({(int(k), int(d)) for k, d in rng.integers(0, [40, 60], (300, 2))})
+    newest = [x for i, x in enumerate(found) if i % 3 == 0]
+    interactions = [(int(a), int(b), "low" if a % 2 else "high") for a, b in rng.integers(0, 60, (140, 2))]
+    frames = [spark.createDataFrame(x, s) for x, s in ((found, "k long, drug_id long"), (newest, "k long, drug_id long"), (interactions, "a long, b long, severity string"))]
+    got = {r[0]: tuple(r)[1:] for r in conversation.mentioned_interactions(*frames, "k").collect()}
+    want = brute_interactions(found, newest, interactions)
+    assert got == want and 8 < len(want) < len({k for k, _ in newest})
+    # three drugs share a pattern, and some have two
+    spoken = [(d, f"p{d // 3}") for d in range(60)] + [(d, f"p{d + 100}") for d in range(0, 60, 7)]
+    name = dict(spoken[:60])
+    held = sorted({(k, name[d]) for k, d in found} | {(k, f"p{d + 100}") for k, d in found if d % 14 == 0})
+    new = sorted({(k, name[d]) for k, d in newest})
+    drugs = lambda rows: sorted({(k, d) for k, p in rows for d, q in spoken if p == q})
+    pattern_frames = [spark.createDataFrame(held, "k long, pattern string"), spark.createDataFrame(new, "k long, pattern string"), spark.createDataFrame(spoken, "drug_id long, pattern string"), frames[2]]
+    told = {r[0]: tuple(r)[1:3] for r in conversation.spoken_interactions(*pattern_frames, "k").collect()}
+    by_drugs = {r[0]: tuple(r)[1:3] for r in conversation.mentioned_interactions(spark.createDataFrame(drugs(held), "k long, drug_id long"), spark.createDataFrame(drugs(new), "k long, drug_id long"), frames[2], "k").collect()}
+    fresh_patterns = {(k, p) for k, p in new}
+    exact = {}
+    for k in {k for k, _ in new}:
+        own, fresh = {p for q, p in held if q == k}, {p for q, p in fresh_patterns if q == k}
+        of = lambda d: {q for e, q in spoken if e == d}
+        hits = [(a, b) for a, b, _ in interactions if a < b and of(a) & own and of(b) & own and (of(a) | of(b)) & own & fresh]
+        if hits:
+            exact[k] = min(hits)
+    assert told == exact and told == by_drugs
+
+
+def test_many_mentions_make_no_pairs(spark):
+    """Keys with thousands of mentions each, in less time than their pairs take."""
+    found = spark.range(300).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3_999).cast("long"))).alias("drug_id"))
+    interactions = spark.range(4_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit("low").alias("severity"))
+    began = time.monotonic()
+    got = conversation.mentioned_interactions(found, found.filter("drug_id = 7"), interactions, "k").collect()
+    assert len(got) == 300 and all((r["a"], r["b"]) == (6, 7) for r in got) and time.monotonic() - began < 60
+
+
 def test_lexical_index_of_a_word_of_a_megabyte(spark):
     word = "abcdefgh" * 131_072
     chunks = spark.createDataFrame([(1, f"{word} tail 7"), (2, "other tail")], "c long, t string")
