@@ -29,6 +29,9 @@ def _automaton(patterns: tuple[str, ...]):
     return out
 
 
+machine = _automaton
+
+
 def contained(c: Column, patterns: list[str]) -> Column:
     """The patterns (empty ones never) that the text contains, in their order; none for a null text."""
     wanted = tuple(dict.fromkeys(p for p in patterns if p))

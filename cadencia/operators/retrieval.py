@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,24 +95,122 @@ def lexical_score(query: Column, content: Column) -> Column:
     return F.when((F.size(q) == 0) | found.isNull(), 0.0).otherwise(F.least(F.lit(1.0), found / F.size(q) + 0.3 * numbers))
 
 
+#: Queries, or chunks if they are fewer, that a worker holds while the others stream past them; those that it scores at a time; the stems of which it remembers what they hold.
+HELD_TEXTS, STREAM_TEXTS, KNOWN_STEMS = 512, 256, 100_000
+
+
+def _by_id(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (id, stems, numbers) with those of an id together; ids are theirs, without what it takes to make the rows."""
+    several = ids.groupBy("id").count().filter("count > 1").select("id")
+    if several.isEmpty():
+        return rows
+    joined = rows.join(several, "id").groupBy("id").agg(F.flatten(F.collect_list("stems")).alias("stems"), F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
+    return rows.join(several, "id", "left_anti").unionByName(joined)
+
+
+class _Overlap:
+    """Found stems and shared numbers of a text with each of the held ones, which are queries or chunks."""
+
+    def __init__(self, stems: list[list[str]], numbers: list[list[str]], of_queries: bool) -> None:
+        self.n, self.of_queries, self.known = len(stems), of_queries, {}
+        self.words = sorted({w for s in stems for w in s if w})
+        at = {w: i for i, w in enumerate(self.words)}
+        self.times = np.zeros((len(self.words), self.n), np.int32)
+        for j, s in enumerate(stems):
+            for w in s:
+                if w:
+                    self.times[at[w], j] += 1
+        if of_queries:
+            self.machine = automaton.machine(tuple(self.words)) if self.words else None
+        else:
+            self.text = "\n".join(self.words)
+            self.begin = np.cumsum([0, *(len(w) + 1 for w in self.words)])[:-1]
+        self.numbers: dict[str, np.ndarray] = {}
+        for j, s in enumerate(numbers):
+            for d in set(s):
+                self.numbers.setdefault(d, np.zeros(self.n, np.int32))[j] = 1
+
+    def _held_by(self, stem: str) -> tuple:
+        """The wanted stems inside of a chunk's stem."""
+        return tuple({i for _, i in self.machine.iter(stem)}) if self.machine and stem else ()
+
+    def _holding(self, stem: str) -> np.ndarray:
+        """1 for each chunk with a stem that has this one of a query inside."""
+        spots, at = [], self.text.find(stem) if stem else -1
+        while at >= 0:
+            spots.append(int(np.searchsorted(self.begin, at, "right")) - 1)
+            at = self.text.find(stem, int(self.begin[spots[-1]]) + len(self.words[spots[-1]]) + 1)
+        return (self.times[spots] > 0).any(axis=0).astype(np.int32)
+
+    def _known(self, stem: str, look):
+        if stem not in self.known:
+            if len(stem) > 64:
+                return look(stem)
+            if len(self.known) >= KNOWN_STEMS:
+                self.known.clear()
+            self.known[stem] = look(stem)
+        return self.known[stem]
+
+    def found(self, stems: list[str]) -> np.ndarray:
+        """For each held text: how many stems of the query, repeats counted, stand in stems of the chunk."""
+        if self.of_queries:
+            rows = set().union(*(self._known(w, self._held_by) for w in stems))
+            return self.times[list(rows)].sum(axis=0)
+        return sum((self._known(w, self._holding) for w in stems), np.zeros(self.n, np.int32))
+
+    def shared(self, numbers: list[str]) -> np.ndarray:
+        return sum((self.numbers[d] for d in set(numbers) if d in self.numbers), np.zeros(self.n, np.int32))
+
+
+def _scores(held: DataFrame, streamed: DataFrame, of_queries: bool, schema: T.StructType) -> DataFrame:
+    """(query_id, chunk_id, score) of the held rows (id, stems, numbers) with all streamed ones that have anything in common."""
+    table = held.toArrow()
+    table = table.filter(pa.array([bool(s) for s in table.column("stems").to_pylist()], pa.bool_()))
+    ids, stems, numbers = table.column("id").combine_chunks(), table.column("stems").to_pylist(), table.column("numbers").to_pylist()
+    counts = np.array([len(s) for s in stems], np.int64)
+    names = ["query_id", "chunk_id"] if of_queries else ["chunk_id", "query_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        overlap = _Overlap(stems, numbers, of_queries)
+        for whole in batches:
+            for a in range(0, whole.num_rows, STREAM_TEXTS):
+                b = whole.slice(a, STREAM_TEXTS)
+                # not a filter of the frame, which would make the stems once more for itself
+                b = b.filter(pa.array([bool(x) for x in b.column("stems").to_pylist()], pa.bool_()))
+                if not b.num_rows or not len(ids):
+                    continue
+                said = b.column("stems").to_pylist()
+                found = np.stack([overlap.found(x) for x in said])
+                shared = np.stack([overlap.shared(x) for x in b.column("numbers").to_pylist()])
+                n = counts[None, :] if of_queries else np.array([len(x) for x in said], np.int64)[:, None]
+                score = np.minimum(1.0, found / n + 0.3 * shared)
+                i, j = np.nonzero((found > 0) | (shared > 0))
+                got = {names[0]: ids.take(pa.array(j)), names[1]: b.column("id").take(pa.array(i)), "score": pa.array(score[i, j])}
+                yield pa.RecordBatch.from_arrays([got[c] for c in ("query_id", "chunk_id", "score")], names=["query_id", "chunk_id", "score"])
+
+    return streamed.mapInArrow(run, schema)
+
+
 def lexical_index(queries: DataFrame, chunks: DataFrame, query_id: str, query: str, chunk_id: str, content: str) -> DataFrame:
     """(query_id, chunk_id, score): lexical_score() of every query and chunk that have anything in common; all other pairs score 0.
 
-    Chunks are met through the stems of a stated query set: an automaton of these finds them in each distinct stem of the chunks, so that no query
-    is tested on a text. What moves is one row for each chunk and each query stem that it holds.
+    The fewer of both are held by the workers, in blocks of bounded size, and the others stream past each block: what a distinct stem holds or stands in is looked up once in
+    a worker, and nothing is shuffled. Texts of the same id count as one; those without an id or a stem have no scores.
     """
-    said = queries.select(F.col(query_id).alias("query_id"), words(F.col(query)).alias("q"), F.array_distinct(F.regexp_extract_all(query, F.lit(r"(\d+)"), F.lit(1))).alias("numbers"))
-    asked = said.select("query_id", F.size("q").alias("n"), F.explode("q").alias("stem")).groupBy("query_id", "n", "stem").agg(F.count(F.lit(1)).alias("times"))
-    held = chunks.select(F.col(chunk_id).alias("chunk_id"), F.array_distinct(words(F.col(content))).alias("c"), F.array_distinct(F.regexp_extract_all(content, F.lit(r"(\d+)"), F.lit(1))).alias("numbers"))
-    stems = held.select("chunk_id", F.explode("c").alias("held"))
-    wanted = asked.select("stem").distinct()
-    # one walk over each distinct stem of the chunks finds the wanted stems in it
-    inside = automaton.matches(stems.select("held").distinct(), ["held"], "held", wanted).withColumnRenamed("pattern", "stem")
-    found = stems.join(inside, "held").select("chunk_id", "stem").distinct().join(asked, "stem").groupBy("query_id", "chunk_id", "n").agg(F.sum("times").alias("found"))
-    numbers = said.filter(F.size("q") > 0).select("query_id", F.size("q").alias("n"), F.explode("numbers").alias("number")).join(held.filter(F.size("c") > 0).select("chunk_id", F.explode("numbers").alias("number")), "number")
-    both = found.join(numbers.groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("shared")), ["query_id", "chunk_id", "n"], "full")
-    score = F.least(F.lit(1.0), F.coalesce("found", F.lit(0)) / F.col("n") + 0.3 * F.coalesce("shared", F.lit(0)))
-    return both.select("query_id", "chunk_id", score.alias("score"))
+
+    def said(df: DataFrame, key: str, text: str, stems: Column) -> DataFrame:
+        numbers = F.coalesce(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))), F.array().cast("array<string>"))
+        rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), stems.alias("stems"), numbers.alias("numbers"))
+        return _by_id(rows, df.select(F.col(key).alias("id")).filter("id is not null"))
+
+    asked = said(queries, query_id, query, words(F.col(query)))
+    offered = said(chunks, chunk_id, content, F.array_distinct(words(F.col(content))))
+    schema = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("chunk_id", offered.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    few, more = queries.count(), chunks.count()
+    of_queries = few <= more
+    held, streamed = (asked, offered) if of_queries else (offered, asked)
+    blocks = max(1, -(-min(few, more) // HELD_TEXTS))
+    return reduce(DataFrame.unionByName, [_scores(held.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), streamed, of_queries, schema) for i in range(blocks)])
 
 
 def hybrid(df: DataFrame, dense: float = 0.6, lexical: float = 0.4) -> DataFrame:
