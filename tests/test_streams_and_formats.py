@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,17 @@ def test_signing_waits_for_earlier_numbers(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chain.sign(e).drop("is_new").collect()))
 
 
+def test_long_keys_have_one_timer(spark, tmp_path):
+    """All events are of one session, in two batches; what waits is not gone through once for each of them."""
+    n = 40_000
+    e = spark.range(n).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("event_seq"), F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), F.lit("{}").alias("payload"), F.lit(None).cast("string").alias("actor"))
+    frames = [e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), e.limit(1).withColumns({"session_id": F.lit(-1).cast("long"), "ts": F.lit(LAST)})]
+    began = time.monotonic()
+    got = run_stream(spark, tmp_path, frames, e.schema, lambda s: jobs.sign_stream(s, "900 days"), conf=ROCKS).filter("session_id >= 0")
+    assert time.monotonic() - began < 60
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chain.sign(e).drop("is_new").collect())) and got.count() == n
+
+
 def brute_sent(rows, hours=24):
     last, out = {}, []
     for customer, number, ts in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
