@@ -165,3 +165,11 @@ def test_models(spark, sf_dir):
     churn = models.class_weights(features.churn_training(queries.bought(r), r.customers(), r.drugs(), AS_OF)).cache()
     bundle = models.tuned_bundle(models.fit(churn, features.CHURN_FEATURES, models.classifiers(5, weighted=True)["logistic"], scale=True), churn)
     assert bundle.predict(churn).filter("predicted in (0, 1)").count() == churn.count()
+
+
+def test_models_read_rows_that_are_written_once(spark, sf_dir, monkeypatch):
+    """Training does not join and deal the items anew in each pass."""
+    plans, fit = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda train, *a, **k: (plans.append(train._jdf.queryExecution().executedPlan().toString()), fit(train, *a, **k))[1])
+    assert queries.model_decisions(Retail(spark, sf_dir)).count() > 0
+    assert len(plans) == 2 and not any("Exchange" in p or "Join" in p for p in plans)
